@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, transport_stream
+from quarry.llm import byte_bpe, exact_dedup, language_id, packing, transport_stream
 
 QUERIES = {
+    "op4_byte_bpe": byte_bpe.op4,
     "op6_exact_dedup": exact_dedup.op6,
+    "op8_language_id": language_id.op8,
     "op9_transport_stream": transport_stream.op9,
+    "op10_packing": packing.op10,
 }
 
 SQL = {
