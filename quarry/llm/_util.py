@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -15,34 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass works on; it bounds a Python worker's memory.
-CHUNK_BYTES = 4 << 20
-
-_own_dir: str | None = None
-
+from quarry.sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    global _own_dir
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage is cut and survives a lost executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+__all__ = ["materialize", "shared_dir"]
 
+#: Bytes of text that one numpy pass works on; it bounds a Python worker's memory.
+CHUNK_BYTES = 4 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,6 +91,36 @@ def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = byte_table(0x51)
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64; kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+        del _powers[:-2]
+    return _powers
+
+
+def running_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of byte values times powers (n + 1 of them), and the inverse powers that shift a difference to its start."""
+    up, down = _power(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64, out=total[1:])
+    return total, down
+
+
+def segment_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each raw[begin:end], by differences of one running sum."""
+    total, down = running_hash(raw)
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def package_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

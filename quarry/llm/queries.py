@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_bpe, exact_dedup, language_id, packing, transport_stream
+from quarry.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, suffix_dedup, transport_stream
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_near_dedup": near_dedup.op2,
     "op4_byte_bpe": byte_bpe.op4,
     "op6_exact_dedup": exact_dedup.op6,
     "op8_language_id": language_id.op8,
