@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -135,10 +134,3 @@ def ship(spark: SparkSession, file: str):
     if len(data) > 64 << 20:
         raise ValueError(f"{os.path.basename(file)} is too large to broadcast")
     return spark.sparkContext.broadcast(data)
-
-
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._util import chunks, table, text_buffer
 
@@ -216,6 +217,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of the documents, with lang_pred and score beside them (in place of columns of those names)."""
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = docs.select(columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for chunk in chunks(batches, most=1 << 20):
+            raw, at = text_buffer(chunk["text"])
+            lang, score = model.predict(vectors(raw, at))
+            none = ~has_letter(raw, at)
+            lang[none], score[none] = "und", 0.0
+            out = chunk.append_column("lang_pred", pa.array(lang.tolist(), pa.string())).append_column("score", pa.array(score.astype(np.float64)))
+            yield from out.combine_chunks().to_batches()
+
+    shape = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(run, shape)
+
+
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return predict(docs, train(docs, per_lang))
 
