@@ -17,6 +17,7 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ WINDOW, END_ID = 2048, 1
 #: Combinations that the solver looks at, and its sweeps.
 COLUMNS, SWEEPS = 20_000, 12
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Bytes of text whose distinct words are looked up together.
+BLOCK_BYTES = 16 << 20
 
 _SPACE, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -75,21 +78,20 @@ def _tokenizer(data: bytes):
     return _made[key]
 
 
-def _encode_words(words: list[bytes], data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All words' ids, and offsets."""
+def _encode_words(words: list[bytes], often: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All words' ids, and offsets. A worker keeps the ids of words that a chunk holds more than once."""
     tokenizer, known = _tokenizer(data)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = words
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    lists = list(map(known.get, words))
+    new = [k for k, ids in enumerate(lists) if ids is None]
     for lo in range(0, len(new), 20_000):
         part = new[lo : lo + 20_000]
-        for word, made in zip(part, encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[word] = made.ids
-    lists = [known[w] for w in words]
+        for k, made in zip(part, encode([words[k].decode("utf-8", "replace") for k in part], add_special_tokens=False), strict=True):
+            lists[k] = made.ids
+            if often[k] and len(known) < KEPT_WORDS:
+                known[words[k]] = lists[k]
     offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))))
-    return np.fromiter((i for ids in lists for i in ids), np.uint32, offsets[-1]), offsets
+    return np.fromiter(chain.from_iterable(lists), np.uint32, offsets[-1]), offsets
 
 
 def pieces(docs: DataFrame, file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -99,10 +101,10 @@ def pieces(docs: DataFrame, file: str | None = None, window: int = WINDOW, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         met: dict[int, int] = defaultdict(int)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=BLOCK_BYTES):
             raw, at = text_buffer(chunk["text"])
             words, codes, first = words_of(raw, at)
-            flat, offsets = _encode_words(words.to_pylist(), data.value)
+            flat, offsets = _encode_words(words.to_pylist(), np.bincount(codes, minlength=len(words)) > 1, data.value)
             size = offsets[1:] - offsets[:-1]
             rows = []
             for doc_id, lo, hi in zip(chunk["doc_id"].to_pylist(), first[:-1], first[1:], strict=True):
