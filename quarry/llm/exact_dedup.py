@@ -75,7 +75,8 @@ def _unverified(docs: DataFrame, probed: DataFrame) -> DataFrame:
     hits = probed.filter("keep_id is not null").select("doc_id", "digest", "keep_id").distinct()
     # only texts of groups travel; the keeper is one row for each digest, so no pairs of copies are made
     texts = materialize(docs.join(hits, "doc_id").select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("body")), "hits")
-    keepers = texts.filter("doc_id = keep_id").select("digest", F.col("body").alias("kept_body")).dropDuplicates(["digest"])
+    # stored, so that the join below has two plain exchanges and a large group of hits can be split
+    keepers = materialize(texts.filter("doc_id = keep_id").select("digest", F.col("body").alias("kept_body")).dropDuplicates(["digest"]), "keepers")
     return texts.filter("doc_id <> keep_id").join(keepers, "digest").filter("body <> kept_body").select("doc_id", "digest", "body")
 
 
