@@ -4,13 +4,13 @@ A document's set holds 64-bit hashes of its distinct word shingles. Equal sets f
 the smallest doc_id goes on. SuperMinHash: step j gives each element a rank j + r in a slot that its own permutation names
 (a Fisher-Yates shuffle driven by the element's hash); a slot keeps its smallest rank, and a document stops once no later
 rank can be smaller. BANDS bands of ROWS slots give candidate buckets: at a similarity of 0.8 all bands miss a pair with
-probability (1 - 0.8^ROWS)^BANDS, under 4e-8. Buckets are never expanded into all pairs: each member meets the bucket's
-first member; verified links are united; members of one bucket that are still in different groups and whose signatures
-allow a link are compared further, in blocks. A link counts only if 100 * intersection >= 80 * union on the full sets.
+probability (1 - 0.8^ROWS)^BANDS, under 4e-8. Buckets are never expanded into pairs: each member meets the bucket's
+best known member; verified links are united; what one bucket still holds of different groups is compared inside tasks, in blocks, by size,
+signature and full sets, and only links that unite two groups are put out. A link counts only if 100 * intersection >= 80 * union on the full sets.
 
 Defined cases: null text is empty; empty sets are linked with nothing, even one another; a null doc_id is linked with nothing and
-comes back with component_id null and kept true; rows that repeat a doc_id come back once each with the same result (their
-sets are all compared); other columns are ignored; an empty table gives an empty result.
+comes back with component_id null and kept true; rows that repeat a doc_id come back once each (with
+different texts, one of them is compared); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, id_and_text, materialize, mix, segment_hashes, table, text_buffer
+from quarry.llm._util import chunks, id_and_text, materialize, mix, segment_hashes, shuffle_partitions, table, text_buffer
 from quarry.operators.graph import connected_components
 
 BANDS, ROWS = 24, 3
 SLOTS = BANDS * ROWS
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Rounds in which a bucket's members meet one of its members, before what is left is compared in blocks of BLOCK members.
+PIVOTS, BLOCK = 1, 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -146,14 +146,26 @@ def _fits(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _further_pairs(open_members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups in one bucket whose signatures allow a link.
+def _pivot_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's members of other groups paired with the best known member of its largest group: at most one pair a row.
 
-    A bucket's members are dealt to blocks; each two blocks of a bucket are one unit of work, compared as byte matrices."""
+    Best known is who shares most buckets: the original among its copies."""
+    of_group = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("known", -F.col("doc_id"), "doc_id", "n")).alias("top"))
+    main = of_group.groupBy("key").agg(F.max(F.struct("size", "top", "component")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    main = main.select("key", F.col("main.top.doc_id").alias("pivot"), F.col("main.top.n").alias("n_a"), F.col("main.component").alias("of"))
+    pairs = labelled.join(main, "key").filter("component <> of").withColumn("n_b", F.col("n")).filter(_fits(percent))
+    return pairs.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+
+
+def _further_links(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links between groups that still meet in a bucket; enough of them to unite what can be united.
+
+    A bucket's members are dealt to blocks; each two blocks of a bucket are one unit of work. Pairs are looked at inside the unit, by size, by
+    signature, and by full sets; only links that unite two groups leave it."""
     blocks = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("deal", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = open_members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("deal") - 1))
-    units = dealt.withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.col("mine"), "doc_id", "component", "n", "bits")
+    units = dealt.join(sets, "doc_id").withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.col("mine"), "doc_id", "component", "n", "bits", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
@@ -164,32 +176,59 @@ def _further_pairs(open_members: DataFrame, percent: int) -> DataFrame:
                 if k == len(keys) or keys[k] != keys[lo]:
                     if keys[lo] != unit:
                         if held:
-                            yield from _compare(pa.Table.from_batches(held), percent)
+                            yield _compare(pa.Table.from_batches(held), percent)
                         held, unit = [], keys[lo]
                     held.append(batch.slice(lo, k - lo))
                     lo = k
         if held:
-            yield from _compare(pa.Table.from_batches(held), percent)
+            yield _compare(pa.Table.from_batches(held), percent)
 
-    spread = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    spread = units.repartition(shuffle_partitions(sets.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def _compare(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+def _compare(rows: pa.Table, percent: int) -> pa.RecordBatch:
     # fewer equal slots at the similarity asked for: 5 standard deviations, under one in a million
     least = int(SLOTS * percent / 100 - 5 * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5)
     p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
     mine, doc, component, n = (rows[c].to_numpy() for c in ("mine", "doc_id", "component", "n"))
     bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(doc), -1)
+    elements = rows["elements"].combine_chunks()
+    offsets, flat = elements.offsets.to_numpy().astype(np.int64), elements.values.to_numpy().view(np.uint64)
+    parent = {int(c): int(c) for c in np.unique(component)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    own = np.array([root(int(c)) for c in component])
     left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+    found = []
     for i in left:
-        them = right[(component[right] != component[i]) & ((doc[right] > doc[i]) | (p != q))]
+        them = right[(own[right] != own[i]) & ((doc[right] > doc[i]) | (p != q))]
         them = them[100 * np.minimum(n[them], n[i]) >= percent * np.maximum(n[them], n[i])]
         if not len(them):
             continue
-        them = them[(bits[them] == bits[i]).sum(1) >= least]
-        if len(them):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[them], doc[i])), pa.array(np.maximum(doc[them], doc[i]))], ["a", "b"])
+        same = (bits[them] == bits[i]).sum(1)
+        them = them[same >= least]
+        if not len(them):
+            continue
+        ours = flat[offsets[i] : offsets[i + 1]]
+        size = n[them]
+        end = np.cumsum(size)
+        pool = flat[np.repeat(offsets[them] - (end - size), size) + np.arange(end[-1])]
+        at = np.minimum(np.searchsorted(ours, pool), len(ours) - 1)
+        both = np.add.reduceat((ours[at] == pool).astype(np.int64), end - size)
+        for j in them[100 * both >= percent * (size + n[i] - both)]:
+            if own[j] != own[i]:
+                a, b = root(int(own[i])), root(int(own[j]))
+                parent[max(a, b)] = min(a, b)
+                own[own == max(a, b)] = min(a, b)
+                found.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -198,23 +237,31 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     signed = materialize(signatures(docs, size), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
-    firsts = filled.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id").select("doc_id", F.col("n_shingles").alias("n"), "keys", "bits")
+    firsts = filled.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "keys", "bits")
     dealt = firsts.select("doc_id", "n", F.explode("keys").alias("key"))
-    pivots = dealt.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("n_a"))
-    members = materialize(dealt.join(pivots, "key").select("key", "doc_id", "n", "a", "n_a"), "members")
-    wanted = members.select("doc_id").distinct()
-    sets = materialize(full_sets(docs.join(wanted, "doc_id"), size), "sets")
-    pairs = members.select("a", F.col("doc_id").alias("b"), "n_a", F.col("n").alias("n_b")).filter(F.col("a") < F.col("b")).filter(_fits(percent)).select("a", "b").distinct()
-    links = materialize(_verified(pairs, sets, percent), "links")
-    groups = materialize(connected_components(links, "a", "b"), "groups")
-    # what one bucket holds of different groups
-    labelled = members.select("key", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = materialize(labelled, "labelled")
+    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    members = materialize(dealt.join(shared, "key").select("key", "doc_id", "n"), "shared")
+    known = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
+    members = materialize(members.join(known, "doc_id"), "members")
+    sets = materialize(full_sets(docs.join(known.select("doc_id"), "doc_id"), size).dropDuplicates(["doc_id"]), "sets")
+    links: DataFrame | None = None
+    labelled = members.withColumn("component", F.col("doc_id"))
+    for _ in range(PIVOTS):
+        pairs = _pivot_pairs(labelled, percent)
+        if links is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tested = pairs if links is None else tested.unionByName(pairs)
+        new = materialize(_verified(pairs, sets, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        groups = materialize(connected_components(links, "a", "b"), "groups")
+        labelled = materialize(members.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    # what one bucket still holds of different groups
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_members = labelled.join(mixed, "key").join(signed.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id")
-    more = materialize(_verified(_further_pairs(open_members, percent), sets, percent), "more")
+    open_members = labelled.join(mixed, "key").join(firsts.select("doc_id", "bits"), "doc_id").select("key", "doc_id", "n", "component", "bits")
+    more = materialize(_further_links(open_members, sets, percent), "more")
     if more.limit(1).count():
-        groups = connected_components(links.unionByName(more), "a", "b")
+        groups = materialize(connected_components(links.unionByName(more), "a", "b"), "groups")
     of_class = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select("one", "two", "n_shingles", F.coalesce("component", "first").alias("component"))
     of_class = materialize(of_class, "of-class")
     out = signed.select("doc_id", "n_shingles", "one", "two").join(of_class, ["one", "two", "n_shingles"], "left")
