@@ -38,3 +38,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError("components did not settle")
     ends = raw.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     return ends.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def numbered(components: DataFrame, prefix: str = "G") -> DataFrame:
+    """Components with labels such as G0001, numbered by their smallest id; only one row for each component is ordered."""
+    from pyspark.sql import Window
+
+    roots = components.select("component").distinct().withColumn("n", F.row_number().over(Window.orderBy("component")))
+    return components.join(roots.select("component", F.format_string(prefix + "%04d", F.col("n")).alias("label")), "component")
+
+
+def component_sizes(components: DataFrame, total: int | None = None) -> DataFrame:
+    """One row: components, the largest one, vertices, and the largest's share."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    one = sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.coalesce(F.sum("size"), F.lit(0)).alias("vertices"))
+    of = F.lit(total) if total is not None else F.col("vertices")
+    return one.withColumn("largest_share", F.when(of > 0, F.col("largest") / of).otherwise(0.0))
+
+
+def degrees(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
+    """Degree of each vertex in the simple graph: parallel edges and self-loops do not count."""
+    simple = edges.filter(F.col(u) != F.col(v)).select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
+    return simple.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def degree_distribution(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
+    return degrees(edges, u, v).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
