@@ -54,7 +54,7 @@ def heading_section(text: Column, heading: str, level: int = 2) -> Column:
 
     mark = "#" * level
     pattern = rf"(?s)(?:^|\n){mark} {re.escape(heading)}[ \t]*\n(.*?)(?=\n#{{1,{level}}} |\z)"
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
 
 
 def host(url: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ def append_unique(batch: DataFrame, path: str, key: str) -> int:
     try:
         known = spark.read.parquet(path)
         new = new.join(known.select(key), key, "left_anti")
-    except Exception as fault:
-        if "PATH_NOT_FOUND" not in str(fault):
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
             raise
     new = new.persist()
     try:
