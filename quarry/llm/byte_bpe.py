@@ -1,9 +1,9 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are cut, in blocks, into pre-token groups (white space and the run of text after it; a group boundary is always a
-boundary of the split pattern). Of each block only its distinct groups travel, with the positions kept as one array of
-codes for each document. All rows of one distinct group meet in one task, which encodes it once; the ids go back to their
-blocks, where documents are put together by position. Decoding joins ids with the token-byte table, whose size is that of
+boundary of the split pattern). Of each block only its distinct groups travel, packed by a hash of the group, with the
+positions kept as one array of codes for each document. All that share a hash bucket meet in one task, which encodes each
+distinct group once; the ids go back to their blocks, where documents are put together by position. Decoding joins ids with the token-byte table, whose size is that of
 the vocabulary.
 
 Defined cases: null text is empty: no ids, and the digests of empty strings; a null doc_id is passed on; repeated rows give
@@ -14,20 +14,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, id_and_text, materialize, package_path, ship, shuffle_partitions, table, text_buffer
+from quarry.llm._util import chunks, id_and_text, materialize, package_path, segment_hashes, ship, shuffle_partitions, table, text_buffer
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,21 +59,62 @@ def dictionary(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarra
     return encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+def _pack(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed plane by plane: small numbers cost about a byte."""
+    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _deal(batches: Iterator[pa.RecordBatch], n_buckets: int, only: str = "") -> Iterator[pa.RecordBatch]:
+    """Of each block: its documents as sequences of codes (bucket -1), and its distinct groups, dealt to buckets by their hash.
+
+    only: `documents` or `groups`. A block's number holds a checksum of its text, so both halves of one block can only meet if
+    both have seen the same text."""
+    press = zstandard.ZstdCompressor(level=3).compress
     for k, chunk in enumerate(chunks(batches, most=BLOCK_BYTES)):
-        block = part << 32 | k
         raw, at = text_buffer(chunk["text"])
+        part = chunk["part"][0].as_py()
+        block = part << 48 | (k & 0xFFFF) << 32 | zlib.crc32(raw)
         starts = group_starts(raw, at)
         words, codes = dictionary(raw, starts)
-        first = np.searchsorted(starts, at)
-        bodies = [packer.compress(codes[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:], strict=True)]
-        n = len(bodies)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, -1, np.int32)), chunk["doc_id"].combine_chunks(), pa.array(bodies, pa.binary())], ["block", "code", "doc_id", "body"])
-        for lo in range(0, len(words), 50_000):
-            m = min(50_000, len(words) - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(lo, lo + m, dtype=np.int32)), pa.nulls(m, pa.int64()), words.slice(lo, m).cast(pa.binary())], ["block", "code", "doc_id", "body"])
-
+        if len(codes):  # frequent groups get small codes
+            order = np.argsort(-np.bincount(codes), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            codes = rank[codes]
+        else:
+            rank = np.zeros(0, np.uint32)
+        if only != "groups":
+            first = np.searchsorted(starts, at)
+            bodies = [_pack(codes[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
+            n = len(bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, -1, np.int32)), chunk["doc_id"].combine_chunks(), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
+        if only == "documents":
+            continue
+        text, ends = text_buffer(words)
+        bucket = (segment_hashes(text, ends[:-1], ends[1:]) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((rank, bucket))
+        size = np.diff(ends)
+        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        rows = []
+        for b in range(n_buckets):
+            own = order[edges[b] : edges[b + 1]]
+            if len(own):
+                end = np.cumsum(size[own])
+                body = text[np.repeat(ends[own] - (end - size[own]), size[own]) + np.arange(end[-1])]
+                rows.append((b, _pack(np.diff(rank[own], prepend=np.uint32(0))), _pack(size[own]), press(body.tobytes())))
+        if rows:
+            b, numbers, sizes, bodies = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), block)), pa.array(b, pa.int32()), pa.nulls(len(b), pa.int64()), pa.array(numbers, pa.binary()), pa.array(sizes, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
+
+
+_FIELDS = ["block", "bucket", "doc_id", "codes", "sizes", "body"]
+_DEALT = "block long, bucket int, doc_id long, codes binary, sizes binary, body binary"
 
 _made: dict = {}
 
@@ -104,67 +145,98 @@ def _token_bytes(data: bytes) -> tuple[list[bytes], list[bytes]]:
     return _made[key]
 
 
-def encode_blocks(docs: DataFrame, file: str, pattern: str) -> DataFrame:
-    """Rows of (block, code, doc_id, ids or codes): for each block its distinct groups' ids, then its documents at code -1."""
+def encode_blocks(docs: DataFrame, file: str, pattern: str, scanned: bool = False) -> DataFrame:
+    """Rows of _FIELDS: of each block its documents as codes (bucket -1), and ids (body) with their counts (sizes) for all codes.
+
+    scanned: the documents are a plain table scan, which gives the same partitions each time; it is then cut into blocks twice
+    instead of storing the codes once more. A block that changed between the two raises an error."""
     spark = docs.sparkSession
     data, n = ship(spark, file), shuffle_partitions(spark)
-    dealt = materialize(id_and_text(docs).mapInArrow(_deal, "block long, code int, doc_id long, body binary"), "dealt")
+    n_buckets = 4 * n
+    # the number of the partition within its scan, which a union does not change
+    texts = id_and_text(docs).withColumn("part", F.spark_partition_id().cast("long"))
+    if scanned:
+        documents = texts.mapInArrow(lambda batches: _deal(batches, n_buckets, "documents"), _DEALT)
+        groups = texts.mapInArrow(lambda batches: _deal(batches, n_buckets, "groups"), _DEALT)
+    else:
+        dealt = materialize(texts.mapInArrow(lambda batches: _deal(batches, n_buckets), _DEALT), "dealt")
+        documents, groups = dealt.filter("bucket < 0"), dealt.filter("bucket >= 0")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one = _encoder(data.value, pattern).encode_ordinary
-        last, ids = None, b""
+        held: list[tuple] = []
         for batch in batches:
-            found = batch["body"].dictionary_encode()
-            made = []
-            for word in found.dictionary.to_pylist():
-                if word != last:  # a word that goes on from the batch before is not encoded again
-                    last, ids = word, np.array(encode_one(word.decode("utf-8", "replace")), "<u4").tobytes()
-                made.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["code"], pa.array(made, pa.binary()).take(found.indices)], ["block", "code", "body"])
-
-    words = dealt.filter("code >= 0").select("block", "code", "body").repartition(n, "body").sortWithinPartitions("body")
-    encoded = words.mapInArrow(encode, "block long, code int, body binary")
-    return encoded.select("block", "code", F.lit(None).cast("long").alias("doc_id"), "body").unionByName(dealt.filter("code < 0"))
+            for row in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "codes", "sizes", "body")), strict=True):
+                if held and held[0][1] != row[1]:
+                    yield _encode_bucket(held, _encoder(data.value, pattern).encode_ordinary)
+                    held = []
+                held.append(row)
+        if held:
+            yield _encode_bucket(held, _encoder(data.value, pattern).encode_ordinary)
+
+    words = groups.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return words.mapInArrow(encode, _DEALT).unionByName(documents)
+
+
+def _encode_bucket(rows: list[tuple], encode_one) -> pa.RecordBatch:
+    """All blocks' rows of one bucket: each of its distinct groups is encoded once."""
+    press = zstandard.ZstdDecompressor()
+    sizes = [_unpack(r[3]) for r in rows]
+    body = b"".join(press.decompress(r[4]) for r in rows)
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+    words, place = dictionary(np.frombuffer(body, np.uint8), ends[:-1])
+    lists = [encode_one(w.decode("utf-8", "replace")) for w in words.to_pylist()]
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((i for ids in lists for i in ids), np.uint32, count.sum())
+    offsets = np.concatenate(([0], np.cumsum(count)))
+    out_sizes, out_ids, done = [], [], 0
+    for own in sizes:
+        mine = place[done : done + len(own)]
+        out_sizes.append(_pack(count[mine]))
+        out_ids.append(_pack(gather(flat, offsets, mine)))
+        done += len(own)
+    n = len(rows)
+    block, bucket, codes = zip(*((r[0], r[1], r[2]) for r in rows), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(out_sizes, pa.binary()), pa.array(out_ids, pa.binary())], _FIELDS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
-    """For each document row: ids of the block's groups, their offsets, the row. Rows come by block, codes falling to -1."""
-    held: list[tuple[np.ndarray, pa.Array]] = []
+    """For each run of document rows: ids of the block's groups, their offsets, the rows. Rows come by block, buckets falling to -1."""
+    held: list[tuple] = []
     block, ready = None, None
     for batch in batches:
-        blocks, codes = batch["block"].to_numpy(), batch["code"].to_numpy()
-        edges = np.flatnonzero((np.diff(blocks) != 0) | ((codes[1:] < 0) != (codes[:-1] < 0))) + 1
+        blocks, buckets = batch["block"].to_numpy(), batch["bucket"].to_numpy()
+        edges = np.flatnonzero((np.diff(blocks) != 0) | ((buckets[1:] < 0) != (buckets[:-1] < 0))) + 1
         for lo, hi in zip([0, *edges], [*edges, len(blocks)], strict=True):
             if hi <= lo:
                 continue
             if blocks[lo] != block:
                 block, held, ready = blocks[lo], [], None
-            if codes[lo] >= 0:
-                held.append((codes[lo:hi], batch["body"].slice(lo, hi - lo)))
+            if buckets[lo] >= 0:
+                held += zip(*(batch[c].slice(lo, hi - lo).to_pylist() for c in ("codes", "sizes", "body")), strict=True)
                 continue
             if ready is None:
                 ready, held = _by_code(held), []
             yield *ready, pa.Table.from_batches([batch.slice(lo, hi - lo)])
 
 
-def _by_code(held: list) -> tuple[np.ndarray, np.ndarray]:
+def _by_code(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block in order of code, and their offsets."""
     if not held:
         return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    codes = np.concatenate([c for c, _ in held])
-    raw, at = text_buffer(pa.concat_arrays([b for _, b in held]))
-    ids = np.frombuffer(raw.tobytes(), "<u4")
-    at = at // 4
-    size = np.diff(at)[::-1]
-    # codes fall from the highest to 0, so the reverse of what came is in order
-    if not np.array_equal(codes[::-1], np.arange(len(codes))):
+    codes = np.concatenate([np.cumsum(_unpack(c), dtype=np.int64) for c, _, _ in held])
+    size = np.concatenate([_unpack(s) for _, s, _ in held]).astype(np.int64)
+    ids = np.concatenate([_unpack(i) for _, _, i in held])
+    came = np.concatenate(([0], np.cumsum(size)))
+    order = np.argsort(codes)
+    if not np.array_equal(codes[order], np.arange(len(codes))):
         raise ValueError("a block's words are not complete")
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    take = np.repeat(at[:-1][::-1] - offsets[:-1], size) + np.arange(offsets[-1])
-    return ids[take], offsets
+    return gather(ids, came, order), np.concatenate(([0], np.cumsum(size[order])))
 
 
 def gather(ids: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The ids of a sequence of groups."""
+    if len(codes) and int(codes.max()) + 1 >= len(offsets):
+        raise ValueError("a block's words are not complete")
     size = offsets[codes + 1] - offsets[codes]
     end = np.cumsum(size)
     if not len(end) or not end[-1]:
@@ -177,12 +249,12 @@ def tokens(docs: DataFrame, file: str | None = None, pattern: str | None = None)
     return _assembled(docs, file, pattern, False)
 
 
-def token_digests(docs: DataFrame, file: str | None = None, pattern: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, file: str | None = None, pattern: str | None = None, scanned: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes."""
-    return _assembled(docs, file, pattern, True)
+    return _assembled(docs, file, pattern, True, scanned)
 
 
-def _assembled(docs: DataFrame, file: str | None, pattern: str | None, digest: bool) -> DataFrame:
+def _assembled(docs: DataFrame, file: str | None, pattern: str | None, digest: bool, scanned: bool = False) -> DataFrame:
     if pattern is None:
         import public_tokenizers
 
@@ -193,11 +265,10 @@ def _assembled(docs: DataFrame, file: str | None, pattern: str | None, digest: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, decimal = _token_bytes(data.value)
-        unpack = zstandard.ZstdDecompressor().decompress
         for ids, offsets, rows in _blocks(batches):
             counts, seen, back = [], [], []
             for body in rows["body"].to_pylist():
-                own = gather(ids, offsets, np.frombuffer(unpack(body), np.int32))
+                own = gather(ids, offsets, _unpack(body))
                 if not digest:
                     back.append(own.astype(np.int32))
                     continue
@@ -211,7 +282,7 @@ def _assembled(docs: DataFrame, file: str | None, pattern: str | None, digest: b
             else:
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(back, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = encode_blocks(docs, file, pattern).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.desc("code"))
+    rows = encode_blocks(docs, file, pattern, scanned).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.desc("bucket"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>")
 
 
@@ -229,4 +300,4 @@ def decode(ids: DataFrame, file: str | None = None) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"))
+    return token_digests(table(spark, sf_dir, "documents"), scanned=True)
