@@ -146,17 +146,19 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
 def redact(docs: DataFrame, mask: str = "[secret]", model: RandomForestClassificationModel | None = None) -> DataFrame:
     """The documents, all columns, with each secret replaced by a mask (n_chars, if there, follows). doc_id must be unique."""
     secrets = materialize(scan(docs, model).filter("is_secret and doc_id is not null").select("doc_id", "start", "length"), "secrets")
-    spans = secrets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    spans = secrets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    # all columns in one, so that no name of theirs meets one of ours
+    joined = docs.select(F.struct("*").alias("row")).join(spans, F.col("row.doc_id") == F.col("doc_id"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    piece = lambda acc, until: F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (until - acc["at"]).cast("int"))
+    own = F.col("row.text")
+    piece = lambda acc, until: F.substring(own, (acc["at"] + 1).cast("int"), (until - acc["at"]).cast("int"))
     step = lambda acc, x: F.struct((x["start"] + x["length"]).alias("at"), F.concat(acc["out"], piece(acc, x["start"]), F.lit(mask)).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, end))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    end = lambda acc: F.concat(acc["out"], F.substring(own, (acc["at"] + 1).cast("int"), F.lit(2147483647)))
+    text = F.when(F.col("spans").isNull(), own).otherwise(F.aggregate("spans", start, step, end))
+    made = joined.select("row", "spans", text.alias("text"))
+    n_chars = lambda kind: F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(kind))
+    columns = {"text": lambda: F.col("text"), "n_chars": lambda: n_chars(docs.schema["n_chars"].dataType)}
+    return made.select(*[columns[c]().alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

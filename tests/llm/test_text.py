@@ -1,0 +1,160 @@
+import base64
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from quarry.llm import byte_bpe, language_id, packing, secret_scan
+from tests.llm.plain import clashing, documents, sha
+
+P = pytest.importorskip("public_tokenizers")
+
+TEXTS = ["", None, " ", "  two  spaces ", "Hello, world! it's we've 12 345", "naïve café x 　y\n\n\tz", "é́​ b", "😀 emoji😀😀", "a" * 3000, "tab\tnew\r\nline \x0b\x0c end ", "x\x85 y\x1c z", "don't 'tis <|endoftext|> ok", "ΣΑΣ ǅ İstanbul ﬁ", "...!!!???", "word,word.word'word-word", "﻿ bom"]
+
+
+def test_bpe_equals_the_library(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(byte_bpe.VOCABULARY), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    pieces = [" ", "  ", "\n", " ", " ", "a", "Bé", "'s", "12", "!?", "\t", "漢字", "x\u0085"]
+    rows = list(enumerate(TEXTS + ["".join(r.choice(pieces) for _ in range(40)) for _ in range(200)]))
+    rows += [(3, TEXTS[3]), (None, "null id")]
+    df = clashing(documents(spark, rows))
+    for scanned in (False, True):
+        got = byte_bpe.token_digests(df, scanned=scanned).collect()
+        assert len(got) == len(rows)
+        found = {r.doc_id: r for r in got}
+        for i, t in rows:
+            ids = own.encode_ordinary(t or "")
+            assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(t or "")), t
+    ids = byte_bpe.tokens(df)
+    back = {r.doc_id: bytes(r.bytes).decode() for r in byte_bpe.decode(ids).collect()}
+    assert back == {i: t or "" for i, t in rows}
+    assert byte_bpe.token_digests(documents(spark, [])).count() == 0
+
+
+def test_packing(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(P.path(packing.VOCABULARY))
+    own.encode_special_tokens = True
+    r = random.Random(2)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(r.choice(["the", "lorem", "don't", "x,y", "42", "É"]) for _ in range(r.randint(1, 2500)))) for i in range(60)]
+    got = packing.pack(clashing(documents(spark, rows))).collect()
+    by_doc, by_sequence = {}, {}
+    for p in got:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    assert set(by_doc) == {i for i, _ in rows}
+    for i, t in rows:
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(by_doc[i], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    for own_pieces in by_sequence.values():
+        at = 0
+        for p in sorted(own_pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 2048 or at < 2048 and at & (at - 1) == 0  # full, or a power of two: no padding
+    assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_plan_fills_windows():
+    r = random.Random(1)
+    for histogram in ({}, {5: 3}, {1024: 7}, {2048: 2}, {k: r.randint(0, 40) for k in range(1, 2048)}, {700: 100, 648: 50, 10: 1}):
+        placed, ends = packing.plan(histogram)
+        used = {}
+        for length, n in histogram.items():
+            for rank in range(n):
+                for _, size, sequence, offset in packing.place(rank, length, placed, ends, 2048):
+                    used.setdefault(sequence, []).append((offset, size))
+        short = 0
+        for parts in used.values():
+            at = 0
+            for offset, size in sorted(parts):
+                assert offset == at
+                at += size
+            short += at < 2048
+            assert at == 2048 or at & (at - 1) == 0
+        assert short <= 11
+    counts = packing.repeat_counts([(1024, 1024)], {1024: 10})
+    assert counts[0] == pytest.approx(5, abs=0.01)
+
+
+def prose(lang, seed, n):
+    r = random.Random(f"{lang}{seed}")
+    parts = {"en": "the of and ing tion er th wh ea sh".split(), "de": "der sch ein ung keit ü ß und ich ö".split(), "fr": "le la eau è ment qu é eux tre ai".split(), "es": "el los ción ñ ar que mente ó ado ll".split()}[lang]
+    return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def test_language_id(spark):
+    rows = [(i, prose(lang, i, 5 + i % 60), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 60)]
+    odd = [(1000, None), (1001, ""), (1002, "123 !?"), (None, prose("de", 1, 30), None), (1003, "漢字", None), (1004, prose("fr", 0, 40), None)]
+    df = clashing(documents(spark, rows + odd))
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows) + len(odd)
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in got.items() if r.held_out} >= {i for i, _ in held}
+    assert sum(got[i].lang_pred == lang for i, lang in held) / len(held) > 0.95
+    for i in (1000, 1001, 1002):
+        assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+    assert got[None].lang_pred == "de" and got[1004].lang_pred == "fr" and got[1003].lang_pred != "und"
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_id_learns_only_what_it_may(spark):
+    """Held-out rows and rows without a label change nothing; texts decide alone."""
+    rows = [(i, prose(lang, i, 30), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    wrong = [(i, t, "fr" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(documents(spark, x)).collect()} for x in (rows, wrong))
+    assert a == b
+    nothing = language_id.identify(documents(spark, [(1, "some words", None)])).collect()[0]
+    assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
+    assert language_id.identify(documents(spark, [])).count() == 0
+
+
+KEY = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+
+
+def test_secret_scan(spark):
+    rows = [
+        (1, f'and token = "{KEY}" more'),
+        (2, f"commit {KEY} fixes it"),
+        (3, "call 4785380592391139 now"),
+        (4, None),
+        (5, ""),
+        (6, f'é😀 secret="{KEY[:32]}" and then api_key: "Zx9{KEY[5:30].upper()}" end'),
+        (7, "-----BEGIN RSA PRIVATE KEY-----\nMIIE"),
+        (8, "plain words without anything of that kind"),
+        (None, f'TOKEN = "{KEY.upper()}"'),
+    ]
+    df = clashing(documents(spark, rows + [rows[0]]))
+    model = secret_scan.train(spark)
+    found = secret_scan.scan(df, model).collect()
+    texts = dict(rows)
+    for r in found:
+        assert sha(texts[r.doc_id][r.start : r.start + r.length]) == r.sha256
+    secret = {(r.doc_id, r.start) for r in found if r.is_secret}
+    assert {(1, 13), (None, 9), (7, 0)} <= secret and not {i for i, _ in secret} & {2, 3, 8}
+    assert len([r for r in found if r.doc_id == 6]) == 2
+    assert len([r for r in found if r.doc_id == 1]) == 2
+    out = {r.doc_id: r.text for r in secret_scan.redact(documents(spark, rows), model=model).collect()}
+    assert out[1] == 'and token = "[secret]" more' and out[2] == rows[1][1] and out[4] is None and len(out) == len(rows)
+    assert secret_scan.redact(df.limit(3), model=model).columns == df.columns
+    assert secret_scan.scan(documents(spark, []), model).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    from pyspark.sql import functions as F
+
+    rows = secret_scan.labelled_findings(spark).withColumn("k", F.monotonically_increasing_id() % 5)
+    model = secret_scan.train(spark, rows.filter("k > 0").drop("k"))
+    from pyspark.ml.feature import VectorAssembler
+
+    test = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(secret_scan.features(rows.filter("k = 0").drop("k")))
+    hits = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert hits > 0.9
