@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

@@ -411,3 +411,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR, wi
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island
+ FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+p AS (SELECT doc_id, island, min(s) AS b, max(s) + 100 AS e FROM i GROUP BY 1, 2),
+g AS (SELECT doc_id, e, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS nb FROM p),
+k AS (SELECT doc_id, 0 AS e, min(b) AS nb FROM p GROUP BY 1 UNION ALL SELECT doc_id, e, nb FROM g),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * e + 1, 2 * (coalesce(nb, length(h) // 2) - e)), '' ORDER BY e) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
