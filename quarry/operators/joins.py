@@ -72,12 +72,12 @@ def tallies_differ(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def limited(df: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
-    """The n least values of each group beside the count of all; a group's values are ranked, not gathered."""
+    """The n least values of each group beside the count of all. Each task keeps n rows of a group before they are shuffled."""
     from pyspark.sql import Window
 
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value)))
-    few = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("__r") <= n, F.col(value)))).alias("first"))
-    return few
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value))).filter(F.col("__r") <= n)
+    few = ranked.groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("first"))
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("total")).join(few, group, "left")
 
 
 def shared_node_pairs(edges: DataFrame, edge: str, u: str, v: str) -> DataFrame:
