@@ -29,6 +29,8 @@ BANDS, ROWS = 24, 3
 SLOTS = BANDS * ROWS
 #: Rounds in which a bucket's members meet one of its members, before what is left is compared in blocks of BLOCK members.
 PIVOTS, BLOCK = 1, 1024
+#: Shingles in such a block, and text of one numpy pass.
+BLOCK_SHINGLES, PASS_BYTES = 500_000, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -109,7 +111,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, two fingerprints of the set, its band keys, and eight bits of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=PASS_BYTES):
             n, one, two, keys, bits = [], [], [], [], []
             for elements in shingle_sets(*text_buffer(chunk["text"]), size):
                 n.append(len(elements))
@@ -125,7 +127,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=PASS_BYTES):
             found = [x.view(np.int64) for x in shingle_sets(*text_buffer(chunk["text"]), size)]
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "elements"])
 
@@ -162,7 +164,7 @@ def _further_links(open_members: DataFrame, sets: DataFrame, percent: int) -> Da
 
     A bucket's members are dealt to blocks; each two blocks of a bucket are one unit of work. Pairs are looked at inside the unit, by size, by
     signature, and by full sets; only links that unite two groups leave it."""
-    blocks = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("deal", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).withColumn("deal", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")).drop("total")
     dealt = open_members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("deal") - 1))
     units = dealt.join(sets, "doc_id").withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.col("mine"), "doc_id", "component", "n", "bits", "elements")
