@@ -69,3 +69,22 @@ def first_line(text: Column) -> Column:
 def canonical_hash(*columns: Column) -> Column:
     """SHA-256 of a JSON object with sorted keys, without nulls."""
     return F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256)
+
+
+def embedded_json(page: Column, element_id: str) -> Column:
+    """The text of a script element with this id, as it stands."""
+    import re
+
+    pattern = r"(?s)<script[^>]*\bid=[\"']" + re.escape(element_id) + r"[\"'][^>]*>(.*?)</script>"
+    return blank_null(F.regexp_extract(page, pattern, 1))
+
+
+def asset_references(page: Column) -> Column:
+    """Distinct targets of src and href, sorted."""
+    found = F.regexp_extract_all(page, F.lit(r"(?:src|href)\s*=\s*[\"']([^\"'#]+)"), F.lit(1))
+    return F.array_sort(F.array_distinct(found))
+
+
+def json_keys(document: Column) -> Column:
+    """Top-level keys of a JSON object, sorted; null for anything else."""
+    return F.array_sort(F.json_object_keys(document))

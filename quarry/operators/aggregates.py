@@ -154,3 +154,46 @@ def enrichment_counts(df: DataFrame, dimensions: Sequence[str], label: str, clas
     long = levels.select("dimension", "level", "level_total", each.alias("c")).select("dimension", "level", "level_total", "c.*")
     of_class = Window.partitionBy("dimension", "class")
     return long.withColumn("class_total", F.sum("in_level").over(of_class)).withColumn("total", F.sum("level_total").over(of_class))
+
+
+def clipped_otsu(df: DataFrame, column: str, bins: int = 128, low: float = 0.01, high: float = 0.99, least: int = 16) -> DataFrame:
+    """Otsu over equal bins between two percentiles, values outside held to the ends; the threshold is the upper edge of its bin. Null for fewer values."""
+    v = number(column)
+    ends = df.agg(F.percentile(v, low).alias("lo"), F.percentile(v, high).alias("hi"), F.count(v).alias("total"))
+    at = df.filter(v.isNotNull()).crossJoin(F.broadcast(ends))
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / width)))
+    levels = at.filter(F.col("hi") > F.col("lo")).groupBy(place.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = otsu(levels)
+    edge = F.col("lo") + (F.col("threshold") + 1) * width
+    return ends.join(F.broadcast(found)).select(F.when(F.col("total") >= least, edge).alias("threshold"))
+
+
+def foreground(df: DataFrame, line: str, position: str, mask: Column) -> DataFrame:
+    """Of each line of a volume: foreground cells, the first and last of them, and how often the mask changes along the line."""
+    w = Window.partitionBy(line).orderBy(position)
+    flag = F.coalesce(mask, F.lit(False))
+    marked = df.select(line, position, flag.alias("f"), (flag != F.lag(flag).over(w)).alias("c"))
+    return marked.groupBy(line).agg(F.count_if("f").alias("filled"), F.min(F.when(F.col("f"), F.col(position))).alias("first"), F.max(F.when(F.col("f"), F.col(position))).alias("last"), F.count_if("c").alias("changes"))
+
+
+def sample_bias(population: DataFrame, sample: DataFrame, level: str) -> DataFrame:
+    """Share of each level in a sample beside its share in the population, and their ratio."""
+    total = Window.partitionBy()
+    p = population.groupBy(level).agg(F.count(F.lit(1)).alias("n_all")).withColumn("share_all", F.col("n_all") / F.sum("n_all").over(total))
+    q = sample.groupBy(level).agg(F.count(F.lit(1)).alias("n_sample")).withColumn("share_sample", F.col("n_sample") / F.sum("n_sample").over(total))
+    out = p.join(q, level, "left").withColumn("n_sample", F.coalesce("n_sample", F.lit(0))).withColumn("share_sample", F.coalesce("share_sample", F.lit(0.0)))
+    return out.withColumn("ratio", F.col("share_sample") / F.col("share_all"))
+
+
+def masked(df: DataFrame, value: str, threshold: float, strict: bool = False, fill: float = 0.0) -> DataFrame:
+    """mask and masked value of every cell: at or above the threshold (above it, if strict)."""
+    hit = F.coalesce(number(value) > threshold if strict else number(value) >= threshold, F.lit(False))
+    return df.withColumn("mask", hit).withColumn("masked", F.when(hit, number(value)).otherwise(F.lit(fill)))
+
+
+def normalised(df: DataFrame, value: str) -> DataFrame:
+    """The value on a scale from 0 to 1 over the whole table; 0 where nothing varies."""
+    ends = df.agg(F.min(number(value)).alias("__lo"), F.max(number(value)).alias("__hi"))
+    at = df.crossJoin(F.broadcast(ends))
+    return at.withColumn("normalised", F.when(F.col("__hi") > F.col("__lo"), (number(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.when(number(value).isNotNull(), 0.0))).drop("__lo", "__hi")

@@ -71,6 +71,12 @@ def coverage(ids: DataFrame, column: str, known: DataFrame, key: str, separator:
     return used.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(known.select(F.col(key).cast("string").alias("id")).distinct(), "id", "left_anti")
 
 
+def row_claims(claims: DataFrame, actual: DataFrame) -> DataFrame:
+    """Claimed and counted rows of each table: (name, claimed, counted, status); a table that is not there is SKIP."""
+    state = F.when(F.col("counted").isNull(), "SKIP").when(F.col("claimed") == F.col("counted"), "PASS").otherwise("FAIL")
+    return claims.select("name", "claimed").join(actual.select("name", "counted"), "name", "left").withColumn("status", state)
+
+
 def report(*checks: DataFrame) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -113,3 +113,9 @@ def enclosed_volume(triangles: DataFrame) -> DataFrame:
     u, v = [q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)]
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     return triangles.agg((F.sum(det) / 6).alias("volume"), F.sum(0.5 * F.sqrt(sum((x * x for x in cross), F.lit(0.0)))).alias("area"), F.count(F.lit(1)).alias("triangles"))
+
+
+def on_skin(start: Column, stop: Column, low, high, tolerance: float = 1e-9) -> Column:
+    """Whether both ends lie in the lowest or both in the highest plane."""
+    near = lambda v, plane: F.abs(v - plane) <= tolerance
+    return (near(start, low) & near(stop, low)) | (near(start, high) & near(stop, high))

@@ -81,3 +81,19 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> tuple[DataFrame
     rows = df.orderBy(*order).offset(offset).limit(limit)
     more = df.orderBy(*order).offset(offset + limit).limit(1).count() > 0
     return rows, offset + limit if more else None
+
+
+def profile_slices(df: DataFrame, group: str, order: list[str], value: str, edge: float = 0.1, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """Means of a profile's first and last `edge` and of its middle, by position among the group's rows."""
+    w = Window.partitionBy(group).orderBy(*order)
+    at = (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(group))
+    placed = df.select(group, value, at.alias("at"))
+    mean = lambda c: F.avg(F.when(c, F.col(value)))
+    return placed.groupBy(group).agg(mean(F.col("at") < edge).alias("first"), mean((F.col("at") >= low) & (F.col("at") < high)).alias("middle"), mean(F.col("at") >= 1 - edge).alias("last"))
+
+
+def first_per_group(df: DataFrame, group: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """The first row of each group in a total order, by aggregation: one row of a group leaves each task."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    best = df.groupBy(*group).agg(F.min(F.struct(*keys, *columns)).alias("m"))
+    return best.select(*group, *[F.col(f"m.{c}").alias(c) for c in columns])

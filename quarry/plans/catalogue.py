@@ -628,6 +628,143 @@ def audit_checks(spark, sf_dir):
     )
 
 
+# --- further operators of the inventory -------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, round(stddev_pop(l_quantity), 9) AS population, round(stddev_samp(l_quantity), 9) AS sample FROM lineitem GROUP BY 1")
+def std_variants(spark, sf_dir):
+    v = ag.number("l_quantity")
+    out = read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.stddev_pop(v).alias("population"), F.stddev_samp(v).alias("sample"))
+    return rounded(out, "population", "sample", places=9)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber % 2 = 1")
+def stride_sample(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").filter("l_orderkey % 7 = 0 and l_linenumber % 2 = 1")
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY abs(l_quantity - 25), l_orderkey, l_linenumber, l_extendedprice) = 1")
+def nearest_per_group(spark, sf_dir):
+    order = [F.abs(F.col("l_quantity") - 25), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice")]
+    return sequences.first_per_group(read(spark, sf_dir, "lineitem"), ["l_partkey"], order, ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query("SELECT 'customer' AS layer, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2")
+def union_layers(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.lit("customer").alias("layer"), F.col("c_nationkey").alias("nation"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("layer"))
+    return a.unionByName(b).groupBy("layer", "nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'same' AS "check", CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, 0.0::DOUBLE AS expected, n::DOUBLE AS actual FROM (SELECT count(*) AS n FROM ((SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer) UNION ALL (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)))""")
+def table_equality(spark, sf_dir):
+    return audit.same_rows(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct(), "same")
+
+
+@query("""SELECT c.name, c.claimed, a.counted, CASE WHEN a.counted IS NULL THEN 'SKIP' WHEN a.counted = c.claimed THEN 'PASS' ELSE 'FAIL' END AS status FROM (VALUES ('nation', 25::BIGINT), ('region', 6), ('absent', 1)) c(name, claimed)
+LEFT JOIN (SELECT 'nation' AS name, count(*) AS counted FROM nation UNION ALL SELECT 'region', count(*) FROM region) a USING (name)""")
+def row_claims(spark, sf_dir):
+    claims = spark.createDataFrame([("nation", 25), ("region", 6), ("absent", 1)], "name string, claimed long")
+    counted = [read(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("counted")).select(F.lit(t).alias("name"), "counted") for t in ("nation", "region")]
+    return audit.row_claims(claims, counted[0].unionByName(counted[1]))
+
+
+@query("""SELECT p_partkey, to_json({'id': p_partkey, 'name': p_name, 'evidence': {'orders': coalesce(n, 0), 'size': p_size}}) AS document FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+def augmented_json(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    out = joins.chained(read(spark, sf_dir, "part"), [(n, "p_partkey")])
+    evidence = F.struct(F.coalesce("n", F.lit(0)).alias("orders"), F.col("p_size").alias("size"))
+    return out.select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), evidence.alias("evidence"))).alias("document"))
+
+
+@query("""WITH b AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) SELECT l_orderkey, l_linenumber, (l_quantity = lo AND 1 + l_discount * 0 = lo) OR (l_quantity = hi AND 50 + l_discount * 0 = hi) AS skin FROM lineitem, b""")
+def skin_planes(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    at = rows.crossJoin(F.broadcast(ag.bounds(rows, "l_quantity")))
+    lo, hi, q = F.col("min_l_quantity"), F.col("max_l_quantity"), F.col("l_quantity")
+    return at.select("l_orderkey", "l_linenumber", geometry.on_skin(q, F.when(q < 25, 1.0).otherwise(50.0), lo, hi).alias("skin"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value > 12 AS f, (value > 12) <> lag(value > 12) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM events)
+SELECT user_id, count(*) FILTER (WHERE f) AS filled, min(event_id) FILTER (WHERE f) AS first, max(event_id) FILTER (WHERE f) AS last, count(*) FILTER (WHERE c) AS changes FROM e GROUP BY 1""")
+def foreground_profile(spark, sf_dir):
+    return ag.foreground(read(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") > 12)
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_quantity, (row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY l_orderkey % 100) AS pos, l_orderkey % 100 AS band FROM lineitem)
+SELECT band, round(avg(CASE WHEN pos < 0.1 THEN l_quantity END), 6) AS first, round(avg(CASE WHEN pos >= 0.2 AND pos < 0.8 THEN l_quantity END), 6) AS middle, round(avg(CASE WHEN pos >= 0.9 THEN l_quantity END), 6) AS last FROM r GROUP BY 1""")
+def profile_slices(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").withColumn("band", F.col("l_orderkey") % 100)
+    return rounded(sequences.profile_slices(rows, "band", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"], "l_quantity"), "first", "middle", "last")
+
+
+@query("""WITH t AS (SELECT p_partkey % 7 + 0.0::DOUBLE AS ax, p_size + 0.0::DOUBLE AS ay, p_partkey % 3 + 0.0::DOUBLE AS az, p_size % 5 + 0.0::DOUBLE AS bx, p_partkey % 11 + 0.0::DOUBLE AS by_, p_size % 4 + 0.0::DOUBLE AS bz, p_partkey % 13 + 0.0::DOUBLE AS cx, p_size % 6 + 0.0::DOUBLE AS cy, p_partkey % 2 + 0.0::DOUBLE AS cz FROM part)
+SELECT round(sum(ax * (by_ * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by_ * cx)) / 6, 4) AS volume, round(sum(0.5 * sqrt(((by_ - ay) * (cz - az) - (bz - az) * (cy - ay)) ** 2 + ((bz - az) * (cx - ax) - (bx - ax) * (cz - az)) ** 2 + ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) ** 2)), 4) AS area, count(*) AS triangles FROM t""")
+def enclosed_volume(spark, sf_dir):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    values = {"ax": k % 7, "ay": z, "az": k % 3, "bx": z % 5, "by": k % 11, "bz": z % 4, "cx": k % 13, "cy": z % 6, "cz": k % 2}
+    return rounded(geometry.enclosed_volume(read(spark, sf_dir, "part").select(*[v.cast("double").alias(n) for n, v in values.items()])), "volume", "area", places=4)
+
+
+@query("SELECT round(covar_pop(l_quantity, l_extendedprice), 4) AS covariance, round(corr(l_quantity, l_extendedprice), 9) AS correlation FROM lineitem")
+def covariance(spark, sf_dir):
+    out = read(spark, sf_dir, "lineitem").agg(F.covar_pop("l_quantity", "l_extendedprice").alias("covariance"), F.corr("l_quantity", "l_extendedprice").alias("correlation"))
+    return rounded(rounded(out, "covariance", places=4), "correlation", places=9)
+
+
+@query("SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def json_shape(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.explode(tx.json_keys(F.col("props"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_nationkey, string_agg(s_suppkey::VARCHAR, '|' ORDER BY s_suppkey::VARCHAR) AS ids, count(*) AS n FROM supplier GROUP BY 1")
+def pipe_joined_ids(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(tx.piped(F.collect_list("s_suppkey")).alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS size, md5(CASE WHEN doc_id % 10 = 4 THEN 'x' ELSE coalesce(text, '') END) AS sha256 FROM documents WHERE doc_id % 10 <> 1), a AS (SELECT 'f' || doc_id AS path, n_chars AS size, md5(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 10 <> 2)
+SELECT state, count(*) AS n FROM (SELECT CASE WHEN c.path IS NULL THEN 'orphan' WHEN a.path IS NULL THEN 'missing' WHEN c.size <> a.size THEN 'size' WHEN c.sha256 <> a.sha256 THEN 'hash' ELSE 'ok' END AS state FROM c FULL JOIN a USING (path)) GROUP BY 1""")
+def manifest_integrity(spark, sf_dir):
+    d, m, t = read(spark, sf_dir, "documents"), F.col("doc_id") % 10, F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("f"), "doc_id").alias("path")
+    claimed = d.filter(m != 1).select(path, F.when(m == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.md5(F.when(m == 4, "x").otherwise(t).cast("binary")).alias("sha256"))
+    actual = d.filter(m != 2).select(path, F.col("n_chars").alias("size"), F.md5(t.cast("binary")).alias("sha256"))
+    return audit.manifest(claimed, actual).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, count(*) AS n_all, count(*) / sum(count(*)) OVER () AS sa FROM lineitem GROUP BY 1), q AS (SELECT l_returnflag, count(*) AS n_sample, count(*) / sum(count(*)) OVER () AS ss FROM lineitem WHERE l_quantity < 5 GROUP BY 1)
+SELECT l_returnflag, n_all, round(sa, 9) AS share_all, coalesce(n_sample, 0) AS n_sample, round(coalesce(ss, 0), 9) AS share_sample, round(coalesce(ss, 0) / sa, 6) AS ratio FROM p LEFT JOIN q USING (l_returnflag)""")
+def sampling_bias(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    return rounded(rounded(ag.sample_bias(rows, rows.filter("l_quantity < 5"), "l_returnflag"), "share_all", "share_sample", places=9), "ratio")
+
+
+@query("""WITH e AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem), h AS (SELECT greatest(0, least(127, floor((l_extendedprice - lo) / ((hi - lo) / 128)))) AS value, count(*)::DOUBLE AS n FROM lineitem, e GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS w0, sum(n * value) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS s0, sum(n) OVER () AS w, sum(n * value) OVER () AS s FROM h), b AS (SELECT *, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) ** 2, 6) AS v FROM r WHERE w > w0)
+SELECT round(lo + (min(value) + 1) * ((hi - lo) / 128), 6) AS threshold FROM b, e WHERE v = (SELECT max(v) FROM b) GROUP BY lo, hi""")
+def clipped_otsu(spark, sf_dir):
+    return rounded(ag.clipped_otsu(read(spark, sf_dir, "lineitem"), "l_extendedprice"), "threshold")
+
+
+@query("""WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, p_retailprice >= 1000 AS mask, CASE WHEN p_retailprice >= 1000 THEN p_retailprice ELSE 0 END AS masked, round((p_retailprice - lo) / (hi - lo), 9) AS normalised FROM part, b""")
+def threshold_masks(spark, sf_dir):
+    out = ag.normalised(ag.masked(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 1000.0), "p_retailprice")
+    return rounded(out.drop("p_retailprice"), "normalised", places=9)
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?:src|href)\s*=\s*["'']([^"''#]+)', 1))), '|') AS assets FROM pages""")
+def asset_references(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(tx.asset_references(F.col("html")), "|").alias("assets"))
+
+
+@query("""SELECT a.c_custkey AS a, b.c_custkey AS b, round(sqrt((a.c_acctbal - b.c_acctbal) ** 2 + (a.c_nationkey - b.c_nationkey) ** 2), 6) AS distance FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1""")
+def point_distances(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    a = c.select(F.col("c_custkey").alias("a"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
+    b = c.select((F.col("c_custkey") - 1).alias("a"), F.col("c_custkey").alias("b"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    return a.join(b, "a").select("a", "b", F.round(joins.distance("a_", "b_", ["x", "y"]), 6).alias("distance"))
+
+
 # --- the flagship -----------------------------------------------------------------------------------------------------------------
 
 _FLAGSHIP = (_CLUSTERS + """, k AS (SELECT p.id, coalesce(min(c.l), -1) AS cluster FROM p LEFT JOIN c USING (id) GROUP BY p.id),
