@@ -28,8 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write a DataFrame to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    The table goes when the driver's JVM ends; until then any result may still need it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
