@@ -17,8 +17,7 @@ from quarry.llm._util import materialize, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those with no letter (`und`) go."""
-    found = language_id.predict_rows(docs, language_id.train(docs))
-    return found.filter(F.col("lang_pred") != "und").select(docs.columns)
+    return docs.filter(language_id.predicted(spark, language_id.train(docs), F.col("text"))["lang"] != "und")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

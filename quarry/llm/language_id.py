@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm._util import chunks, table, text_buffer
+from quarry.llm._util import chunks, small_batches, table, text_buffer
 
 #: Rows of each language that training looks at (on average; a hash picks them), and languages at most.
 PER_LANG, MOST_LANGS = 400, 200
@@ -54,6 +53,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _counted(byte: np.ndarray, doc: np.ndarray, most: int, width: int, size: int) -> np.ndarray:
+    """Counts of hashed pairs and triples that start among the first `most` bytes, by text."""
+    byte = byte.astype(np.uint32)
+    same = doc[1:] == doc[:-1]
+    pair = byte[:-1] << 8 | byte[1:]
+    triple = pair[:-1] << 8 | byte[2:]
+    row = doc.astype(np.int64) * width
+    first = row[:-1] + ((pair * np.uint32(2654435761)) >> 21) % (width // 2)
+    second = row[:-2] + width // 2 + ((triple * np.uint32(2246822519)) >> 20) % (width - width // 2)
+    return np.bincount(np.concatenate([first[:most][same[:most]], second[:most][(same[1:] & same[:-1])[:most]]]), minlength=size)
+
+
 def vectors(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A row of unit length for each text (zeros where it has no letter)."""
     n = len(at) - 1
@@ -65,17 +76,13 @@ def vectors(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
         stop = min(max(stop, done + 1), done + 512, n)
         byte = _FOLD[raw[at[done] : at[stop]]]
         if len(byte):
-            doc = np.repeat(np.arange(stop - done), np.diff(at[done : stop + 1]))
+            doc = np.repeat(np.arange(stop - done, dtype=np.int32), np.diff(at[done : stop + 1]))
             keep = np.ones(len(byte), bool)
             keep[1:] = (byte[1:] != 32) | (byte[:-1] != 32) | (doc[1:] != doc[:-1])
-            byte, doc = byte[keep].astype(np.uint32), doc[keep]
-            same = doc[1:] == doc[:-1]
-            pair = byte[:-1] << 8 | byte[1:]
-            triple = pair[:-1] << 8 | byte[2:]
-            row = doc * width
-            first = row[:-1] + ((pair * np.uint32(2654435761)) >> 21) % (width // 2)
-            second = row[:-2] + width // 2 + ((triple * np.uint32(2246822519)) >> 20) % (width - width // 2)
-            counts = np.bincount(np.concatenate([first[same], second[same[1:] & same[:-1]]]), minlength=(stop - done) * width)
+            byte, doc = byte[keep], doc[keep]
+            counts = np.zeros((stop - done) * width, np.int64)
+            for lo in range(0, len(byte), 1 << 20):  # a single long text is counted piece by piece
+                counts += _counted(byte[lo : lo + (1 << 20) + 2], doc[lo : lo + (1 << 20) + 2], 1 << 20, width, len(counts))
             found = np.sqrt(counts.reshape(stop - done, width))
             size = np.sqrt((found * found).sum(1, keepdims=True))
             out[done:stop] = found / np.where(size > 0, size, 1)
@@ -85,7 +92,10 @@ def vectors(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) & (raw < 128)
-    found = np.diff(np.concatenate(([0], np.cumsum(ascii_letter)))[at]) > 0
+    found = np.zeros(len(at) - 1, bool)
+    filled = np.flatnonzero(np.diff(at) > 0)
+    if len(filled):  # these follow one another without gaps
+        found[filled] = np.maximum.reduceat(ascii_letter.view(np.uint8), at[filled]) > 0
     for k in np.flatnonzero(~found & (np.diff(at) > 0)):
         found[k] = any(c.isalpha() for c in raw[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
     return found
@@ -122,6 +132,19 @@ class Model:
     languages: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = field(default_factory=dict)
 
+    def of_texts(self, raw: np.ndarray, at: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each text, a few rows at a time: vectors are wide, and texts may be short and many."""
+        parts = []
+        for lo in range(0, len(at) - 1, rows):
+            own = at[lo : lo + rows + 1]
+            piece, own = raw[own[0] : own[-1]], own - own[0]
+            lang, score = self.predict(vectors(piece, own))
+            none = ~has_letter(piece, own)
+            lang[none], score[none] = "und", 0.0
+            parts.append((lang, score))
+        lang, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, object), np.zeros(0))
+        return lang, score.astype(np.float64)
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.families:
             return np.full(len(x), "und", object), np.zeros(len(x))
@@ -182,6 +205,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learns from text and non-null lang of documents that are not held out, of which a hash of doc_id picks a bounded sample."""
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     if not counts:
@@ -191,7 +215,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, most=1 << 20):
-            x = vectors(*text_buffer(chunk["text"]))
+            raw, at = text_buffer(chunk["text"])
+            x = [v for lo in range(0, len(at) - 1, 256) for v in vectors(raw[at[lo] : at[min(lo + 256, len(at) - 1)]], at[lo : lo + 257] - at[lo])]
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), chunk["lang"].combine_chunks(), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
     sample = labelled.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).mapInArrow(run, "doc_id long, lang string, x binary").collect()
@@ -202,39 +227,30 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for chunk in chunks(batches, most=1 << 20):
-            raw, at = text_buffer(chunk["text"])
-            lang, score = model.predict(vectors(raw, at))
-            none = ~has_letter(raw, at)
-            lang[none], score[none] = "und", 0.0
+            lang, score = model.of_texts(*text_buffer(chunk["text"]))
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), chunk["held_out"].combine_chunks(), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents, with lang_pred and score beside them (in place of columns of those names)."""
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    own = docs.select(columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Language and score of a text column, as a struct (lang, score); only the text travels to the workers."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for chunk in chunks(batches, most=1 << 20):
-            raw, at = text_buffer(chunk["text"])
-            lang, score = model.predict(vectors(raw, at))
-            none = ~has_letter(raw, at)
-            lang[none], score[none] = "und", 0.0
-            out = chunk.append_column("lang_pred", pa.array(lang.tolist(), pa.string())).append_column("score", pa.array(score.astype(np.float64)))
-            yield from out.combine_chunks().to_batches()
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            lang, score = shared.value.of_texts(*text_buffer(part))
+            yield pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    shape = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(run, shape)
+    return F.arrow_udf(run, "lang string, score double")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, materialize, table
+from quarry.llm._util import chunks, materialize, small_batches, table
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Fields of a 304 answer that replace the stored response's: RFC 9110, section 15.4.5, and RFC 9111, section 4.3.4.
@@ -114,6 +114,7 @@ def captures(records: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split(" ")[0] for x in CAPTURE.split(", ")])
 
+    small_batches(records.sparkSession)
     return records.select("record_id", "data").mapInArrow(run, CAPTURE)
 
 
@@ -193,6 +194,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
             number, data = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["record_id", "data"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "record_id long, data binary")
 
