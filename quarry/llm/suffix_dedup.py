@@ -12,8 +12,9 @@ one with the least hash, the leftmost of equals), so equal strings name equal an
    backwards, are sorted: multikey quicksort (eight bytes a character) down to a shallow depth, then blind tries for groups
    with longer common prefixes. With both orders and their common prefix lengths, the strings at one offset fall into classes
    of equal bytes, and all but a class's first are repeats. No pairs are made.
-4. Anchors with more than HOT contexts are dealt further, by a 128-bit hash of each whole string: a deeper radix step that
-   spreads one anchor's occurrences over all tasks.
+4. Anchors with more than HOT contexts are dealt further, by 128-bit hashes: first of runs of STEP neighbouring strings, then,
+   of each different run, of every string in it. This deeper radix step spreads one anchor's occurrences over all tasks, and
+   what the contexts share is settled a run at a time.
 5. Spans meet their documents again, where they are joined and cut out.
 
 Defined cases: null text is empty; a null doc_id is never compared and loses nothing; rows that repeat a doc_id with the same
@@ -37,11 +38,12 @@ from quarry.llm._util import chunks, id_and_text, materialize, mix, running_hash
 
 LENGTH, ANCHOR = 100, 24
 #: Different contexts of one anchor that are sorted in one task.
-HOT = 512
+HOT = 8192
+STEP = 8
 #: Bytes that the quicksort compares beyond what a group shares; longer common prefixes go to blind tries.
 SHALLOW = 16
 #: Text of one numpy pass, and of one block of packed anchors.
-PASS_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
+PASS_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 #: Contexts that are sorted together.
 UNIT = 20_000
 
@@ -321,38 +323,57 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """From documents with their wanted occurrences: contexts to be sorted, and strings of hot anchors as hashes."""
-    names = ["anchor", "doc", "pos", "low", "high", "bytes", "one", "two"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["anchor", "doc", "pos", "low", "high", "bytes", "one", "two", "ones", "twos"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for chunk in chunks(batches, most=PASS_BYTES):
         raw, at = text_buffer(chunk["text"])
         data = raw.tobytes()
         cold: list[tuple] = []
-        hot_start, hot_doc = [], []
+        hot_start, hot_row, hot_offset = [], [], []
         for k, (doc, wanted) in enumerate(zip(chunk["doc_id"].to_pylist(), chunk["wanted"].to_pylist(), strict=True)):
             base = int(at[k])
             for o in wanted:
                 begin = base + o["pos"] - o["low"]
                 if o["hot"]:
                     hot_start.append(np.arange(begin, begin + o["high"] + 1))
-                    hot_doc.append(np.full(o["high"] + 1, k))
+                    hot_row.append(np.full(o["high"] + 1, k))
+                    hot_offset.append(np.arange(o["low"], o["low"] - o["high"] - 1, -1))
                 else:
-                    cold.append((o["anchor"], doc, o["pos"], o["low"], o["high"], data[begin : begin + o["high"] + length], None, None))
+                    cold.append((o["anchor"], doc, o["pos"], o["low"], o["high"], data[begin : begin + o["high"] + length], None, None, None, None))
         for lo in range(0, len(cold), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold[lo : lo + 20_000], strict=True), kinds, strict=True)], names)
         if hot_start:
-            start, k = np.concatenate(hot_start), np.concatenate(hot_doc)
-            one = segment_hashes(raw, start, start + length)
-            two = segment_hashes(raw ^ np.uint8(0x5A), start, start + length)
-            n = len(start)
-            doc, pos = pa.array(chunk["doc_id"].to_numpy()[k]), pa.array(start - at[k])
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pos, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names)
+            start, row, offset = map(np.concatenate, (hot_start, hot_row, hot_offset))
+            other = raw ^ np.uint8(0x5A)
+            # runs of strings whose offsets from their anchor share a step
+            run = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(offset // STEP, prepend=-1) != 0) | (np.diff(offset, prepend=-9) != -1))
+            size = np.diff(np.append(run, len(start)))
+            first, last = start[run], start[run] + size - 1
+            shape = (offset[run] * 1000 + size).astype(np.uint64)
+            keys = [mix(segment_hashes(x, first, last + length) + shape).view(np.int64) for x in (raw, other)]
+            edges = pa.array(np.append(run, len(start)), pa.int32())
+            each = [pa.ListArray.from_arrays(edges, pa.array(segment_hashes(x, start, start + length).view(np.int64))) for x in (raw, other)]
+            n = len(run)
+            doc, pos = pa.array(chunk["doc_id"].to_numpy()[row[run]]), pa.array(first - at[row[run]])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pos, pa.nulls(n, pa.int32()), pa.array(size, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, keys), *each], names)
+
+
+def _not_first(strings: DataFrame) -> DataFrame:
+    """Spans (doc, start, stop) of all but the first of equal strings (one, two, doc, pos, stop)."""
+    heads = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two", "head")
+    return strings.join(heads, ["one", "two"]).filter("doc <> head.doc or pos <> head.pos").select("doc", F.col("pos").alias("start"), "stop")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Texts of documents with an id: the same plan wherever texts are joined, so that they are shuffled once for all joins."""
+    return id_and_text(docs).filter("doc_id is not null")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR) -> DataFrame:
     """(doc, start, stop): byte spans that strings of `length` bytes cover which also start earlier; they may overlap."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    texts = id_and_text(docs).filter("doc_id is not null")
+    texts = _named(docs)
     packed = texts.mapInArrow(lambda b: _deal(b, length, gram, 4 * n), "bucket int, body binary")
     occurrences = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "anchor long, context long, doc long, pos long, low int, high int")
     occurrences = materialize(occurrences, "occurrences")
@@ -363,16 +384,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR) ->
     copies = occurrences.join(heads, ["anchor", "context"]).filter("doc <> doc1 or pos <> pos1").select("doc", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + F.col("high") + length).alias("stop"))
     # different contexts of one anchor
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    wanted = firsts.join(several, "anchor").withColumn("hot", F.col("contexts") > HOT)
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "pos", "low", "high", "hot")).alias("wanted"))
-    found = texts.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(lambda b: _contexts(b, length), "anchor long, doc long, pos long, low int, high int, bytes binary, one long, two long")
-    found = materialize(found, "contexts")
-    cold = found.filter("anchor is not null").select("anchor", "doc", "pos", "low", "high", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
+    sorted_here = firsts.join(several.filter(F.col("contexts") <= HOT), "anchor")
+    found = _wanted(texts, sorted_here, length)
+    cold = found.select("anchor", "doc", "pos", "low", "high", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
     parted = cold.mapInArrow(lambda b: _sorted_spans(b, length, gram), "doc long, start long, stop long")
-    strings = found.filter("anchor is null").select("one", "two", "doc", "pos")
-    heads = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two", "head")
-    again = strings.join(heads, ["one", "two"]).filter("doc <> head.doc or pos <> head.pos").select("doc", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"))
-    return copies.unionByName(parted).unionByName(again)
+    spans = copies.unionByName(parted)
+    too_many = several.filter(F.col("contexts") > HOT)
+    if too_many.limit(1).count():
+        hot = _wanted(texts, firsts.join(too_many, "anchor"), length)
+        runs = hot.select("one", "two", "doc", "pos", (F.col("pos") + F.col("high") - 1 + length).alias("stop"))
+        kept = hot.groupBy("one", "two").agg(F.min(F.struct("doc", "pos", "ones", "twos")).alias("kept")).select("kept.*")
+        strings = kept.select("doc", "pos", F.posexplode(F.arrays_zip("ones", "twos")).alias("k", "both")).select("doc", (F.col("pos") + F.col("k")).alias("pos"), F.col("both.ones").alias("one"), F.col("both.twos").alias("two"))
+        spans = spans.unionByName(_not_first(runs)).unionByName(_not_first(strings.withColumn("stop", F.col("pos") + length)))
+    return spans
+
+
+def _wanted(texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
+    """Contexts (or string hashes, for hot anchors) of the occurrences, taken from their documents' texts."""
+    lists = occurrences.groupBy("doc").agg(F.collect_list(F.struct("anchor", "pos", "low", "high", (F.col("contexts") > HOT).alias("hot"))).alias("wanted"))
+    fields = "anchor long, doc long, pos long, low int, high int, bytes binary, one long, two long, ones array<long>, twos array<long>"
+    return texts.join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(lambda b: _contexts(b, length), fields)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -405,8 +436,10 @@ def _fields(with_text: bool) -> str:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """Each document without its repeated bytes (column kept, on request), with counts and a digest of what is left."""
     spans = repeated_spans(docs, length, gram).distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = id_and_text(docs).join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return joined.mapInArrow(lambda b: _cut(b, with_text), _fields(with_text))
+    joined = _named(docs).join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    nameless = id_and_text(docs).filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+    cut = lambda df: df.mapInArrow(lambda b: _cut(b, with_text), _fields(with_text))
+    return cut(joined).unionByName(cut(nameless))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
