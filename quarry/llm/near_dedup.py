@@ -162,12 +162,23 @@ def _pivot_pairs(labelled: DataFrame, percent: int) -> DataFrame:
 def _further_links(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links between groups that still meet in a bucket; enough of them to unite what can be united.
 
-    A bucket's members are dealt to blocks; each two blocks of a bucket are one unit of work. Pairs are looked at inside the unit, by size, by
-    signature, and by full sets; only links that unite two groups leave it."""
-    blocks = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).withColumn("deal", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")).drop("total")
-    dealt = open_members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("deal") - 1))
-    units = dealt.join(sets, "doc_id").withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.col("mine"), "doc_id", "component", "n", "bits", "elements")
+    A bucket's largest group and its other members are dealt to blocks; a block of the others with one of the largest group, or two blocks of the
+    others, are one unit of work, so a large group costs no more than its few outsiders call for. Pairs are looked at inside the unit, by size,
+    by signature, and by full sets; only links that unite two groups leave it."""
+    of_group = open_members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    of_key = of_group.groupBy("key").agg(F.max(F.struct("size", "component", "total")).alias("main"), F.sum("size").alias("size"), F.sum("total").alias("total"))
+    deal = lambda size, total: F.ceil(F.greatest(size / BLOCK, total / BLOCK_SHINGLES)).cast("int")
+    of_key = of_key.select("key", F.col("main.component").alias("main"), deal(F.col("main.size"), F.col("main.total")).alias("in_main"), deal(F.col("size") - F.col("main.size"), F.col("total") - F.col("main.total")).alias("outside"))
+    # blocks of the largest group have numbers under 0; it is compared with the others only, the others with one another too
+    dealt = open_members.join(of_key, "key")
+    is_main, hashed = F.col("component") == F.col("main"), F.xxhash64("doc_id")
+    dealt = dealt.withColumn("mine", F.when(is_main, -1 - F.pmod(hashed, "in_main")).otherwise(F.pmod(hashed, "outside")).cast("int"))
+    unit = lambda p, q: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("mine")
+    others = F.concat(F.transform(up_to("outside"), lambda o: unit(F.least(mine, o), F.greatest(mine, o))), F.transform(up_to("in_main"), lambda m: unit(-1 - m, mine)))
+    dealt = dealt.withColumn("unit", F.explode(F.when(is_main, F.transform(up_to("outside"), lambda o: unit(mine, o))).otherwise(others)))
+    units = dealt.select("key", "unit.p", "unit.q", "mine", "doc_id", "component", "n", "bits").join(sets, "doc_id").select("key", "p", "q", "mine", "doc_id", "component", "n", "bits", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
