@@ -32,9 +32,9 @@ WINDOW, END_ID = 2048, 1
 #: Combinations that the solver looks at, and its sweeps.
 COLUMNS, SWEEPS = 20_000, 12
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Bytes of text whose distinct words are looked up together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 _SPACE, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,11 +54,12 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.
     start = np.ones(len(raw) + 1, bool)
     start[1:-1] = space[:-1] | letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
     start[at] = True
-    start = start[:-1] & ~space
-    kept = np.flatnonzero(~space)
-    offsets = np.append(np.flatnonzero(start[kept]), len(kept)).astype(np.int64)
+    solid = ~space
+    start = start[:-1] & solid
     first = np.searchsorted(np.flatnonzero(start), at)
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[kept])])
+    kept = raw[solid]
+    offsets = np.append(np.flatnonzero(start[solid]), len(kept)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     found = pieces.dictionary_encode()
     return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), first
 
@@ -66,27 +67,62 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.
 _made: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write bytes as: printable ones stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(other)}}
+
+
+_LETTERS = _byte_letters()
+#: The last of the Latin letters that come composed, and the one whose lower case is two characters.
+_LATIN, _DOTTED = chr(0x24F), chr(0x130)
+
+
+def _word_ids(word: str, model) -> list[int] | None:
+    """Ids of a word of Latin letters, straight from the merges; null for other words, which take the tokenizer's whole way."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        word = word.lower()
+    elif max(word) > _LATIN or _DOTTED in word:
+        return None
+    else:
+        word = word.lower().encode().decode("latin-1").translate(_LETTERS)
+    return [t.id for t in model.tokenize(word)]
+
+
 def _tokenizer(data: bytes):
-    """The tokenizer and the words it has met, once for each worker process."""
+    """The tokenizer, its merges if words may go to them directly, and the words it has met; once for each worker process."""
     key = len(data)
     if key not in _made:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_buffer(data)
         made.encode_special_tokens = True
-        _made[key] = made, {}
+        model = made.model
+        probes = ["a", "the", "streaming", "\u00e9t\u00e9", "stra\u00dfe", "\u0153uvre", "\u01c6"]
+        same = all(_word_ids(w, model) == made.encode(w, add_special_tokens=False).ids for w in probes)
+        _made[key] = made, model if same else None, {}
     return _made[key]
 
 
-def _encode_words(words: list[bytes], often: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _encode_words(words: list[str], often: list[bool], data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """All words' ids, and offsets. A worker keeps the ids of words that a chunk holds more than once."""
-    tokenizer, known = _tokenizer(data)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    tokenizer, model, known = _tokenizer(data)
     lists = list(map(known.get, words))
-    new = [k for k, ids in enumerate(lists) if ids is None]
-    for lo in range(0, len(new), 20_000):
-        part = new[lo : lo + 20_000]
-        for k, made in zip(part, encode([words[k].decode("utf-8", "replace") for k in part], add_special_tokens=False), strict=True):
+    slow = []
+    for k, ids in enumerate(lists):
+        if ids is None:
+            ids = lists[k] = _word_ids(words[k], model) if model is not None else None
+            if ids is None:
+                slow.append(k)
+            elif often[k] and len(known) < KEPT_WORDS:
+                known[words[k]] = ids
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    for lo in range(0, len(slow), 5_000):
+        part = slow[lo : lo + 5_000]
+        for k, made in zip(part, encode([words[k] for k in part], add_special_tokens=False), strict=True):
             lists[k] = made.ids
             if often[k] and len(known) < KEPT_WORDS:
                 known[words[k]] = lists[k]
@@ -104,7 +140,7 @@ def pieces(docs: DataFrame, file: str | None = None, window: int = WINDOW, end_i
         for chunk in chunks(batches, most=BLOCK_BYTES):
             raw, at = text_buffer(chunk["text"])
             words, codes, first = words_of(raw, at)
-            flat, offsets = _encode_words(words.to_pylist(), np.bincount(codes, minlength=len(words)) > 1, data.value)
+            flat, offsets = _encode_words(words.cast(pa.large_string()).to_pylist(), (np.bincount(codes, minlength=len(words)) > 1).tolist(), data.value)
             size = offsets[1:] - offsets[:-1]
             rows = []
             for doc_id, lo, hi in zip(chunk["doc_id"].to_pylist(), first[:-1], first[1:], strict=True):

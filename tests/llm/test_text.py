@@ -63,6 +63,18 @@ def test_packing(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_direct_words_equal_the_whole_way():
+    """Every Latin letter, alone and in random words, by the merges alone and by the tokenizer."""
+    tokenizer, model, _ = packing._tokenizer(open(P.path(packing.VOCABULARY), "rb").read())
+    r = random.Random(8)
+    letters = [chr(c) for c in range(65, 0x250)]
+    words = letters + [f"a{c}b" for c in letters] + ["".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    direct = [packing._word_ids(w, model) for w in words]
+    assert sum(x is not None for x in direct) > 2000
+    for w, ids in zip(words, direct, strict=True):
+        assert ids is None or ids == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
 def test_plan_fills_windows():
     r = random.Random(1)
     for histogram in ({}, {5: 3}, {1024: 7}, {2048: 2}, {k: r.randint(0, 40) for k in range(1, 2048)}, {700: 100, 648: 50, 10: 1}):
