@@ -362,9 +362,13 @@ _KNN = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHE
  FROM q JOIN embeddings p ON p.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, neighbour) AS rank FROM d QUALIFY rank <= 5)"""
 
 
-def _neighbours(spark, sf_dir):
+#: The sources of the whole search, and those of the whole composition.
+_HUNDREDS, _LABELLED = "vec_id % 100 = 0", "label IS NOT NULL"
+
+
+def _neighbours(spark, sf_dir, sources="vec_id < 50"):
     e = read(spark, sf_dir, "embeddings")
-    return joins.nearest(e.filter("vec_id < 50"), e, "vec_id", "embedding", 5)
+    return joins.nearest(e.filter(sources), e, "vec_id", "embedding", 5)
 
 
 @query(_KNN + " SELECT source, neighbour, distance, rank FROM k")
@@ -372,14 +376,28 @@ def knn_topk(spark, sf_dir):
     return _neighbours(spark, sf_dir)
 
 
-@query(_KNN + """, l AS (SELECT source, s.label AS source_class, t.label AS target_class FROM k JOIN embeddings s ON s.vec_id = source JOIN embeddings t ON t.vec_id = neighbour),
+@query(_KNN.replace("vec_id < 50", _HUNDREDS) + " SELECT source, neighbour, distance, rank FROM k")
+def knn_topk_whole(spark, sf_dir):
+    return _neighbours(spark, sf_dir, _HUNDREDS)
+
+
+_COMPOSITION = """, l AS (SELECT source, s.label AS source_class, t.label AS target_class FROM k JOIN embeddings s ON s.vec_id = source JOIN embeddings t ON t.vec_id = neighbour),
 n AS (SELECT source_class, count(DISTINCT source) AS sources FROM l GROUP BY 1)
-SELECT source_class, target_class, sources, round(count(*) / (sources * 5), 6) AS mean_share, round(count(DISTINCT source) / sources, 6) AS any_share FROM l JOIN n USING (source_class) GROUP BY source_class, target_class, sources""")
+SELECT source_class, target_class, sources, round(count(*) / (sources * 5), 6) AS mean_share, round(count(DISTINCT source) / sources, 6) AS any_share FROM l JOIN n USING (source_class) GROUP BY source_class, target_class, sources"""
+
+
+@query(_KNN + _COMPOSITION)
 def knn_composition(spark, sf_dir):
     classes = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     return rounded(spatial.composition(_neighbours(spark, sf_dir), classes, "vec_id", "label", 5), "mean_share", "any_share")
 
 
+@query(_KNN.replace("vec_id < 50", _LABELLED) + _COMPOSITION)
+def knn_composition_whole(spark, sf_dir):
+    classes = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return rounded(spatial.composition(_neighbours(spark, sf_dir, _LABELLED), classes, "vec_id", "label", 5), "mean_share", "any_share")
+
+
 # --- sequences ----------------------------------------------------------------------------------------------------------------
 
 
