@@ -507,15 +507,26 @@ def powered_gate(spark, sf_dir):
     return rounded(statistics.powered_gate(g, "pos", "hits"), "sensitivity", places=9)
 
 
-@query("""WITH r AS (SELECT range AS replicate FROM range(200)), d AS (SELECT replicate, n_nationkey % 5 AS k, c_acctbal, row_number() OVER (PARTITION BY replicate ORDER BY md5('9:' || replicate || ':' || c_custkey), c_custkey) AS rk FROM customer JOIN nation ON c_nationkey = n_nationkey, r WHERE c_custkey < 300 QUALIFY rk <= 40),
+_NULL = """WITH r AS (SELECT range AS replicate FROM range(200)), d AS (SELECT replicate, n_nationkey % 5 AS k, c_acctbal, row_number() OVER (PARTITION BY replicate ORDER BY md5('9:' || replicate || ':' || c_custkey), c_custkey) AS rk FROM customer JOIN nation ON c_nationkey = n_nationkey, r WHERE c_custkey < 300 QUALIFY rk <= 40),
 m AS (SELECT replicate, avg(c_acctbal) AS m FROM d GROUP BY 1)
-SELECT count(*) AS n, round(avg(m), 4) AS null_mean, round(stddev_pop(m), 4) AS null_std, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round((5000 - avg(m)) / stddev_pop(m), 4) AS effect, round((1 + count(*) FILTER (WHERE m >= 5000)) / (count(*) + 1), 6) AS p FROM m""")
-def permutation_null(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").filter("c_custkey < 300").select("c_custkey", "c_acctbal")
+SELECT count(*) AS n, round(avg(m), 4) AS null_mean, round(stddev_pop(m), 4) AS null_std, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round((5000 - avg(m)) / stddev_pop(m), 4) AS effect, round((1 + count(*) FILTER (WHERE m >= 5000)) / (count(*) + 1), 6) AS p FROM m"""
+
+
+def _null(rows):
     draws = statistics.null_draws(rows, "c_custkey", 40, 200).join(rows, "c_custkey").groupBy("replicate").agg(F.avg("c_acctbal").alias("m"))
     return rounded(rounded(statistics.null_summary(draws, "m", 5000.0), "null_mean", "null_std", "low", "high", "effect", places=4), "p")
 
 
+@query(_NULL)
+def permutation_null(spark, sf_dir):
+    return _null(read(spark, sf_dir, "customer").filter("c_custkey < 300").select("c_custkey", "c_acctbal"))
+
+
+@query(_NULL.replace(" WHERE c_custkey < 300", ""))
+def permutation_null_whole(spark, sf_dir):
+    return _null(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+
+
 @query()
 def assignment(spark, sf_dir):
     """Suppliers matched to two customers each by balance, within nations; no SQL: tests hold it against all permutations."""
@@ -538,24 +549,46 @@ def tertiles_regions(spark, sf_dir):
     return at.select("p_partkey", geometry.third(F.col("p_size"), lo[0], hi[0]).alias("size_third"), geometry.third(F.col("p_retailprice"), lo[1], hi[1]).alias("price_third"), geometry.boundary_region([F.col("p_size"), F.col("p_retailprice")], lo, hi, 5.0).alias("region"))
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25)::DOUBLE AS x, (l_discount * 100 - 5)::DOUBLE AS y, (l_tax * 100 - 4)::DOUBLE AS z FROM lineitem WHERE l_orderkey < 500), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM d),
+_ORIENTATION = """WITH d AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25)::DOUBLE AS x, (l_discount * 100 - 5)::DOUBLE AS y, (l_tax * 100 - 4)::DOUBLE AS z FROM lineitem WHERE l_orderkey < 500), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM d),
 s AS (SELECT *, coalesce(CASE WHEN abs(x / n) > 1e-6 THEN sign(x) END, CASE WHEN abs(y / n) > 1e-6 THEN sign(y) END, CASE WHEN abs(z / n) > 1e-6 THEN sign(z) END, 1) AS g FROM u)
-SELECT l_orderkey, l_linenumber, CASE WHEN n > 0 THEN concat_ws(':', round_even(2 * x / n * g, 0)::INT, round_even(2 * y / n * g, 0)::INT, round_even(2 * z / n * g, 0)::INT) END AS orientation FROM s""")
-def orientation_bins(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
+SELECT l_orderkey, l_linenumber, CASE WHEN n > 0 THEN concat_ws(':', round_even(2 * x / n * g, 0)::INT, round_even(2 * y / n * g, 0)::INT, round_even(2 * z / n * g, 0)::INT) END AS orientation FROM s"""
+
+
+def _orientations(rows):
     delta = [F.col("l_quantity") - 25, F.col("l_discount") * 100 - 5, F.col("l_tax") * 100 - 4]
     return rows.select("l_orderkey", "l_linenumber", geometry.orientation_key(delta).alias("orientation"))
 
 
-@query("""WITH l AS (SELECT p_partkey AS id, p_partkey % 23 AS x0, p_partkey % 17 AS y0, p_size % 29 AS x1, p_size % 13 AS y1 FROM part WHERE p_partkey < 400), t AS (SELECT *, unnest(range(0, 21)) AS t FROM l),
-v AS (SELECT DISTINCT id, round_even(x0 + (x1 - x0) * t / 20, 0)::BIGINT AS x, round_even(y0 + (y1 - y0) * t / 20, 0)::BIGINT AS y FROM t) SELECT x, y, CASE WHEN min(id) = max(id) THEN min(id) ELSE -1 END AS owner FROM v GROUP BY 1, 2""")
-def raster_ownership(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter("p_partkey < 400")
+@query(_ORIENTATION)
+def orientation_bins(spark, sf_dir):
+    return _orientations(read(spark, sf_dir, "lineitem").filter("l_orderkey < 500"))
+
+
+@query(_ORIENTATION.replace(" WHERE l_orderkey < 500", ""))
+def orientation_bins_whole(spark, sf_dir):
+    return _orientations(read(spark, sf_dir, "lineitem"))
+
+
+_RASTER = """WITH l AS (SELECT p_partkey AS id, p_partkey % 23 AS x0, p_partkey % 17 AS y0, p_size % 29 AS x1, p_size % 13 AS y1 FROM part WHERE p_partkey < 400), t AS (SELECT *, unnest(range(0, 21)) AS t FROM l),
+v AS (SELECT DISTINCT id, round_even(x0 + (x1 - x0) * t / 20, 0)::BIGINT AS x, round_even(y0 + (y1 - y0) * t / 20, 0)::BIGINT AS y FROM t) SELECT x, y, CASE WHEN min(id) = max(id) THEN min(id) ELSE -1 END AS owner FROM v GROUP BY 1, 2"""
+
+
+def _raster(parts):
     line = geometry.raster_points([F.col("p_partkey") % 23, F.col("p_partkey") % 17], [F.col("p_size") % 29, F.col("p_size") % 13], F.lit(20))
-    cells = p.select(F.col("p_partkey").alias("id"), F.explode(line).alias("c")).select("id", "c.x", "c.y")
+    cells = parts.select(F.col("p_partkey").alias("id"), F.explode(line).alias("c")).select("id", "c.x", "c.y")
     return geometry.owners(cells, ["x", "y"], "id")
 
 
+@query(_RASTER)
+def raster_ownership(spark, sf_dir):
+    return _raster(read(spark, sf_dir, "part").filter("p_partkey < 400"))
+
+
+@query(_RASTER.replace(" WHERE p_partkey < 400", ""))
+def raster_ownership_whole(spark, sf_dir):
+    return _raster(read(spark, sf_dir, "part"))
+
+
 @query("""WITH n AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range(9) i, range(9) j, range(9) k WHERE (i.range + j.range + k.range) % 2 = 0), d AS (SELECT a.i, a.j, a.k, count(*) AS degree FROM n a JOIN n b ON (a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2 = 2 GROUP BY ALL)
 SELECT CASE degree WHEN 3 THEN 'corner' WHEN 5 THEN 'edge' WHEN 8 THEN 'face' WHEN 12 THEN 'interior' ELSE 'irregular' END AS role, count(*) AS nodes FROM d GROUP BY 1""")
 def lattice_template(spark, sf_dir):

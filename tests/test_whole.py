@@ -1,5 +1,6 @@
 """Queries over whole tables: rows that the queries over a prefix or a filter leave out."""
 
+import hashlib
 import math
 import random
 
@@ -21,3 +22,32 @@ def test_knn_sources_are_spread_over_the_table(spark, tmp_path):
     assert {(x.source_class, x.sources) for x in shares} == {(0, 150), (1, 150), (2, 150)}
     for x in shares:
         assert x.mean_share == round(sum(i % 3 == x.source_class and j % 3 == x.target_class for i, j in want) / 750, 6)
+
+
+def test_rows_past_the_prefixes_count(spark, tmp_path):
+    r = random.Random(6)
+    balances = {i: r.randint(0, 10_000) / 1.0 + (3000 if i >= 300 else 0) for i in range(500)}
+    spark.createDataFrame(list(balances.items()), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    means = []
+    for k in range(200):
+        drawn = sorted(balances, key=lambda i: (hashlib.md5(f"9:{k}:{i}".encode()).hexdigest(), i))[:40]
+        means.append(sum(balances[i] for i in drawn) / 40)
+    [row] = catalogue.QUERIES["permutation_null_whole"](spark, str(tmp_path)).collect()
+    assert row.n == 200 and abs(row.null_mean - sum(means) / 200) < 1e-3
+    assert row.p == round((1 + sum(m >= 5000 for m in means)) / 201, 6)
+
+    parts = [(i, r.randint(1, 50)) for i in range(380, 430)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    cells = {}
+    for i, size in parts:
+        a, b = (i % 23, i % 17), (size % 29, size % 13)
+        for t in range(21):
+            cells.setdefault(tuple(round(x + (y - x) * t / 20) for x, y in zip(a, b, strict=True)), set()).add(i)
+    want = {c: min(own) if len(own) == 1 else -1 for c, own in cells.items()}
+    got = {(x.x, x.y): x.owner for x in catalogue.QUERIES["raster_ownership_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and any(i >= 400 for i in got.values())
+
+    lines = [(499, 1, 26.0, 0.05, 0.04), (500, 1, 24.0, 0.05, 0.04), (70_000, 2, 25.0, 0.06, 0.04), (70_000, 3, 25.0, 0.05, 0.04)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    bins = {(x.l_orderkey, x.l_linenumber): x.orientation for x in catalogue.QUERIES["orientation_bins_whole"](spark, str(tmp_path)).collect()}
+    assert bins.keys() == {x[:2] for x in lines} and bins[499, 1] == bins[500, 1] == "2:0:0" and bins[70_000, 2] == "0:2:0"
