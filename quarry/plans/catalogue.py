@@ -321,6 +321,15 @@ def shared_node_pairs(spark, sf_dir):
     return pairs.select(part("a")[0].alias("p1"), part("a")[1].alias("s1"), part("b")[0].alias("p2"), part("b")[1].alias("s2"))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT a.o AS o1, a.p AS p1, b.o AS o2, b.p AS p2 FROM e a JOIN e b ON a.o = b.o AND a.p < b.p
+UNION ALL SELECT a.o, a.p, b.o, b.p FROM e a JOIN e b ON a.p = b.p AND a.o < b.o""")
+def shared_node_pairs_whole(spark, sf_dir):
+    """Orders and parts of all lines: an order has few lines and a part few orders, however large the table is."""
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    e = e.select(F.struct("o", "p").alias("edge"), F.concat(F.lit("o"), "o").alias("u"), F.concat(F.lit("p"), "p").alias("v"))
+    return joins.shared_node_pairs(e, "edge", "u", "v").select(F.col("a.o").alias("o1"), F.col("a.p").alias("p1"), F.col("b.o").alias("o2"), F.col("b.p").alias("p2"))
+
+
 _POINTS = "(SELECT c_custkey AS id, c_acctbal / 10 AS x, (c_custkey % 97) * 10.0 AS y FROM customer)"
 _CLUSTERS = f"""WITH RECURSIVE p AS {_POINTS}, e AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= RADIUS),
 n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), c(id, l) AS (SELECT u, u FROM n UNION SELECT n.v, c.l FROM c JOIN n ON n.u = c.id)"""
@@ -352,6 +361,13 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(e)
 
 
+@query()
+def connected_components_whole(spark, sf_dir):
+    """Parts and suppliers of all lines; no SQL, as a recursion would list every pair of a component: tests hold it against a plain search."""
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst"))
+    return graph.connected_components(e)
+
+
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey + 100000000 AS s FROM lineitem), d AS (SELECT count(*) AS degree FROM e GROUP BY p UNION ALL SELECT count(*) FROM e GROUP BY s)
 SELECT degree, count(*) AS vertices FROM d GROUP BY 1""")
 def degree_distribution(spark, sf_dir):

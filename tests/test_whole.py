@@ -51,3 +51,21 @@ def test_rows_past_the_prefixes_count(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     bins = {(x.l_orderkey, x.l_linenumber): x.orientation for x in catalogue.QUERIES["orientation_bins_whole"](spark, str(tmp_path)).collect()}
     assert bins.keys() == {x[:2] for x in lines} and bins[499, 1] == bins[500, 1] == "2:0:0" and bins[70_000, 2] == "0:2:0"
+
+
+def test_links_by_any_line_count(spark, tmp_path):
+    r = random.Random(8)
+    lines = [(r.randrange(60), p, (p % 12) * 3 + r.randrange(3), float(r.choice([7, 50])), r.choice([0.0, 0.09])) for p in (r.randrange(40) for _ in range(120))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    component = {}
+    for _, p, s, _, _ in lines:
+        both = {component.get(p, p), component.get(s + 100000000, s + 100000000)}
+        component |= {p: p, s + 100000000: s + 100000000} | component
+        component = {k: min(both) if v in both else v for k, v in component.items()}
+    got = {x.id: x.component for x in catalogue.QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == component and 1 < len(set(got.values())) < len(got)
+
+    edges = sorted({x[:2] for x in lines})
+    want = {(*a, *b) for a in edges for b in edges if a < b and (a[0] == b[0] or a[1] == b[1])}
+    pairs = [(x.o1, x.p1, x.o2, x.p2) for x in catalogue.QUERIES["shared_node_pairs_whole"](spark, str(tmp_path)).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
