@@ -38,6 +38,12 @@ def id_gaps(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return df.sparkSession.range(low, high).withColumnRenamed("id", key).join(df.select(F.col(key).cast("long").alias(key)), key, "left_anti")
 
 
+def id_gaps_of(df: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """Ids from the smallest to the largest of `whole` that the table lacks; none if `whole` has no ids."""
+    low, high = whole.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
+    return id_gaps(df, key, 0, 0) if low is None else id_gaps(df, key, low, high + 1)
+
+
 def transitions(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """How often a value differs from the one before it."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -428,6 +428,12 @@ def id_gap(spark, sf_dir):
     return sequences.id_gaps(read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'"), "o_orderkey", 0, 5000)
 
 
+@query("SELECT o_orderkey FROM (SELECT unnest(range(min(o_orderkey), max(o_orderkey) + 1)) AS o_orderkey FROM orders) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def id_gap_whole(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return sequences.id_gaps_of(orders.filter("o_orderstatus <> 'P'"), orders, "o_orderkey")
+
+
 _RUNS = """WITH e AS (SELECT user_id, value < 10 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value < 10 ORDER BY ts, event_id) AS island FROM events),
 r AS (SELECT user_id, hit, island, count(*) AS n FROM e GROUP BY ALL) SELECT user_id, coalesce(max(CASE WHEN hit THEN n END), 0) AS longest FROM r GROUP BY 1"""
 

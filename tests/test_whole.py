@@ -69,3 +69,12 @@ def test_links_by_any_line_count(spark, tmp_path):
     want = {(*a, *b) for a in edges for b in edges if a < b and (a[0] == b[0] or a[1] == b[1])}
     pairs = [(x.o1, x.p1, x.o2, x.p2) for x in catalogue.QUERIES["shared_node_pairs_whole"](spark, str(tmp_path)).collect()]
     assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_gaps_end_with_the_table(spark, tmp_path):
+    rows = [(k, "P" if k in (5000, 6003) else "F") for k in [*range(4990, 6000), 6003] if k not in (4995, 5500)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(x.o_orderkey for x in catalogue.QUERIES["id_gap_whole"](spark, str(tmp_path)).collect())
+    assert got == [4995, 5000, 5500, 6000, 6001, 6002, 6003]
+    spark.createDataFrame([], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert catalogue.QUERIES["id_gap_whole"](spark, f"{tmp_path}/none").count() == 0
