@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives (DataFrame functions and JVM learning only).
 
-Candidates are runs of key characters with a digit in them, quoted values after `=` or `:`, and private key headers. Each
+Candidates are runs of key characters with a digit in them, quoted values after `=` or `:`, values of any length after a credential
+word (password: ..., api_key=...), and private key blocks; of `name=value` the value alone is a candidate. Each
 candidate's features: length, shares of digits, upper case, hexadecimal digits and symbols, transitions between kinds of characters,
 how many different characters, how much of it dictionary words cover, path-like surroundings and separators, and words beside it that speak
 for a credential (token, secret, ...) or against one (commit, sha256, example, ...). A random forest learns them from labelled findings:
@@ -21,11 +22,20 @@ from pyspark.sql import functions as F
 
 from quarry.llm._util import id_and_text, materialize, table
 
-#: A private key's header; a quoted value after an assignment; a run of at least 16 key characters with a digit.
+_WORDS = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|credential|bearer|(?:api|access|secret|private|auth|signing|encryption)[_-]?key|(?<![a-z])(?:key|auth|private))s?"
+_SIGN = r"[\"']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}"
+#: A value's characters without those that may end it; these belong to it where more of the value and no further `name=` follows.
+_VALUE = r"[^\s\"'<>&,;]"
+#: A private key with its block, or with the key's lines where the block has no end; a quoted value after a credential word; a quoted value
+#: after an assignment; an unquoted value after a credential word; a run of at least 16 key characters with a digit. Before the
+#: lookbehinds that are long stand short ones that fail soon. Groups repeat a bounded number of times, as each repeat takes stack.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<=[=:] ?[\"'])[A-Za-z0-9!#$%&()*+,./:;<=>?@^_~-]{8,128}(?=[\"'])"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[\s\\]{1,4}(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\n]*+){0,8}[A-Za-z0-9+/=\s\\]*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+){0,500})"
+    rf"|(?<=[\"'])(?<=[=:>][ \t]{{0,4}}[\"'])(?<={_WORDS}{_SIGN}[\"'])[^\"'\r\n]++(?=[\"'])"
+    r"|(?<=[=:] ?[\"'])[A-Za-z0-9!#$%&()*+,./:;<=>?@^_~-]{8,}+(?=[\"'])"
+    rf"|(?<=[=:> \t])(?<=[=:>][ \t]{{0,4}})(?<={_WORDS}{_SIGN})(?![=:>]){_VALUE}+(?:[&,;](?![\w.-]{{1,64}}+=){_VALUE}+){{0,64}}(?<![.)\]}}])"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:=++(?![\"']?[A-Za-z0-9+/_-]))?+"
 )
 #: Characters of text before and after a candidate that count as its neighbourhood.
 BESIDE = 48
@@ -42,15 +52,17 @@ FEATURES = ("length", "digits", "uppers", "hexes", "symbols", "changes", "differ
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, start, candidate, before, after): every candidate with its place (0-based, in characters) and neighbourhood."""
     hit = id_and_text(docs).filter(F.col("text").rlike(CANDIDATE))
-    parted = hit.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    parted = hit.select("doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
     # what stands between two candidates is one gap, so places add up from both
-    numbered = parted.select("doc_id", F.transform("found", lambda c, k: F.struct(c.alias("candidate"), F.element_at("gaps", k + 1).alias("gap"), F.element_at("gaps", k + 2).alias("next"))).alias("found"))
+    numbered = parted.select("doc_id", "text", F.transform("found", lambda c, k: F.struct(c.alias("candidate"), F.element_at("gaps", k + 1).alias("gap"))).alias("found"))
+    cut = lambda at, n: F.substring(F.col("text"), (at + 1).cast("int"), n.cast("int"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,candidate:string,before:string,after:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
-        item = F.struct(at.alias("start"), x["candidate"].alias("candidate"), F.right(x["gap"], F.lit(BESIDE)).alias("before"), F.left(x["next"], F.lit(BESIDE)).alias("after"))
-        return F.struct((at + F.length(x["candidate"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+        end, low = at + F.length(x["candidate"]), F.greatest(at - BESIDE, F.lit(0))
+        item = F.struct(at.alias("start"), x["candidate"].alias("candidate"), cut(low, at - low).alias("before"), cut(end, F.lit(BESIDE)).alias("after"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
     placed = numbered.select("doc_id", F.explode(F.aggregate("found", start, step, lambda acc: acc["out"])).alias("c"))
     return placed.select("doc_id", "c.*")
@@ -103,6 +115,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     sign = pick((' = "', '="', ': "', ': ', '=', " = '", ' '), 4)
     filler = F.concat(word(5), F.lit(" "), word(6), F.lit(" "))
     uuid = F.regexp_replace(F.substring(h, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    letters = F.translate(h, "0123456789", "aeiounrstl")
+    some = lambda n, k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))).cast("int")
+    credential = F.concat(pick(("", "", "db_", "api_", "my "), 9), pick(("password", "passwd", "pwd", "secret", "token", "key", "Password", "API_KEY", "api_key", "access_key", "auth"), 7))
+    link = F.concat(F.lit("https://"), word(1), F.lit(".com/"), word(3), pick(("?", "?id=7&", "/?"), 2))
+    body = F.concat(*[F.concat(F.lit("\n"), F.base64(F.unhex(F.sha2(F.concat(h, F.lit(str(k))), 256)))) for k in range(4)])
     kinds = [
         # (candidate, words before, label)
         (F.substring(h, 1, 40), F.concat(pick(FOR, 7), sign), 1),
@@ -117,6 +134,18 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(word(1), pick(("_", "-", "/"), 2), word(3), F.lit("-"), F.col("id"), pick(("-v2", "_final", "-build12", "-2024"), 8)), F.concat(filler, pick(("/", " ", '"'), 4)), 0),
         (F.concat(F.lit("your-"), word(1), F.lit("-"), word(3), F.lit("-here-123")), F.concat(pick(FOR, 7), sign), 0),
         (F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 16), F.concat(pick(("order ", "phone ", "invoice ", "isbn "), 7)), 0),
+        (F.substring(h, 1, 32 + 8 * some(5, 1)), F.concat(F.upper(F.concat(word(1), F.lit("_"), pick(FOR, 7))), pick(("=", ": "), 4)), 1),
+        (F.when(some(2, 2) == 0, F.substring(h, 1, 40)).otherwise(F.substring(mixed, 1, 20 + cut)), F.concat(link, pick(("token=", "api_key=", "access_token=", "key=", "auth=", "secret="), 7)), 1),
+        (F.concat(F.substring(letters, 1, 3 + some(6, 1)), F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 1 + some(4, 2)), pick(("!", "!x", "#", "$Z", "@q", "_k", ""), 8)), F.concat(credential, sign), 1),
+        (F.substring(letters, 1, 16 + some(20, 1)), F.concat(credential, sign), 1),
+        (F.concat(mixed, pick((".", "!", "$", "%"), 8), F.reverse(mixed), pick((".", "#", "^", "-"), 10), F.substring(mixed, 1, 20 + cut)), F.concat(credential, sign), 1),
+        (F.concat(F.lit("-----BEGIN "), pick(("RSA ", "EC ", "OPENSSH ", ""), 8), F.lit("PRIVATE KEY-----"), body, F.lit("\n-----END PRIVATE KEY-----")), filler, 1),
+        (F.substring(h, 1, 32 + 8 * some(2, 1)), F.concat(link, pick(("v=", "rev=", "commit=", "hash=", "id=", "sha256="), 7)), 0),
+        (word(1), F.concat(credential, sign), 0),
+        (F.substring(letters, 1, 1 + some(10, 1)), F.concat(credential, pick((": ", ": ", " = ", "="), 4)), 0),
+        (F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 1 + some(5, 1)), F.concat(credential, sign), 0),
+        (pick(("None", "null", "true", "false", "****", "xxxxxxxx", "${SECRET}", "$PASSWORD", "os.environ[", "process.env.API_KEY", "getenv(", "string", "your-password", "example", "required"), 8), F.concat(credential, sign), 0),
+        (F.concat(F.upper(word(1)), F.lit("_"), F.upper(word(3)), F.lit("_"), F.upper(pick(FOR, 7)), F.lit("_"), some(9, 1)), filler, 0),
     ]
     label = F.col("id") % len(kinds)
     case = lambda k: F.coalesce(*[F.when(label == i, F.lit(x[k]) if k == 2 else x[k]) for i, x in enumerate(kinds)])
