@@ -5,8 +5,10 @@ folded into an expression: equal neighbours (and short tandem repeats) become re
 of one host are aligned one after another: what both have is merged, what one lacks becomes optional, text that differs
 becomes a data slot, text that all share stays constant. Every task first merges the pages it reads, so a host sends one expression a
 task, however many pages it has. The wrapper's slots, with counts over all pages of the host, decide what is main text:
-slots of an article region if there is one, else those outside of menus, notices and the like that are neither constant over
-the host nor mostly links. A page's text is what its slots hold.
+slots of an article region if the page has one, else those outside of menus, notices and the like that are neither constant over
+the host nor mostly links. Constant is what has one text on at least half of the host's distinct pages, three at least; copies of a page
+count once. Distinct pages are counted by the SKETCH least digests, so exactly up to that many, and by their share from there on. Words for
+menus and the like do not count on html, body, the page's article region or what contains it. A page's text is what its slots hold.
 
 Defined cases: null html is empty and gives no text; a null or broken url belongs to the host without a name; a page whose tags never
 close is closed at its end, an unfinished tag there is dropped; repeated rows give repeated rows; other columns are ignored.
@@ -15,10 +17,12 @@ close is closed at its end, an unfinished tag there is dropped; repeated rows gi
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +47,8 @@ ASIDE_TAGS = frozenset("nav header footer aside form menu button dialog fieldset
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments reply replies discussion disqus breadcrumb breadcrumbs pagination pager toolbar widget copyright".split()
 )
+#: An article with one of these is a reply, not the article of its page.
+REPLY_WORDS = frozenset("comment comments reply replies".split())
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article articlebody main content post entry story".split())
 
@@ -141,14 +147,28 @@ def parse(page: str) -> list:
 # --- expressions: items [label, repeated, optional, items or null, statistics or null] -----------------------------------------
 
 
-def fold(nodes: list) -> list:
-    """A page's nodes as an expression."""
+#: Digests of distinct pages that a constant slot and a host keep.
+SKETCH = 64
+
+
+def digest(page: str) -> int:
+    return int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest())
+
+
+def _pages(a: list, b: list) -> list:
+    """The least digests of both."""
+    return a if a == b else sorted({*a, *b})[:SKETCH]
+
+
+def fold(nodes: list, page: int | None = None) -> list:
+    """A page's nodes as an expression; slots name the page by its digest, if there is one."""
+    own = [] if page is None else [[page]]
     out = []
     for node in nodes:
         if node[0] == "#":
-            out.append(["#", 0, 0, None, [1, len(node[1]), node[2], node[1]]])
+            out.append(["#", 0, 0, None, [1, len(node[1]), node[2], node[1], *own]])
         else:
-            out.append([node[0], 0, 0, fold(node[1]), None])
+            out.append([node[0], 0, 0, fold(node[1], page), None])
     return _repeats(out)
 
 
@@ -182,7 +202,10 @@ def _join(a: list, b: list) -> list:
     """Two items with one label."""
     if a[0] == "#":
         x, y = a[4], b[4]
-        return ["#", a[1] | b[1], a[2] | b[2], None, [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None]]
+        both = [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None]
+        if both[3] is not None and len(x) > 4:  # where texts differ, pages do not matter
+            both.append(_pages(x[4], y[4]))
+        return ["#", a[1] | b[1], a[2] | b[2], None, both]
     return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3]), None]
 
 
@@ -217,32 +240,54 @@ def slots(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
             yield from slots(item[3], path if item[0] == "()" else (*path, item[0]))
 
 
-def _aside(label: str) -> bool:
+@lru_cache(100_000)
+def _kind(label: str) -> tuple[bool, bool, bool, int]:
+    """Of a label: whether its tag and whether its words are for menus and the like, whether it is main, and its rank as a region (0: none)."""
     tag, *words = label.split(".")
-    return tag in ASIDE_TAGS or tag in RAW or not ASIDE_WORDS.isdisjoint(words)
-
-
-def _main(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words)
+    main = tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words)
+    rank = 0 if not main or not REPLY_WORDS.isdisjoint(words) and tag == "article" else 3 if tag in MAIN_TAGS else 1 if tag in ("html", "body") else 2
+    return tag in ASIDE_TAGS or tag in RAW, tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words), main, rank
+
+
+def roles(paths: set[tuple]) -> dict[tuple, int]:
+    """For each path of a page: 2 in an article region, 0 in a menu or the like, 1 else.
+
+    Regions are articles and mains, or else what a word says is one; of several those with the fewest aside words around them, then on them. Such words
+    on these and around them speak of the page as a whole."""
+    regions: dict[tuple, tuple] = {}
+    for path in paths:
+        around = 0
+        for k, label in enumerate(path, 1):
+            tag, words, _, rank = _kind(label)
+            if tag:
+                break
+            if rank:
+                regions[path[:k]] = (-rank, around, words)
+            around += words
+    best = min(regions.values(), default=None)
+    free = {region[:k] for region, order in regions.items() if order == best for k in range(1, len(region) + 1)}
+    out = {}
+    for path in paths:
+        kinds = [_kind(label) for label in path]
+        aside = any(tag or words and path[:k] not in free for k, (tag, words, _, _) in enumerate(kinds, 1))
+        out[path] = 0 if aside else 2 if any(main for _, _, main, _ in kinds) else 1
+    return out
 
 
-def verdicts(wrapper: list) -> tuple[dict[tuple, int], bool]:
-    """For each slot's path: 2 in an article region, 1 other text that may be main, 0 not; and whether there is a region."""
+def verdicts(wrapper: list, pages: list | None = None) -> dict[tuple, int]:
+    """For each slot's path whether text outside of regions may be main (1) or not (0); pages: digests of the host's distinct pages."""
     total: dict[tuple, list] = {}
-    for path, (times, chars, linked, constant) in slots(wrapper):
-        x = total.setdefault(path, [0, 0, 0, constant])
-        x[0], x[1], x[2] = x[0] + times, x[1] + chars, x[2] + linked
-        x[3] = x[3] if x[3] == constant else None
+    for path, (_, chars, linked, constant, *own) in slots(wrapper):
+        x = total.setdefault(path, [0, 0, constant, []])
+        x[0], x[1] = x[0] + chars, x[1] + linked
+        x[2] = x[2] if x[2] == constant else None
+        x[3] = _pages(x[3], own[0]) if own else x[3]
+    of = set(pages or ())
     out = {}
-    for path, (times, chars, linked, constant) in total.items():
-        if any(_aside(label) for label in path):
-            out[path] = 0
-        elif any(_main(label) for label in path):
-            out[path] = 2
-        else:
-            out[path] = 0 if 2 * linked > chars or constant is not None and times > 2 else 1
-    return out, 2 in out.values()
+    for path, (chars, linked, constant, own) in total.items():
+        common = len(of.intersection(own))
+        out[path] = 0 if 2 * linked > chars or constant is not None and common > 2 and 2 * common >= len(of) else 1
+    return out
 
 
 def leaves(nodes: list, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
@@ -253,11 +298,12 @@ def leaves(nodes: list, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
             yield from leaves(node[1], (*path, node[0]))
 
 
-def extract(page: str, judged: tuple[dict[tuple, int], bool]) -> str:
-    """The blocks of a page that its host's wrapper takes for main text."""
+def extract(page: str, judged: dict[tuple, int]) -> str:
+    """The blocks of a page that it and its host's wrapper show to be main text."""
     found = list(leaves(parse(page)))
-    levels = [judged[0].get(path, 0) for path, _ in found]
-    most = 2 if judged[1] and 2 in levels else 1
+    role = roles({path for path, _ in found})
+    levels = [judged.get(path, 0) if role[path] == 1 else role[path] for path, _ in found]
+    most = 2 if 2 in levels else 1
     return "\n".join(text for (_, text), level in zip(found, levels, strict=True) if level >= most)
 
 
@@ -271,10 +317,11 @@ def _host_rows(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): an expression for each host, as JSON."""
+    """(host, wrapper): an expression for each host and the least digests of its distinct pages, as JSON."""
 
-    def merge(found: dict[str, list], host: str, expression: list) -> None:
-        found[host] = align(found[host], expression) if host in found else expression
+    def merge(found: dict[str, list], host: str, expression: list, pages: list) -> None:
+        known = found.get(host)
+        found[host] = [align(known[0], expression), _pages(known[1], pages)] if known else [expression, pages]
 
     def rows(found: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, separators=(",", ":")) for w in found.values()], pa.string())], ["host", "wrapper"])
@@ -283,7 +330,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         found: dict[str, list] = {}
         for chunk in chunks(batches, "html"):
             for host, page in zip(chunk["host"].to_pylist(), chunk["html"].to_pylist(), strict=True):
-                merge(found, host, fold(parse(page)))
+                own = digest(page)
+                merge(found, host, fold(parse(page), own), [own])
             if len(found) > 20_000:
                 yield rows(found)
                 found = {}
@@ -297,7 +345,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 if found and host not in found:
                     yield rows(found)
                     found = {}
-                merge(found, host, json.loads(wrapper))
+                merge(found, host, *json.loads(wrapper))
         if found:
             yield rows(found)
 
@@ -311,14 +359,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = materialize(wrappers(pages), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[str, tuple] = {}
+        judged: dict[str, dict] = {}
         for chunk in chunks(batches, "html"):
             out = []
             for page, wrapper in zip(chunk["html"].to_pylist(), chunk["wrapper"].to_pylist(), strict=True):
                 if wrapper not in judged:
                     if len(judged) > 1000:
                         judged.clear()
-                    judged[wrapper] = verdicts(json.loads(wrapper)) if wrapper else ({}, False)
+                    judged[wrapper] = verdicts(*json.loads(wrapper)) if wrapper else {}
                 out.append(extract(page, judged[wrapper]))
             yield pa.RecordBatch.from_arrays([chunk["page_id"].combine_chunks(), chunk["url"].combine_chunks(), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

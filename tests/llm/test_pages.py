@@ -52,6 +52,24 @@ def test_wrappers_merge_pages(spark):
     assert c[0][3][0][4] == [2, 8, 0, "same"]
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    """Constant means on half of a host's distinct pages, three at least, however often a page is repeated."""
+    plain = lambda *blocks: "<html><body>" + "".join(f"<div class={c}>{t}</div>" for c, t in blocks) + "</body></html>"
+    rows = [(k, "http://copies.example/", plain(("x", "The one page"))) for k in range(6)]
+    many = [plain(("top", "Our site"), ("x", f"Text {k}"), *([("y", "Said thrice")] if k < 3 else [])) for k in range(100)]
+    rows += [(100 + k, f"http://many.example/{k}", page) for k, page in enumerate(many)]
+    got = {r.page_id: r.text for r in html_wrappers.main_text(spark.createDataFrame(rows, PAGE).repartition(5)).collect()}
+    assert [got[k] for k in range(6)] == ["The one page"] * 6
+    assert [got[100 + k] for k in range(100)] == [f"Text {k}" + ("\nSaid thrice" if k < 3 else "") for k in range(100)]
+
+
+@pytest.mark.parametrize("before, after", [("<body class='has-sidebar'>", ""), ("<body><div id='page-with-comments'>", "</div>"), ("<body class=main><div id=main><div class='header-fixed'>", "</div></div>"), ("<body><div class='post no-menu'>", "</div>")])
+def test_words_around_the_article_do_not_count(before, after):
+    noise = "<div class=sidebar><p>Side</p><div class=content>More</div></div><section class=comments><article><p>First!</p></article></section>"
+    page = f"<html>{before}<div class=menu>Menu</div><article class=with-share><h1>Title</h1><p>Text</p><div class=share>Share</div></article>{noise}{after}</body></html>"
+    assert html_wrappers.extract(page, html_wrappers.verdicts(html_wrappers.fold(html_wrappers.parse(page)))) == "Title\nText"
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 200 + "x" + "</div>" * 200
     assert list(html_wrappers.leaves(html_wrappers.parse(deep)))[0][1] == "x"
