@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Where each table of `materialize` lies.
+_stored: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-    The table goes when the driver's JVM ends; until then any result may still need it."""
+    The table goes when the driver's JVM ends, or earlier by `release`."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    stored = spark.read.schema(df.schema).parquet(at)
+    _stored[stored] = at
+    return stored
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete stored tables whose last reader has run; results that are still lazy must not need them."""
+    for table in tables:
+        at = _stored.pop(table, None) if table is not None else None
+        if at:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
