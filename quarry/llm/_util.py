@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.shared import materialize, shared_dir
+from quarry.sources.shared import materialize, release, shared_dir
 
-__all__ = ["materialize", "shared_dir"]
+__all__ = ["materialize", "release", "shared_dir"]
 
 #: Bytes of text that one numpy pass works on; it bounds a Python worker's memory.
 CHUNK_BYTES = 4 << 20
@@ -106,6 +106,9 @@ def byte_table(seed: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+#: A prime, and two bases, for hashes that no choice of bytes can make collide by their powers alone.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1103515245, 69069 * 7919 + 2)
 _BYTES = byte_table(0x51)
 _powers: list[np.ndarray] = []
 
@@ -129,10 +132,79 @@ def running_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """The same values modulo the prime, below 2^32 (not always below the prime)."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+_prime_powers: list[np.ndarray] = []
+
+
+def _prime_power(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses modulo the prime; kept for the next call."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        most, made = max(n, 1 << 20), []
+        for base in (b for own in _BASES for b in (own, pow(own, -1, int(_PRIME)))):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < most:
+                powers = np.concatenate([powers, powers * np.uint64(pow(base, len(powers), int(_PRIME))) % _PRIME])
+            made.append(powers[:most].astype(np.uint32))
+        _prime_powers[:] = made
+    return _prime_powers
+
+
+def prime_sums(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases the running sums (n + 1, exact) of byte values times powers modulo the prime, and the inverse powers."""
+    powers, out = _prime_power(len(raw) + 1), []
+    for k, seed in enumerate((0x77, 0x1234567)):
+        values = (byte_table(seed) >> np.uint64(33)) + np.uint64(1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_reduced(values[raw] * powers[2 * k][: len(raw)]), dtype=np.uint64, out=total[1:])
+        out.append((total, powers[2 * k + 1]))
+    return out
+
+
+def of_segments(sums: list[tuple[np.ndarray, np.ndarray]], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each raw[begin:end] from its prime_sums."""
+    one, two = ((total[end] - total[begin]) % _PRIME * down[begin] % _PRIME for total, down in sums)
+    return mix((one << np.uint64(31) | two) + mix((end - begin).astype(np.uint64)))
+
+
 def segment_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each raw[begin:end], by differences of one running sum."""
-    total, down = running_hash(raw)
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each raw[begin:end]: polynomials of two bases modulo a prime, by differences of running sums."""
+    return of_segments(prime_sums(raw), begin, end)
+
+
+# --- filters on keys: bitmaps of a bounded size -----------------------------------------------------------------------------------
+
+#: Bits of a filter at most (16 MB), and bits of one of its rows.
+FILTER_BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def key_filter(keys: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """A filter on stored keys: rows (bucket, bits), and how many bits it has: 16 for each key, FILTER_BITS at most.
+
+    It never misses a key; with more keys than it has bits it lets most others through too, but stays right."""
+    n_bits = ROW_BITS
+    while n_bits < min(16 * keys.count(), FILTER_BITS):
+        n_bits *= 2
+    at = F.xxhash64(*columns).bitwiseAND(n_bits - 1)
+    rows = keys.select(F.shiftright(at, 15).cast("int").alias("bucket"), at.bitwiseAND(ROW_BITS - 1).alias("pos"))
+    return rows.groupBy("bucket").agg(F.expr("bitmap_construct_agg(pos)").alias("bits")), n_bits
+
+
+def maybe_in(rows: DataFrame, found: tuple[DataFrame, int], *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows, each as a struct `row`, parted by a filter: those whose key may be in it, and those whose key is certainly not.
+
+    Its size is bounded by FILTER_BITS, so it is broadcast, and rows of the second kind need no shuffle."""
+    bitmap, n_bits = found
+    at = F.xxhash64(*columns).bitwiseAND(n_bits - 1)
+    asked = rows.select(F.struct("*").alias("row"), F.shiftright(at, 15).cast("int").alias("bucket"), at.bitwiseAND(ROW_BITS - 1).cast("int").alias("pos"))
+    joined = asked.join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(F.col("pos") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("getbit(byte, cast(pos % 8 as int))") == 1, F.lit(False))
+    judged = joined.withColumn("byte", byte).withColumn("hit", hit)
+    return judged.filter("hit").select("row"), judged.filter("not hit").select("row")
 
 
 def package_path(name: str) -> str:

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, near_dedup, suffix_dedup
+from quarry.llm import _util, exact_dedup, near_dedup, suffix_dedup
 from tests.llm.plain import clashing, documents, near_components, normalised, sha, shingles, without_repeats
 
 
@@ -38,15 +39,47 @@ def test_exact_dedup_keeps_columns(spark):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
 
 
-def test_digest_collisions_are_told_apart(spark, monkeypatch):
+def test_digest_collisions_are_told_apart(spark):
     """With a digest that always collides, byte verification must still give the right groups."""
-    from pyspark.sql import functions as F
+    weak = lambda body: F.when(body == "z", F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c"), (1, "b"), (6, "z"), (None, "c")]
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(documents(spark, rows), weak).collect())
+    assert got == [("1", 1, 2, True), ("1", 1, 3, True), ("2", 1, 3, False), ("3", 1, 2, False), ("4", 1, 3, False), ("5", 5, 2, True), ("6", 6, 1, True), ("None", 5, 2, False)]
 
-    from quarry.llm._util import materialize
 
-    monkeypatch.setattr(exact_dedup, "flush", lambda docs: materialize(docs.select("doc_id", F.unhex(F.lit("00")).alias("digest")), "weak"))
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(documents(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c")])).collect()}
-    assert got == {1: (1, 2), 2: (2, 2), 3: (1, 2), 4: (2, 2), 5: (5, 1)}
+def plain_exact(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(normalised(t), []).append(i)
+    keep = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return sorted((str(i), str(keep[normalised(t)]), len(groups[normalised(t)]), i == keep[normalised(t)], sha(normalised(t))) for i, t in rows)
+
+
+def exact_rows(spark, rows):
+    return sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(documents(spark, rows)).collect())
+
+
+def test_exact_groups_of_repeated_ids(spark):
+    rows = [(0, "x x"), (1, "x x"), (1, "y")]
+    assert exact_rows(spark, rows) == plain_exact(rows)
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(documents(spark, rows)).collect()) == [(0, "x x"), (1, "y")]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(-2, 3)), st.one_of(st.none(), st.sampled_from(["", " ", "a", "a ", "a b", "a\t\nb", "b"]))), max_size=12))
+def test_exact_groups_against_a_plain_version(spark, rows):
+    assert exact_rows(spark, rows) == plain_exact(rows)
+
+
+def test_filters_miss_no_key(spark, monkeypatch):
+    """However small the filter, keys that are in it pass; with room enough most others do not."""
+    keys = spark.range(0, 4000, 2).select(F.col("id").alias("k"))
+    rows = spark.range(0, 8000).select(F.col("id").alias("k"), F.lit("x").alias("bits"))
+    for most in (1 << 15, 1 << 27):
+        monkeypatch.setattr(_util, "FILTER_BITS", most)
+        may, sure = _util.maybe_in(rows, _util.key_filter(keys, "k"), F.col("k"))
+        hit, miss = {r.row.k for r in may.collect()}, {r.row.k for r in sure.collect()}
+        assert {*range(0, 4000, 2)} <= hit and not hit & miss and hit | miss == {*range(8000)} and len(hit) < 3000
 
 
 def test_compaction_keeps_the_smallest(spark):
