@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -14,6 +16,9 @@ from quarry.sources.shared import materialize, release, shared_dir
 
 __all__ = ["materialize", "release", "shared_dir"]
 
+#: glibc's way to return free memory; null where the C library has none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 #: Bytes of text that one numpy pass works on; it bounds a Python worker's memory.
 CHUNK_BYTES = 4 << 20
 
@@ -45,6 +50,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of a table's text for each hash bucket at most: a worker holds what it keeps of one bucket.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """How many hash buckets a table's pieces of text are dealt to: four a shuffle partition, more where the table's estimated size asks for it."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # what Spark can't tell it takes for as much as a number holds
+    return max(4 * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES if known else 0)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, with n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,6 +103,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
                 held, size = [], 0
     if held:
         yield pa.concat_tables(held)
+    del held
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker no longer uses goes back to the machine: workers live on between tasks and operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,11 +158,6 @@ def running_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """The same values modulo the prime, below 2^32 (not always below the prime)."""
-    return (x & _PRIME) + (x >> np.uint64(31))
-
-
 _prime_powers: list[np.ndarray] = []
 
 
@@ -154,12 +175,17 @@ def _prime_power(n: int) -> list[np.ndarray]:
 
 
 def prime_sums(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For both bases the running sums (n + 1, exact) of byte values times powers modulo the prime, and the inverse powers."""
+    """For both bases the running sums (n + 1) of bytes times powers modulo the prime, and the inverse powers."""
     powers, out = _prime_power(len(raw) + 1), []
-    for k, seed in enumerate((0x77, 0x1234567)):
-        values = (byte_table(seed) >> np.uint64(33)) + np.uint64(1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_reduced(values[raw] * powers[2 * k][: len(raw)]), dtype=np.uint64, out=total[1:])
+    values = raw.astype(np.uint64)
+    values += np.uint64(1)
+    for k in range(2):
+        total, step = np.zeros(len(raw) + 1, np.uint64), 1 << 22
+        for lo in range(0, len(raw), step):  # a term has 40 bits at most, so a step's sum fits
+            part = total[lo + 1 : lo + 1 + step]
+            np.cumsum(values[lo : lo + step] * powers[2 * k][lo : lo + len(part)], out=part)
+            if lo:
+                part += total[lo] % _PRIME
         out.append((total, powers[2 * k + 1]))
     return out
 

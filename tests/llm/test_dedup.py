@@ -129,6 +129,24 @@ def test_near_groups_in_blocks(spark, monkeypatch):
     assert got == want and len(set(got.values())) < 14
 
 
+def test_words_that_cheat_hashes_are_not_linked(spark):
+    """Thue-Morse strings defeat hashes that sum powers modulo a power of two, whatever the base."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(documents(spark, rows), 4).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    text = prose(3, 80)
+    rows = [(1, text), (2, text + " more"), (2, prose(9, 50)), (2, prose(9, 50)), (None, text)]
+    got = sorted((str(r.doc_id), r.n_shingles > 60, str(r.component_id), r.kept) for r in near_dedup.near_groups(documents(spark, rows)).collect())
+    assert got == [("1", True, "1", True), ("2", False, "2", True), ("2", False, "2", True), ("2", True, "1", False), ("None", True, "None", True)]
+    left = near_dedup.near_dedup(clashing(documents(spark, rows))).select("doc_id", "text").collect()
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [rows[0], *rows[2:]])
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     for share in (0.2, 0.5, 0.8):
@@ -187,6 +205,30 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [8192, 2])
+def test_suffix_dedup_of_repeated_ids(spark, monkeypatch, hot):
+    """Rows that repeat a doc_id with other texts are documents of their own, in the order of their texts' hashes."""
+    import xxhash
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    text = prose(3, 60)
+    rows = [(0, text), (1, text), (1, "short"), (1, prose(4, 40) + text + "!"), (2, None), (2, text[30:] + prose(5, 9)), (1, text)]
+    order = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), seed=42)).view(np.int64)
+    one = sorted({(i, order(t), t) for i, t in rows}, key=lambda x: x[:2])
+    want = without_repeats([(k, t) for k, (_, _, t) in enumerate(one)])
+    plain = sorted((i, *want[[x[::2] for x in one].index((i, t))]) for i, t in rows)
+    got = suffix_dedup.remove_repeats(documents(spark, rows), with_text=True).collect()
+    assert sorted((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in got) == plain
+
+
+def test_removed_bytes_by_route(spark):
+    """Differing contexts of one anchor are told apart by sorted suffixes, equal ones by their hashes."""
+    common = prose(7, 40)
+    rows = [(i, prose(20 + i, 12) + common + prose(40 + i, 12)) for i in range(6)]
+    routes = {r.route for r in suffix_dedup.repeated_spans(documents(spark, rows)).select("route").distinct().collect()}
+    assert routes == {"equal contexts", "sorted suffixes"}
+
+
 def test_deep_shallow_orders_suffixes():
     r = random.Random(1)
     for _ in range(30):

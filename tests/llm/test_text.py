@@ -35,6 +35,26 @@ def test_bpe_equals_the_library(spark):
     assert byte_bpe.token_digests(documents(spark, [])).count() == 0
 
 
+def test_blocks_of_many_partitions_stay_apart():
+    """Block names hold the number of any scan partition, also beyond 65,536 of them."""
+    import pyarrow as pa
+
+    texts = {65_536: "one two two", 70_000: "three", 70_001 << 20: "one three"}
+    dealt = []
+    for part, text in texts.items():
+        batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([text]), pa.array([part], pa.int64())], ["doc_id", "text", "part"])
+        dealt += [row for made in byte_bpe._deal(iter([batch]), 3) for row in made.to_pylist()]
+    assert {r["part"] for r in dealt} == set(texts)
+    known = {}
+    words = [tuple(r[c] for c in ("part", "block", "bucket", "codes", "sizes", "body")) for r in dealt if r["bucket"] >= 0]
+    encoded = [r for b in range(3) if (own := [w for w in words if w[2] == b]) for r in byte_bpe._encode_bucket(own, lambda w: [known.setdefault(w, len(known))]).to_pylist()]
+    rows = sorted(encoded + [r for r in dealt if r["bucket"] < 0], key=lambda r: (r["part"], r["block"], -r["bucket"]))
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())]))
+    name = {v: k for k, v in known.items()}
+    got = {d["doc_id"]: "".join(name[i] for i in byte_bpe.gather(ids, offsets, byte_bpe._unpack(d["body"])).tolist()) for ids, offsets, own in byte_bpe._blocks(iter([batch])) for d in own.to_pylist()}
+    assert got == texts
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(P.path(packing.VOCABULARY))
