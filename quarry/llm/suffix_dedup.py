@@ -7,7 +7,7 @@ one with the least hash, the leftmost of equals), so equal strings name equal an
 1. Anchors. Documents are cut into anchors with the starts that name them; a shuffle of packed anchor hashes drops those that
    occur once. An anchor that a block of documents holds several times is known to repeat, so a very common one is sent once.
 2. Contexts. An occurrence's context is all bytes of the strings that name it. Of equal contexts the first occurrence is
-   kept; all strings of the others are repeats. (Contexts are compared by 64-bit hashes beside the equal 64-bit anchor hash.)
+   kept; all strings of the others are repeats. (Contexts are compared by hashes modulo a prime beside the equal 64-bit anchor hash.)
 3. Suffixes. Where an anchor has several different contexts, their suffixes from the anchor on, and their prefixes read
    backwards, are sorted: multikey quicksort (eight bytes a character) down to a shallow depth, then blind tries for groups
    with longer common prefixes. With both orders and their common prefix lengths, the strings at one offset fall into classes
@@ -18,8 +18,8 @@ one with the least hash, the leftmost of equals), so equal strings name equal an
 5. Spans meet their documents again, where they are joined and cut out.
 
 Defined cases: null text is empty; a null doc_id is never compared and loses nothing; rows that repeat a doc_id with the same
-text are one document read twice: both come back with the same result; other columns are ignored; texts under LENGTH bytes
-lose nothing.
+text are one document read twice: both come back with the same result; rows that repeat a doc_id with other texts are documents of their
+own, in the order of their texts' hashes; other columns are ignored; texts under LENGTH bytes lose nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, id_and_text, materialize, mix, running_hash, segment_hashes, shuffle_partitions, table, text_buffer
+from quarry.llm._util import buckets_for, chunks, id_and_text, materialize, mix, of_segments, prime_sums, running_hash, segment_hashes, shuffle_partitions, table, text_buffer
 
 LENGTH, ANCHOR = 100, 24
 #: Different contexts of one anchor that are sorted in one task.
@@ -73,7 +73,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
     edge = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     low, high = start[edge], start[np.append(edge[1:], len(start)) - 1]
     place, text = place[edge], text[edge]
-    context = mix(((total[high + length] - total[low]) * down[low]) + (high - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place - low).astype(np.uint64))
+    context = mix(of_segments(prime_sums(raw), low, high + length) + (high - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place - low).astype(np.uint64))
     return text, place, low, high, hashes[place], context
 
 
@@ -87,11 +87,11 @@ def _values(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-_PARTS = (("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("low", "<u1"), ("high", "<u1"), ("many", "<u1"))
+_PARTS = (("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("pos", "<i8"), ("low", "<u1"), ("high", "<u1"), ("many", "<u1"))
 
 
 def _pack(found: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
-    body = b"".join(_planes(np.diff(found[k][pick], prepend=0).astype(kind) if k == "doc" else found[k][pick].astype(kind)) for k, kind in _PARTS)
+    body = b"".join(_planes(np.diff(found[k][pick], prepend=0).astype(kind) if k in ("doc", "hash") else found[k][pick].astype(kind)) for k, kind in _PARTS)
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -102,7 +102,7 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
         size = n * np.dtype(kind).itemsize
         out[k] = _values(body[done : done + size], kind)
         done += size
-    out["doc"] = np.cumsum(out["doc"])
+    out["doc"], out["hash"] = np.cumsum(out["doc"]), np.cumsum(out["hash"])
     return out
 
 
@@ -118,8 +118,8 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, gram: int, n_buckets:
         sent = np.sort(first)
         bucket = (found["anchor"][sent] % np.uint64(n_buckets)).astype(np.int64)
         order = sent[np.argsort(bucket, kind="stable")]
-        edges = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
-        rows = [(b, _pack(found, order[edges[b] : edges[b + 1]])) for b in range(n_buckets) if edges[b] < edges[b + 1]]
+        there, edges = np.unique(np.sort(bucket), return_index=True)
+        rows = [(b, _pack(found, order[lo:hi])) for b, lo, hi in zip(there.tolist(), edges, [*edges[1:], len(order)], strict=True)]
         rest = np.ones(len(inverse), bool)
         rest[sent] = False
         rest = np.flatnonzero(rest)
@@ -130,10 +130,10 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, gram: int, n_buckets:
 
     for chunk in chunks(batches, most=PASS_BYTES):
         raw, at = text_buffer(chunk["text"])
-        ids = chunk["doc_id"].to_numpy()
+        ids, text_hash = chunk["doc_id"].to_numpy(), chunk["text_hash"].to_numpy()
         text, place, low, high, anchor, context = anchors(raw, at, length, gram)
         if len(text):
-            held.append({"anchor": anchor, "context": context, "doc": ids[text], "pos": place - at[text], "low": place - low, "high": high - low})
+            held.append({"anchor": anchor, "context": context, "doc": ids[text], "hash": text_hash[text], "pos": place - at[text], "low": place - low, "high": high - low})
         size += len(raw)
         if size >= BLOCK_BYTES and held:
             yield emit()
@@ -150,7 +150,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {k: np.concatenate([p[k] for p in parts]) for k, _ in _PARTS}
         _, inverse, counts = np.unique(found["anchor"], return_inverse=True, return_counts=True)
         pick = (counts[inverse] > 1) | (found["many"] > 0)
-        kinds = {"anchor": np.int64, "context": np.int64, "doc": np.int64, "pos": np.int64, "low": np.int32, "high": np.int32}
+        kinds = {"anchor": np.int64, "context": np.int64, "doc": np.int64, "hash": np.int64, "pos": np.int64, "low": np.int32, "high": np.int32}
         return pa.RecordBatch.from_arrays([pa.array(found[k][pick].view(np.int64) if found[k].dtype == np.uint64 else found[k][pick].astype(t)) for k, t in kinds.items()], list(kinds))
 
     bucket, held = None, []
@@ -260,13 +260,13 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, known: int, shallow: i
     return order, common
 
 
-def repeats(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, context: list[bytes], length: int, gram: int) -> np.ndarray:
+def repeats(anchor: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, context: list[bytes], length: int, gram: int) -> np.ndarray:
     """For each context and offset of the anchor in a string (0 .. length - gram): whether that string is not the first of its kind."""
     n, w = len(anchor), length - gram + 1
     group = np.unique(anchor, return_inverse=True)[1]
     right_order, right_common = deep_shallow([c[a:] for c, a in zip(context, low.tolist(), strict=True)], group, 0)
     left_order, left_common = deep_shallow([c[:a][::-1] for c, a in zip(context, low.tolist(), strict=True)], group, 0)
-    first = np.lexsort((pos, doc))
+    first = np.lexsort((pos, text_hash, doc))
     out = np.zeros((n, w), bool)
     least = low - high  # the offset of the last start
     right, left = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -284,26 +284,26 @@ def repeats(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarra
         if again.any():
             _, of = np.unique(key, return_inverse=True)
             head = valid[one][of]
-            again &= (doc[head] != doc[valid]) | (pos[head] != pos[valid])
+            again &= (doc[head] != doc[valid]) | (text_hash[head] != text_hash[valid]) | (pos[head] != pos[valid])
         out[valid[again], d] = True
     return out
 
 
-def _spans(doc: np.ndarray, pos: np.ndarray, marked: np.ndarray, length: int) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, marked: np.ndarray, length: int) -> pa.RecordBatch:
     """Runs of marked offsets as byte spans of documents."""
     edge = np.diff(np.pad(marked, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, begin = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] - end + 1), pa.array(pos[row] - begin + length)], ["doc", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(text_hash[row]), pa.array(pos[row] - end + 1), pa.array(pos[row] - begin + length)], ["doc", "hash", "start", "stop"])
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Repeats among contexts that come by anchor; whole anchors are sorted, about UNIT contexts at a time."""
 
     def emit(rows: pa.Table) -> pa.RecordBatch:
-        anchor, doc, pos, low, high = (rows[c].to_numpy() for c in ("anchor", "doc", "pos", "low", "high"))
-        marked = repeats(anchor, doc, pos, low.astype(np.int64), high.astype(np.int64), rows["bytes"].to_pylist(), length, gram)
-        return _spans(doc, pos, marked, length)
+        anchor, doc, text_hash, pos, low, high = (rows[c].to_numpy() for c in ("anchor", "doc", "hash", "pos", "low", "high"))
+        marked = repeats(anchor, doc, text_hash, pos, low.astype(np.int64), high.astype(np.int64), rows["bytes"].to_pylist(), length, gram)
+        return _spans(doc, text_hash, pos, marked, length)
 
     held: pa.Table | None = None
     for batch in batches:
@@ -323,14 +323,14 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """From documents with their wanted occurrences: contexts to be sorted, and strings of hot anchors as hashes."""
-    names = ["anchor", "doc", "pos", "low", "high", "bytes", "one", "two", "ones", "twos"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["anchor", "doc", "hash", "pos", "low", "high", "bytes", "one", "two", "ones", "twos"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for chunk in chunks(batches, most=PASS_BYTES):
         raw, at = text_buffer(chunk["text"])
         data = raw.tobytes()
         cold: list[tuple] = []
         hot_start, hot_row, hot_offset = [], [], []
-        for k, (doc, wanted) in enumerate(zip(chunk["doc_id"].to_pylist(), chunk["wanted"].to_pylist(), strict=True)):
+        for k, (doc, text_hash, wanted) in enumerate(zip(*(chunk[c].to_pylist() for c in ("doc_id", "text_hash", "wanted")), strict=True)):
             base = int(at[k])
             for o in wanted:
                 begin = base + o["pos"] - o["low"]
@@ -339,7 +339,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     hot_row.append(np.full(o["high"] + 1, k))
                     hot_offset.append(np.arange(o["low"], o["low"] - o["high"] - 1, -1))
                 else:
-                    cold.append((o["anchor"], doc, o["pos"], o["low"], o["high"], data[begin : begin + o["high"] + length], None, None, None, None))
+                    cold.append((o["anchor"], doc, text_hash, o["pos"], o["low"], o["high"], data[begin : begin + o["high"] + length], None, None, None, None))
         for lo in range(0, len(cold), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold[lo : lo + 20_000], strict=True), kinds, strict=True)], names)
         if hot_start:
@@ -354,56 +354,59 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             edges = pa.array(np.append(run, len(start)), pa.int32())
             each = [pa.ListArray.from_arrays(edges, pa.array(segment_hashes(x, start, start + length).view(np.int64))) for x in (raw, other)]
             n = len(run)
-            doc, pos = pa.array(chunk["doc_id"].to_numpy()[row[run]]), pa.array(first - at[row[run]])
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pos, pa.nulls(n, pa.int32()), pa.array(size, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, keys), *each], names)
+            doc, text_hash, pos = pa.array(chunk["doc_id"].to_numpy()[row[run]]), pa.array(chunk["text_hash"].to_numpy()[row[run]]), pa.array(first - at[row[run]])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, text_hash, pos, pa.nulls(n, pa.int32()), pa.array(size, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, keys), *each], names)
 
 
 def _not_first(strings: DataFrame) -> DataFrame:
-    """Spans (doc, start, stop) of all but the first of equal strings (one, two, doc, pos, stop)."""
-    heads = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two", "head")
-    return strings.join(heads, ["one", "two"]).filter("doc <> head.doc or pos <> head.pos").select("doc", F.col("pos").alias("start"), "stop")
+    """Spans (doc, hash, start, stop) of all but the first of equal strings (one, two, doc, hash, pos, stop)."""
+    heads = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "hash", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two", "head")
+    return strings.join(heads, ["one", "two"]).filter("doc <> head.doc or hash <> head.hash or pos <> head.pos").select("doc", "hash", F.col("pos").alias("start"), "stop")
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """Texts of documents with an id: the same plan wherever texts are joined, so that they are shuffled once for all joins."""
-    return id_and_text(docs).filter("doc_id is not null")
+    """Texts of documents with an id, with their hashes: the same plan wherever texts are joined, so that they are shuffled once for all joins."""
+    return id_and_text(docs).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR) -> DataFrame:
-    """(doc, start, stop): byte spans that strings of `length` bytes cover which also start earlier; they may overlap."""
+    """(doc, hash, start, stop, route): byte spans that strings of `length` bytes cover which also start earlier; they may overlap.
+
+    hash: of the document's text. route: what showed it (`equal contexts`, `sorted suffixes` or `common anchors`)."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n, n_buckets = shuffle_partitions(spark), buckets_for(docs)
     texts = _named(docs)
-    packed = texts.mapInArrow(lambda b: _deal(b, length, gram, 4 * n), "bucket int, body binary")
-    occurrences = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "anchor long, context long, doc long, pos long, low int, high int")
+    packed = texts.mapInArrow(lambda b: _deal(b, length, gram, n_buckets), "bucket int, body binary")
+    occurrences = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "anchor long, context long, doc long, hash long, pos long, low int, high int")
     occurrences = materialize(occurrences, "occurrences")
-    firsts = occurrences.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pos", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = occurrences.groupBy("anchor", "context").agg(F.min(F.struct("doc", "hash", "pos", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts.select("anchor", "context", F.col("first.*"), "n"), "firsts")
     # equal contexts: all but the first repeat it
-    heads = firsts.filter("n > 1").select("anchor", "context", F.col("doc").alias("doc1"), F.col("pos").alias("pos1"))
-    copies = occurrences.join(heads, ["anchor", "context"]).filter("doc <> doc1 or pos <> pos1").select("doc", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + F.col("high") + length).alias("stop"))
+    heads = firsts.filter("n > 1").select("anchor", "context", F.col("doc").alias("doc1"), F.col("hash").alias("hash1"), F.col("pos").alias("pos1"))
+    copies = occurrences.join(heads, ["anchor", "context"]).filter("doc <> doc1 or hash <> hash1 or pos <> pos1").select("doc", "hash", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + F.col("high") + length).alias("stop"))
     # different contexts of one anchor
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
     sorted_here = firsts.join(several.filter(F.col("contexts") <= HOT), "anchor")
     found = _wanted(texts, sorted_here, length)
-    cold = found.select("anchor", "doc", "pos", "low", "high", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
-    parted = cold.mapInArrow(lambda b: _sorted_spans(b, length, gram), "doc long, start long, stop long")
-    spans = copies.unionByName(parted)
+    cold = found.select("anchor", "doc", "hash", "pos", "low", "high", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
+    parted = cold.mapInArrow(lambda b: _sorted_spans(b, length, gram), "doc long, hash long, start long, stop long")
+    spans = copies.withColumn("route", F.lit("equal contexts")).unionByName(parted.withColumn("route", F.lit("sorted suffixes")))
     too_many = several.filter(F.col("contexts") > HOT)
     if too_many.limit(1).count():
         hot = _wanted(texts, firsts.join(too_many, "anchor"), length)
-        runs = hot.select("one", "two", "doc", "pos", (F.col("pos") + F.col("high") - 1 + length).alias("stop"))
-        kept = hot.groupBy("one", "two").agg(F.min(F.struct("doc", "pos", "ones", "twos")).alias("kept")).select("kept.*")
-        strings = kept.select("doc", "pos", F.posexplode(F.arrays_zip("ones", "twos")).alias("k", "both")).select("doc", (F.col("pos") + F.col("k")).alias("pos"), F.col("both.ones").alias("one"), F.col("both.twos").alias("two"))
-        spans = spans.unionByName(_not_first(runs)).unionByName(_not_first(strings.withColumn("stop", F.col("pos") + length)))
+        runs = hot.select("one", "two", "doc", "hash", "pos", (F.col("pos") + F.col("high") - 1 + length).alias("stop"))
+        kept = hot.groupBy("one", "two").agg(F.min(F.struct("doc", "hash", "pos", "ones", "twos")).alias("kept")).select("kept.*")
+        strings = kept.select("doc", "hash", "pos", F.posexplode(F.arrays_zip("ones", "twos")).alias("k", "both")).select("doc", "hash", (F.col("pos") + F.col("k")).alias("pos"), F.col("both.ones").alias("one"), F.col("both.twos").alias("two"))
+        common = _not_first(runs).unionByName(_not_first(strings.withColumn("stop", F.col("pos") + length)))
+        spans = spans.unionByName(common.withColumn("route", F.lit("common anchors")))
     return spans
 
 
 def _wanted(texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
     """Contexts (or string hashes, for hot anchors) of the occurrences, taken from their documents' texts."""
-    lists = occurrences.groupBy("doc").agg(F.collect_list(F.struct("anchor", "pos", "low", "high", (F.col("contexts") > HOT).alias("hot"))).alias("wanted"))
-    fields = "anchor long, doc long, pos long, low int, high int, bytes binary, one long, two long, ones array<long>, twos array<long>"
-    return texts.join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(lambda b: _contexts(b, length), fields)
+    lists = occurrences.groupBy(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash")).agg(F.collect_list(F.struct("anchor", "pos", "low", "high", (F.col("contexts") > HOT).alias("hot"))).alias("wanted"))
+    fields = "anchor long, doc long, hash long, pos long, low int, high int, bytes binary, one long, two long, ones array<long>, twos array<long>"
+    return texts.join(lists, ["doc_id", "text_hash"]).mapInArrow(lambda b: _contexts(b, length), fields)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -435,9 +438,10 @@ def _fields(with_text: bool) -> str:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """Each document without its repeated bytes (column kept, on request), with counts and a digest of what is left."""
-    spans = repeated_spans(docs, length, gram).distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = _named(docs).join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    nameless = id_and_text(docs).filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+    found = repeated_spans(docs, length, gram).select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), "start", "stop").distinct()
+    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = _named(docs).join(spans, ["doc_id", "text_hash"], "left")
+    nameless = id_and_text(docs).filter("doc_id is null").withColumn("text_hash", F.lit(0).cast("long")).withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
     cut = lambda df: df.mapInArrow(lambda b: _cut(b, with_text), _fields(with_text))
     return cut(joined).unionByName(cut(nameless))
 
