@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, id_and_text, materialize, package_path, segment_hashes, ship, shuffle_partitions, table, text_buffer
+from quarry.llm._util import buckets_for, chunks, id_and_text, materialize, package_path, segment_hashes, ship, shuffle_partitions, table, text_buffer
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in one block.
@@ -73,13 +73,14 @@ def _unpack(data: bytes) -> np.ndarray:
 def _deal(batches: Iterator[pa.RecordBatch], n_buckets: int, only: str = "") -> Iterator[pa.RecordBatch]:
     """Of each block: its documents as sequences of codes (bucket -1), and its distinct groups, dealt to buckets by their hash.
 
-    only: `documents` or `groups`. A block's number holds a checksum of its text, so both halves of one block can only meet if
-    both have seen the same text."""
+    only: `documents` or `groups`. A block is named by its scan partition and by its number there with a checksum of its text, so both
+    halves of one block can only meet if both have seen the same text."""
     press = zstandard.ZstdCompressor(level=3).compress
     for k, chunk in enumerate(chunks(batches, most=BLOCK_BYTES)):
         raw, at = text_buffer(chunk["text"])
         part = chunk["part"][0].as_py()
-        block = part << 48 | (k & 0xFFFF) << 32 | zlib.crc32(raw)
+        block = k << 32 | zlib.crc32(raw)
+        named = lambda n, part=part, block=block: [pa.array(np.full(n, part, np.int64)), pa.array(np.full(n, block, np.int64))]
         starts = group_starts(raw, at)
         words, codes = dictionary(raw, starts)
         if len(codes):  # frequent groups get small codes
@@ -93,28 +94,27 @@ def _deal(batches: Iterator[pa.RecordBatch], n_buckets: int, only: str = "") ->
             first = np.searchsorted(starts, at)
             bodies = [_pack(codes[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
             n = len(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, -1, np.int32)), chunk["doc_id"].combine_chunks(), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
+            yield pa.RecordBatch.from_arrays([*named(n), pa.array(np.full(n, -1, np.int32)), chunk["doc_id"].combine_chunks(), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
         if only == "documents":
             continue
         text, ends = text_buffer(words)
         bucket = (segment_hashes(text, ends[:-1], ends[1:]) % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((rank, bucket))
         size = np.diff(ends)
-        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        there, edges = np.unique(bucket[order], return_index=True)
         rows = []
-        for b in range(n_buckets):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                end = np.cumsum(size[own])
-                body = text[np.repeat(ends[own] - (end - size[own]), size[own]) + np.arange(end[-1])]
-                rows.append((b, _pack(np.diff(rank[own], prepend=np.uint32(0))), _pack(size[own]), press(body.tobytes())))
+        for b, lo, hi in zip(there.tolist(), edges, [*edges[1:], len(order)], strict=True):
+            own = order[lo:hi]
+            end = np.cumsum(size[own])
+            body = text[np.repeat(ends[own] - (end - size[own]), size[own]) + np.arange(end[-1])]
+            rows.append((b, _pack(np.diff(rank[own], prepend=np.uint32(0))), _pack(size[own]), press(body.tobytes())))
         if rows:
             b, numbers, sizes, bodies = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), block)), pa.array(b, pa.int32()), pa.nulls(len(b), pa.int64()), pa.array(numbers, pa.binary()), pa.array(sizes, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
+            yield pa.RecordBatch.from_arrays([*named(len(b)), pa.array(b, pa.int32()), pa.nulls(len(b), pa.int64()), pa.array(numbers, pa.binary()), pa.array(sizes, pa.binary()), pa.array(bodies, pa.binary())], _FIELDS)
 
 
-_FIELDS = ["block", "bucket", "doc_id", "codes", "sizes", "body"]
-_DEALT = "block long, bucket int, doc_id long, codes binary, sizes binary, body binary"
+_FIELDS = ["part", "block", "bucket", "doc_id", "codes", "sizes", "body"]
+_DEALT = "part long, block long, bucket int, doc_id long, codes binary, sizes binary, body binary"
 
 _made: dict = {}
 
@@ -152,7 +152,7 @@ def encode_blocks(docs: DataFrame, file: str, pattern: str, scanned: bool = Fals
     instead of storing the codes once more. A block that changed between the two raises an error."""
     spark = docs.sparkSession
     data, n = ship(spark, file), shuffle_partitions(spark)
-    n_buckets = 4 * n
+    n_buckets = buckets_for(docs)
     # the number of the partition within its scan, which a union does not change
     texts = id_and_text(docs).withColumn("part", F.spark_partition_id().cast("long"))
     if scanned:
@@ -165,8 +165,8 @@ def encode_blocks(docs: DataFrame, file: str, pattern: str, scanned: bool = Fals
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "codes", "sizes", "body")), strict=True):
-                if held and held[0][1] != row[1]:
+            for row in zip(*(batch[c].to_pylist() for c in ("part", "block", "bucket", "codes", "sizes", "body")), strict=True):
+                if held and held[0][2] != row[2]:
                     yield _encode_bucket(held, _encoder(data.value, pattern).encode_ordinary)
                     held = []
                 held.append(row)
@@ -180,8 +180,8 @@ def encode_blocks(docs: DataFrame, file: str, pattern: str, scanned: bool = Fals
 def _encode_bucket(rows: list[tuple], encode_one) -> pa.RecordBatch:
     """All blocks' rows of one bucket: each of its distinct groups is encoded once."""
     press = zstandard.ZstdDecompressor()
-    sizes = [_unpack(r[3]) for r in rows]
-    body = b"".join(press.decompress(r[4]) for r in rows)
+    sizes = [_unpack(r[4]) for r in rows]
+    body = b"".join(press.decompress(r[5]) for r in rows)
     ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
     words, place = dictionary(np.frombuffer(body, np.uint8), ends[:-1])
     lists = [encode_one(w.decode("utf-8", "replace")) for w in words.to_pylist()]
@@ -195,8 +195,8 @@ def _encode_bucket(rows: list[tuple], encode_one) -> pa.RecordBatch:
         out_ids.append(_pack(gather(flat, offsets, mine)))
         done += len(own)
     n = len(rows)
-    block, bucket, codes = zip(*((r[0], r[1], r[2]) for r in rows), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(out_sizes, pa.binary()), pa.array(out_ids, pa.binary())], _FIELDS)
+    part, block, bucket, codes = zip(*(r[:4] for r in rows), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(out_sizes, pa.binary()), pa.array(out_ids, pa.binary())], _FIELDS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
@@ -204,13 +204,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     held: list[tuple] = []
     block, ready = None, None
     for batch in batches:
-        blocks, buckets = batch["block"].to_numpy(), batch["bucket"].to_numpy()
-        edges = np.flatnonzero((np.diff(blocks) != 0) | ((buckets[1:] < 0) != (buckets[:-1] < 0))) + 1
+        parts, blocks, buckets = (batch[c].to_numpy() for c in ("part", "block", "bucket"))
+        edges = np.flatnonzero((np.diff(parts) != 0) | (np.diff(blocks) != 0) | ((buckets[1:] < 0) != (buckets[:-1] < 0))) + 1
         for lo, hi in zip([0, *edges], [*edges, len(blocks)], strict=True):
             if hi <= lo:
                 continue
-            if blocks[lo] != block:
-                block, held, ready = blocks[lo], [], None
+            if (parts[lo], blocks[lo]) != block:
+                block, held, ready = (parts[lo], blocks[lo]), [], None
             if buckets[lo] >= 0:
                 held += zip(*(batch[c].slice(lo, hi - lo).to_pylist() for c in ("codes", "sizes", "body")), strict=True)
                 continue
@@ -282,7 +282,7 @@ def _assembled(docs: DataFrame, file: str | None, pattern: str | None, digest: b
             else:
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(back, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = encode_blocks(docs, file, pattern, scanned).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.desc("bucket"))
+    rows = encode_blocks(docs, file, pattern, scanned).repartition(shuffle_partitions(spark), "part", "block").sortWithinPartitions("part", "block", F.desc("bucket"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>")
 
 
