@@ -2,8 +2,8 @@
 
 Features: hashed byte pairs and triples of the lower-cased letters of the whole text (anything else is one space), as
 square roots of their shares, scaled to unit length. Training: documents whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not
-null, sampled by a hash of doc_id to about PER_LANG rows of each language; only their fixed-size feature vectors reach the
-driver. A family's machine is trained against the other families; within a family each pair of languages has a machine of
+null, sampled by a hash of doc_id and text to about PER_LANG different rows of each language; only their fixed-size feature vectors reach the
+driver. Every language that occurs there is learned: one machine a family, one for each pair of a family's languages. A family's machine is trained against the other families; within a family each pair of languages has a machine of
 its own, and the language with most votes wins (ties: the larger sum of margins, then the first by name).
 
 Defined cases: text that is null or has no letter is `und` with score 0; where nothing can be learned every other text is
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import chunks, small_batches, table, text_buffer
+from quarry.llm._util import chunks, give_back, small_batches, table, text_buffer
 
-#: Rows of each language that training looks at (on average; a hash picks them), and languages at most.
-PER_LANG, MOST_LANGS = 400, 200
+#: Different rows of each language that training looks at (on average; a hash picks them).
+PER_LANG = 400
 WIDTH = 4096
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -132,7 +132,7 @@ class Model:
     languages: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = field(default_factory=dict)
 
-    def of_texts(self, raw: np.ndarray, at: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def of_texts(self, raw: np.ndarray, at: np.ndarray, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Language and score of each text, a few rows at a time: vectors are wide, and texts may be short and many."""
         parts = []
         for lo in range(0, len(at) - 1, rows):
@@ -207,11 +207,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learns from text and non-null lang of documents that are not held out, of which a hash of doc_id picks a bounded sample."""
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    # rows that repeat id and text are one row, however many there are
+    labelled = labelled.withColumn("row_hash", F.xxhash64("doc_id", "text", F.lit(11)))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("row_hash", 0.02).alias("n")).orderBy("lang").collect()
     if not counts:
         return Model()
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["n"]))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / max(1, r["n"])))])
+    draw = F.pmod(F.col("row_hash"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).dropDuplicates(["lang", "row_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, most=1 << 20):
@@ -219,7 +222,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             x = [v for lo in range(0, len(at) - 1, 256) for v in vectors(raw[at[lo] : at[min(lo + 256, len(at) - 1)]], at[lo : lo + 257] - at[lo])]
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), chunk["lang"].combine_chunks(), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    sample = labelled.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).mapInArrow(run, "doc_id long, lang string, x binary").collect()
+    sample = drawn.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, x binary").collect()
     sample.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["x"])))
     x = np.array([np.frombuffer(bytes(r["x"]), "<f2") for r in sample], np.float32).reshape(len(sample), WIDTH)
     return fit(x, [r["lang"] for r in sample])
@@ -249,6 +252,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         for part in texts:
             lang, score = shared.value.of_texts(*text_buffer(part))
             yield pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+        give_back()
 
     return F.arrow_udf(run, "lang string, score double")(F.coalesce(text.cast("string"), F.lit("")))
 
