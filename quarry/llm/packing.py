@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ WINDOW, END_ID = 2048, 1
 #: Combinations that the solver looks at, and its sweeps.
 COLUMNS, SWEEPS = 20_000, 12
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 #: Bytes of text whose distinct words are looked up together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,26 +108,28 @@ def _tokenizer(data: bytes):
 
 
 def _encode_words(words: list[str], often: list[bool], data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All words' ids, and offsets. A worker keeps the ids of words that a chunk holds more than once."""
+    """All words' ids, and offsets. A worker keeps the ids, as bytes, of words that a chunk holds more than once."""
     tokenizer, model, known = _tokenizer(data)
-    lists = list(map(known.get, words))
+    found = list(map(known.get, words))
     slow = []
-    for k, ids in enumerate(lists):
+    for k, ids in enumerate(found):
         if ids is None:
-            ids = lists[k] = _word_ids(words[k], model) if model is not None else None
-            if ids is None:
+            made = _word_ids(words[k], model) if model is not None else None
+            if made is None:
                 slow.append(k)
-            elif often[k] and len(known) < KEPT_WORDS:
+                continue
+            found[k] = ids = array("I", made).tobytes()
+            if often[k] and len(known) < KEPT_WORDS:
                 known[words[k]] = ids
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for lo in range(0, len(slow), 5_000):
-        part = slow[lo : lo + 5_000]
+    for lo in range(0, len(slow), 1_000):
+        part = slow[lo : lo + 1_000]
         for k, made in zip(part, encode([words[k] for k in part], add_special_tokens=False), strict=True):
-            lists[k] = made.ids
+            found[k] = array("I", made.ids).tobytes()
             if often[k] and len(known) < KEPT_WORDS:
-                known[words[k]] = lists[k]
-    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))))
-    return np.fromiter(chain.from_iterable(lists), np.uint32, offsets[-1]), offsets
+                known[words[k]] = found[k]
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))) // 4
+    return np.frombuffer(b"".join(found), np.uint32), offsets
 
 
 def pieces(docs: DataFrame, file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
