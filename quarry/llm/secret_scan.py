@@ -8,7 +8,7 @@ for a credential (token, secret, ...) or against one (commit, sha256, example, .
 LABELLED of them, made by rule from hashes of their number (half of them real shapes of keys beside fitting words, half look-alikes: checksums,
 commits, identifiers, file names, placeholders, long words), so training needs no text of the corpus and its size is fixed.
 
-Defined cases: null text is empty and has no candidates; a null doc_id is passed on; repeated rows give repeated rows; other columns are
+Defined cases: null text is empty and has no candidates; a null doc_id is passed on and its secrets are masked; repeated rows give repeated rows; other columns are
 ignored; a document without candidates gives no rows; an empty table gives an empty result.
 """
 
@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._util import id_and_text, materialize, table
+from quarry.llm._util import id_and_text, key_filter, materialize, maybe_in, table
 
 _WORDS = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|credential|bearer|(?:api|access|secret|private|auth|signing|encryption)[_-]?key|(?<![a-z])(?:key|auth|private))s?"
 _SIGN = r"[\"']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}"
@@ -39,6 +39,8 @@ CANDIDATE = (
 )
 #: Characters of text before and after a candidate that count as its neighbourhood.
 BESIDE = 48
+#: Candidates of one document that are placed together.
+TOGETHER = 128
 LABELLED, TREES, DEPTH, SEED = 6000, 24, 7, 13
 #: From this probability on a candidate is a secret.
 LEAST = 0.5
@@ -50,22 +52,29 @@ FEATURES = ("length", "digits", "uppers", "hexes", "symbols", "changes", "differ
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, candidate, before, after): every candidate with its place (0-based, in characters) and neighbourhood."""
-    hit = id_and_text(docs).filter(F.col("text").rlike(CANDIDATE))
-    parted = hit.select("doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    """(doc_id, text_hash, start, candidate, before, after): every candidate with its place (0-based, in characters) and neighbourhood."""
+    hit = id_and_text(docs).filter(F.col("text").rlike(CANDIDATE)).withColumn("text_hash", F.xxhash64("text"))
+    parted = hit.select("doc_id", "text_hash", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
     # what stands between two candidates is one gap, so places add up from both
-    numbered = parted.select("doc_id", "text", F.transform("found", lambda c, k: F.struct(c.alias("candidate"), F.element_at("gaps", k + 1).alias("gap"))).alias("found"))
-    cut = lambda at, n: F.substring(F.col("text"), (at + 1).cast("int"), n.cast("int"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,candidate:string,before:string,after:string>>").alias("out"))
+    paired = F.transform("found", lambda c, k: F.struct(c.alias("candidate"), F.element_at("gaps", k + 1).alias("gap"), (F.length(F.element_at("gaps", k + 1)) + F.length(c)).cast("long").alias("size")))
+    numbered = parted.select("doc_id", "text_hash", "text", paired.alias("found"))
+    total = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc + x["size"])
+    # some candidates at a time with the text around them, so that the work grows with the candidates and not with their square
+    first = F.explode(F.sequence(F.lit(0), F.floor((F.size("found") - 1) / TOGETHER).cast("int")))
+    pieces = numbered.withColumn("k", first).select("doc_id", "text_hash", "text", F.slice("found", F.col("k") * TOGETHER + 1, F.lit(TOGETHER)).alias("own"), total(F.slice("found", F.lit(1), F.col("k") * TOGETHER)).alias("base"))
+    cut = lambda text, at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+    low = F.greatest(F.col("base") - BESIDE, F.lit(0))
+    local = pieces.select("doc_id", "text_hash", "own", "base", low.alias("low"), cut(F.col("text"), low, F.col("base") - low + total(F.col("own")) + BESIDE).alias("near"))
+    start = F.struct((F.col("base") - F.col("low")).alias("at"), F.array().cast("array<struct<start:bigint,candidate:string,before:string,after:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
-        end, low = at + F.length(x["candidate"]), F.greatest(at - BESIDE, F.lit(0))
-        item = F.struct(at.alias("start"), x["candidate"].alias("candidate"), cut(low, at - low).alias("before"), cut(end, F.lit(BESIDE)).alias("after"))
+        end, low = acc["at"] + x["size"], F.greatest(at - BESIDE, F.lit(0))
+        item = F.struct((F.col("low") + at).alias("start"), x["candidate"].alias("candidate"), cut(F.col("near"), low, at - low).alias("before"), cut(F.col("near"), end, F.lit(BESIDE)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    placed = numbered.select("doc_id", F.explode(F.aggregate("found", start, step, lambda acc: acc["out"])).alias("c"))
-    return placed.select("doc_id", "c.*")
+    placed = local.select("doc_id", "text_hash", F.explode(F.aggregate("own", start, step, lambda acc: acc["out"])).alias("c"))
+    return placed.select("doc_id", "text_hash", "c.*")
 
 
 def _share(c: Column, keep: str) -> Column:
@@ -160,8 +169,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomFores
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, start, length, kind, sha256 of the candidate, probability and is_secret of every candidate."""
+def _scored(docs: DataFrame, model: RandomForestClassificationModel | None, least: float) -> DataFrame:
     spark = docs.sparkSession
     model = model or train(spark)
     # few rows, dealt anew so that a document with very many candidates does not hold up one task
@@ -169,25 +177,35 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     c, probability = F.col("candidate"), vector_to_array("probability")[1]
     kind = F.when(F.col("header") > 0, "private key").when(c.rlike("^(?:AKIA|ASIA)"), "cloud key").when(c.rlike("^(?:ghp_|sk_live_|xoxb-|glpat-)"), "service token").when(F.col("hexes") == 1, "hex key").otherwise("other")
-    return scored.select("doc_id", "start", F.length(c).cast("long").alias("length"), kind.alias("kind"), F.sha2(c.cast("binary"), 256).alias("sha256"), F.round(probability, 6).alias("probability"), (probability >= least).alias("is_secret"))
+    return scored.select("doc_id", "text_hash", "start", F.length(c).cast("long").alias("length"), kind.alias("kind"), F.sha2(c.cast("binary"), 256).alias("sha256"), F.round(probability, 6).alias("probability"), (probability >= least).alias("is_secret"))
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, least: float = LEAST) -> DataFrame:
+    """doc_id, start, length, kind, sha256 of the candidate, probability and is_secret of every candidate."""
+    return _scored(docs, model, least).drop("text_hash")
+
 
+def redact(docs: DataFrame, mask: str = "[secret]", model: RandomForestClassificationModel | None = None, least: float = LEAST) -> DataFrame:
+    """The documents, all columns, with each secret replaced by a mask (n_chars, if there, follows).
 
-def redact(docs: DataFrame, mask: str = "[secret]", model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """The documents, all columns, with each secret replaced by a mask (n_chars, if there, follows). doc_id must be unique."""
-    secrets = materialize(scan(docs, model).filter("is_secret and doc_id is not null").select("doc_id", "start", "length"), "secrets")
-    spans = secrets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    # all columns in one, so that no name of theirs meets one of ours
-    joined = docs.select(F.struct("*").alias("row")).join(spans, F.col("row.doc_id") == F.col("doc_id"), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    Secrets belong to a row's id and text, so rows without an id and rows that repeat one are masked too. Rows without secrets are not shuffled."""
+    secrets = materialize(_scored(docs, model, least).filter("is_secret").select("doc_id", "text_hash", "start", "length").distinct(), "secrets")
+    spans = secrets.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    of_text = lambda text: F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    may, sure = maybe_in(docs, key_filter(secrets, "doc_id", "text_hash"), F.col("doc_id").cast("long"), of_text(F.col("text")))
+    asked = may.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), of_text(F.col("row.text")).alias("text_hash"))
+    joined = asked.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     own = F.col("row.text")
     piece = lambda acc, until: F.substring(own, (acc["at"] + 1).cast("int"), (until - acc["at"]).cast("int"))
-    step = lambda acc, x: F.struct((x["start"] + x["length"]).alias("at"), F.concat(acc["out"], piece(acc, x["start"]), F.lit(mask)).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(own, (acc["at"] + 1).cast("int"), F.lit(2147483647)))
+    step = lambda acc, x: F.struct((x["start"] + x["length"]).alias("at"), F.concat(acc["out"], F.array(piece(acc, x["start"]), F.lit(mask))).alias("out"))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(own, (acc["at"] + 1).cast("int"), F.lit(2147483647)))
     text = F.when(F.col("spans").isNull(), own).otherwise(F.aggregate("spans", start, step, end))
     made = joined.select("row", "spans", text.alias("text"))
     n_chars = lambda kind: F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(kind))
     columns = {"text": lambda: F.col("text"), "n_chars": lambda: n_chars(docs.schema["n_chars"].dataType)}
-    return made.select(*[columns[c]().alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    masked = made.select(*[columns[c]().alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return masked.unionByName(sure.select("row.*"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
