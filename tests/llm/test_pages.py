@@ -138,43 +138,74 @@ def test_canonical_urls(spark):
 
 
 def test_resolution_against_plain(spark, monkeypatch):
-    monkeypatch.setattr(warc, "SLICE", 50)
+    monkeypatch.setattr(warc, "SLICES", (10, 50))
     r = random.Random(6)
     rows = []
     for k in range(300):
         kind = r.choice(["response", "revisit", "revisit"])
         url = r.choice(["http://h.example/hot"] * 4 + [f"http://h.example/{r.randint(0, 9)}", None])
         headers = {h: str(r.randint(0, 1)) for h in ("etag", "last-modified", "date", "server") if r.random() < 0.7}
-        rows.append((k, kind, r.randint(0, 400), url, r.choice([200, 200, 404]) if kind == "response" else 304, headers, f"b{k}", k))
-    rows += [(301, "revisit", 5, "http://nowhere/", 304, {}, "", 0)]
+        rows.append((k, f"r{k:03d}", kind, r.randint(0, 400) if r.random() < 0.95 else None, url, r.choice([200, 200, 404]) if kind == "response" else 304, headers, f"b{k}", k, r.choice([None, f"r{r.randint(0, 99):03d}"])))
+    rows += [(301, "r301", "revisit", 5, "http://nowhere/", 304, {}, "", 0, None)]
     got = {x.record_id: x for x in warc.resolve(spark.createDataFrame(rows, warc.CAPTURE)).collect()}
-    assert len(got) == sum(x[1] == "revisit" for x in rows)
-    for number, kind, time, url, _, headers, _, _ in rows:
+    assert len(got) == sum(x[2] == "revisit" for x in rows)
+    for page_id, number, kind, time, url, _, headers, _, _, named in rows:
         if kind != "revisit":
             continue
         x = got[number]
-        earlier = [y for y in rows if url and y[1] == "response" and y[4] == 200 and y[3] == url and (y[2], y[0]) < (time, number)]
-        if url is None:
-            assert x.verdict == "no url"
+        earlier = [y for y in rows if url and time is not None and y[3] is not None and y[2] == "response" and y[5] == 200 and y[4] == url and (y[3], y[1]) < (time, number)]
+        assert x.page_id == page_id
+        if url is None or time is None:
+            assert (x.verdict, x.refers_to, x.as_named) == ("no url" if url is None else "no date", None, None)
             continue
         if not earlier:
             assert x.verdict == "no earlier response" and x.refers_to is None
             continue
-        of = max(earlier, key=lambda y: (y[2], y[0]))
-        test = next((h for h in ("etag", "last-modified") if h in headers and h in of[5]), None)
-        verdict = "no validator" if test is None else "resolved" if headers[test] == of[5][test] else "validator mismatch"
-        assert (x.verdict, x.refers_to) == (verdict, of[0])
+        of = max(earlier, key=lambda y: (y[3], y[1]))
+        test = next((h for h in ("etag", "last-modified") if h in headers and h in of[6]), None)
+        verdict = "no validator" if test is None else "resolved" if headers[test] == of[6][test] else "validator mismatch"
+        assert (x.verdict, x.refers_to, x.as_named) == (verdict, of[1], None if named is None else named == of[1])
         if verdict == "resolved":
-            merged = {**of[5], **{h: v for h, v in headers.items() if h in warc.UPDATES}}
-            assert x.headers == "\n".join(f"{k}: {v}" for k, v in sorted(merged.items())) and x.body_sha256 == of[6]
+            merged = {**of[6], **{h: v for h, v in headers.items() if h in warc.UPDATES}}
+            assert x.headers == "\n".join(f"{k}: {v}" for k, v in sorted(merged.items())) and x.body_sha256 == of[7]
     assert warc.resolve(spark.createDataFrame([], warc.CAPTURE)).count() == 0
 
 
+def test_standard_fields():
+    for time in (0, 1_700_000_000_000_000, 1_700_000_000_123_456):
+        assert warc.read_date(warc.warc_date(time)) == time
+    assert warc.warc_date(1_700_000_000_000_000) == "2023-11-14T22:13:20Z"
+    assert warc.read_date("2023-11-14T23:13:20+01:00") == warc.read_date("2023-11-14T22:13:20") == 1_700_000_000_000_000
+    assert warc.read_date(None) is None and warc.read_date("yesterday") is None
+    fields = warc.record_fields("a", 0, "http://x/", warc.NOT_MODIFIED, ("b", "http://x/", 7))
+    [(read, _)] = list(warc.read_records(warc.write_record("revisit", fields, b"HTTP/1.1 304 Not Modified\r\n\r\n")))
+    assert {k.lower(): v for k, v in fields.items()}.items() <= read.items() and set(fields) == {"WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Profile", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date"}
+
+
+def test_captures_of_other_records(spark):
+    """Records of other kinds and profiles are passed over; those without a date or name stay, as the docstring says."""
+    ok, not_modified = warc.http_message("200 OK", [("ETag", "1")], b"b"), warc.http_message("304 Not Modified", [("ETag", "1")])
+    data = [
+        warc.write_record("warcinfo", {}, b"software: x") + warc.write_record("response", {"WARC-Target-URI": "http://x/", "WARC-Date": "2023-01-01T00:00:00Z", "WARC-Record-ID": "<urn:a>"}, ok, False),
+        warc.write_record("revisit", {"WARC-Target-URI": "http://x/", "WARC-Date": "2023-01-02T00:00:00Z", "WARC-Profile": warc.NOT_MODIFIED}, not_modified, True),
+        warc.write_record("revisit", {"WARC-Target-URI": "http://x/", "WARC-Profile": warc.NOT_MODIFIED}, not_modified),
+        warc.write_record("revisit", {"WARC-Target-URI": "http://x/", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, not_modified),
+        b"",
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(data)), "page_id long, data binary")
+    got = {r.page_id: (r.verdict, r.refers_to) for r in warc.resolve(warc.captures(rows)).collect()}
+    assert got == {1: ("resolved", "<urn:a>"), 2: ("no date", None)}
+
+
 def test_captures_of_pages(spark):
-    pages = spark.createDataFrame([(n, f"http://h.example/{n}#x" if n != 4 else None, f"<p>{n}</p>" if n != 6 else None) for n in range(14)], PAGE)
-    got = {r.record_id: r for r in warc.resolve(warc.captures(warc.records_of_pages(clashing(pages)))).collect()}
-    assert len(got) == 14
+    pages = spark.createDataFrame([(n, f"http://h.example/{n}#x" if n != 4 else None, f"<p>{n}</p>" if n != 6 else None) for n in range(14)] + [(None, "http://h.example/0", "none")], PAGE)
+    resolved = warc.resolve(warc.captures(warc.records_of_pages(clashing(pages)))).collect()
+    got = {r.page_id: r for r in resolved if r.url != "hot.example/robots.txt"}
+    robots = [r for r in resolved if r.url == "hot.example/robots.txt"]
+    assert len(got) == 15 and sum(r.verdict == "resolved" for r in robots) >= 4 and {r.page_id for r in robots} >= {3, 6, 9, 12}
     want = {1: "validator mismatch", 2: "no earlier response", 3: "no validator"}
     for n in range(14):
-        assert got[2 * n + 1].verdict == ("no url" if n == 4 else want.get(n % 7, "resolved"))
-    assert got[13].body_sha256 == sha("") and got[1].body_sha256 == sha("<p>0</p>")
+        assert got[n].verdict == ("no url" if n == 4 else want.get(n % 7, "resolved"))
+        assert got[n].as_named is (None if n in (2, 4, 9) else True)
+    assert got[6].body_sha256 == sha("") and got[0].body_sha256 == sha("<p>0</p>")
