@@ -3,8 +3,9 @@
 Writing: 188-byte packets; a program association table (PID 0), a program map table, and one elementary stream of 8-bit
 samples (private data, stream type 6) in packetised units of UNIT bytes. Each unit opens with a random-access flag, a
 program clock reference and a presentation timestamp at 90 kHz (SAMPLE_RATE samples a second).
-Reading: the tables are parsed and their CRC checked, continuity counters of each PID are checked, packets are put together
-to elementary packets, and the timestamps with their random-access points are kept.
+Reading: the tables are put together over the packets that they span, parsed, and their CRC checked; continuity counters of each PID are
+checked (packets without a payload and packets sent twice are legal); packets are put together to elementary packets; and the timestamps
+(90 kHz) and random-access points (positions of samples) are columns of their own.
 
 Defined cases: null text is empty and stored as 64 zero bytes; a null doc_id is passed on; repeated rows give repeated rows;
 equal texts give equal streams; other columns are ignored. A damaged stream raises ValueError naming the fault.
@@ -95,15 +96,62 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: bytes, what: str) -> bytes:
-    if packet[1] & 0x40 == 0:
-        raise ValueError(f"{what}: no section starts here")
-    at = 5 + packet[4]
-    size = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + size]
-    if crc32_mpeg(section):
-        raise ValueError(f"{what}: wrong CRC")
-    return section
+def _payload(row: bytes) -> bytes:
+    """What a packet carries after its header and adaptation field; nothing if it has no payload."""
+    if not row[3] & 0x10:
+        return b""
+    return row[5 + row[4] :] if row[3] & 0x20 else row[4:]
+
+
+def _checked(own: np.ndarray, what: str) -> tuple[np.ndarray, np.ndarray]:
+    """One PID's packets with a payload, each once, and for each whether a random-access point is told at or before it.
+
+    Legal are packets without a payload, whose counter stands still, and a packet that is sent twice; a flagged discontinuity starts a new count."""
+    if (own[:, 1] & 0x80).any():
+        raise ValueError(f"{what}: a packet is marked as damaged")
+    loaded, fielded = own[:, 3] & 0x10 != 0, (own[:, 3] & 0x20 != 0) & (own[:, 4] > 0)
+    flags = np.where(fielded, own[:, 5], 0)
+    access, restart = flags & 0x40 != 0, flags & 0x80 != 0
+    if not loaded.all():  # flags of packets without a payload hold for the next one with a payload
+        carrier = np.append(np.flatnonzero(loaded), len(own))[np.searchsorted(np.flatnonzero(loaded), np.arange(len(own)))]
+        for flag in (access, restart):
+            told = carrier[np.flatnonzero(flag & ~loaded)]
+            flag[told[told < len(own)]] = True
+        own, access, restart = own[loaded], access[loaded], restart[loaded]
+    counter = own[:, 3] & 15
+    step = np.diff(counter.astype(np.int16)) & 15
+    if ((step != 1) & ~restart[1:]).any():
+        again = np.flatnonzero((step == 0) & ~restart[1:]) + 1
+        again = again[[_payload(own[k].tobytes()) == _payload(own[k - 1].tobytes()) for k in again]] if len(again) else again
+        kept = np.ones(len(own), bool)
+        kept[again] = False
+        if np.isin(again, again + 1).any():
+            raise ValueError(f"{what}: a packet is sent more than twice")
+        own, access, restart = own[kept], access[kept], restart[kept]
+        step = np.diff((own[:, 3] & 15).astype(np.int16)) & 15
+        if ((step != 1) & ~restart[1:]).any():
+            raise ValueError(f"{what}: continuity counter jumps")
+    return own, access
+
+
+def _read_section(grid: np.ndarray, pids: np.ndarray, pid: int, what: str) -> bytes:
+    """The first whole section of a PID, put together over as many packets as it spans."""
+    own = grid[pids == pid]
+    if not len(own):
+        raise ValueError(f"no {what}")
+    held: bytes | None = None
+    for row in _checked(own, what)[0]:
+        packet = row.tobytes()
+        body = _payload(packet)
+        if packet[1] & 0x40:
+            held = body[1 + body[0] :] if held is None else held + body[1 : 1 + body[0]]
+        elif held is not None:
+            held += body
+        if held is not None and len(held) >= 3 and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+            if crc32_mpeg(held[:size]):
+                raise ValueError(f"{what}: wrong CRC")
+            return held[:size]
+    raise ValueError(f"{what}: no whole section")
 
 
 def demux(stream: bytes) -> dict:
@@ -114,24 +162,20 @@ def demux(stream: bytes) -> dict:
     if (grid[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
     pids = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    pat = np.flatnonzero(pids == 0)
-    if not len(pat):
-        raise ValueError("no program association table")
-    section = _read_section(grid[pat[0]].tobytes(), "program association table")
+    section = _read_section(grid, pids, 0, "program association table")
     programs = {section[i] << 8 | section[i + 1]: (section[i + 2] & 0x1F) << 8 | section[i + 3] for i in range(8, len(section) - 4, 4)}
-    pmt_pid = next(pid for number, pid in sorted(programs.items()) if number)
-    pmt = np.flatnonzero(pids == pmt_pid)
-    if not len(pmt):
-        raise ValueError("no program map table")
-    section = _read_section(grid[pmt[0]].tobytes(), "program map table")
+    pmt_pid = next((pid for number, pid in sorted(programs.items()) if number), None)
+    if pmt_pid is None:
+        raise ValueError("the program association table names no program")
+    section = _read_section(grid, pids, pmt_pid, "program map table")
     at = 12 + ((section[10] & 0x0F) << 8 | section[11])
+    if at + 5 > len(section) - 4:
+        raise ValueError("the program has no stream")
     stream_pid = (section[at + 1] & 0x1F) << 8 | section[at + 2]
     own = grid[pids == stream_pid]
     if not len(own):
         raise ValueError("the program's stream is missing")
-    counters = own[:, 3] & 15
-    if ((np.diff(counters.astype(np.int16)) - 1) & 15).any():
-        raise ValueError("continuity counter jumps")
+    own, told = _checked(own, "stream")
     starts = np.flatnonzero(own[:, 1] & 0x40)
     if not len(starts) or starts[0]:
         raise ValueError("the stream does not open with an elementary packet")
@@ -139,12 +183,11 @@ def demux(stream: bytes) -> dict:
     samples, timestamps, access, n = [], [], [], 0
     for lo, hi in zip(starts, [*starts[1:], len(own)], strict=True):
         parts, k = [], int(lo)
+        if told[lo]:
+            access.append(n)
         while k < hi:
             if fielded[k]:
-                row = own[k].tobytes()
-                if k == lo and row[4] and row[5] & 0x40:
-                    access.append(n)
-                parts.append(row[5 + row[4] :])
+                parts.append(_payload(own[k].tobytes()))
                 k += 1
             else:
                 stop = k + 1
@@ -153,8 +196,8 @@ def demux(stream: bytes) -> dict:
                 parts.append(own[k:stop, 4:].tobytes())
                 k = stop
         pes = b"".join(parts)
-        size = pes[4] << 8 | pes[5]
-        if pes[:3] != b"\x00\x00\x01" or len(pes) != size + 6:
+        size = pes[4] << 8 | pes[5] if len(pes) > 8 else -1
+        if pes[:3] != b"\x00\x00\x01" or size and len(pes) != size + 6:  # a size of 0 means up to the next one
             raise ValueError("broken elementary packet")
         if pes[7] & 0x80:
             p = pes[9:14]
@@ -175,12 +218,16 @@ def features(read: dict, n_bytes: int, media_bytes: int) -> str:
     return f"type={STREAM_TYPE};rate={SAMPLE_RATE};units={read['units']};access={len(read['access'])};last_access={read['access'][-1]};first_pts={times[0]};last_pts={times[-1]};packets={media_bytes // PACKET};sum={int(values.sum(dtype=np.int64))};peak={int(values.max())}"
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, access_points array<long>"
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Each text as a transport stream (column media, on request) with what reading it back shows."""
     fields = SCHEMA + ", media binary" * with_media
+    kinds = [_KINDS[x.split()[1]] for x in fields.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -191,10 +238,10 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 media = mux(payload_of(text))
                 read = demux(media)
                 back = read["samples"]
-                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(read, len(text), len(media)))
+                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(read, len(text), len(media)), read["timestamps"], read["access"])
                 rows.append((*row, media) if with_media else row)
             names = [x.split()[0] for x in fields.split(", ")][1:]
-            columns = [pa.array(x) for x in zip(*rows, strict=True)]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), *columns], ["doc_id", *names])
 
     return id_and_text(docs).mapInArrow(run, fields)

@@ -3,6 +3,7 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import html_wrappers, transport_stream, warc
@@ -98,9 +99,38 @@ def test_damaged_streams():
     for what, data in broken.items():
         with pytest.raises(ValueError, match=what):
             transport_stream.demux(data)
+    with pytest.raises(ValueError, match="more than twice"):
+        transport_stream.demux(b"".join(packets[:5] + packets[4:5] * 2 + packets[5:]))
+    with pytest.raises(ValueError, match="damaged"):
+        transport_stream.demux(b"".join(packets[:4] + [packets[4][:1] + bytes([packets[4][1] | 0x80]) + packets[4][2:]] + packets[5:]))
     assert transport_stream.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_legal_streams_of_other_writers():
+    """Packets sent twice, packets without a payload, empty packets, and tables that span packets."""
+    data = random.Random(2).randbytes(20_032)
+    media = transport_stream.mux(data)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    want = transport_stream.demux(media)
+    bare = lambda p, flags=0: bytes([0x47, p[1] & 0x1F, p[2], 0x20 | (p[3] - 1) & 15, 183, flags]) + b"\xff" * 182
+    empty = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    mixed = []
+    for k, p in enumerate(packets):
+        mixed += [empty] * (k % 5 == 0) + [bare(p)] * (k > 2 and k % 3 == 0) + [p] + [p] * (k % 4 == 0)
+    assert transport_stream.demux(b"".join(mixed)) == want
+    # a random-access point told by the packet before
+    moved = [p if k < 3 or not p[1] & 0x40 else p[:5] + bytes([p[5] & ~0x40]) + p[6:] for k, p in enumerate(packets)]
+    assert transport_stream.demux(b"".join(moved))["access"] == want["access"][:1] != want["access"]
+    told = [x for k, p in enumerate(moved) for x in ([bare(p, 0x40)] if k >= 2 and packets[k][1] & 0x40 else []) + [p]]
+    assert transport_stream.demux(b"".join(told))["access"] == want["access"]
+    # the same program map table in two packets, after the end of another section
+    section = transport_stream._read_section(np.frombuffer(packets[1], np.uint8).reshape(1, 188), np.array([0x100]), 0x100, "x")
+    fill = 184 - 1 - 5 - 10
+    first = bytes([0x47, 0x41, 0x00, 0x30, fill, 0]) + b"\xff" * (fill - 1) + bytes([5]) + b"tail!" + section[:9]
+    second = (bytes([0x47, 0x01, 0x00, 0x11]) + section[9:]).ljust(188, b"\xff")
+    assert len(first) == 188 and transport_stream.demux(b"".join([packets[0], first, second, *packets[2:]])) == want
+
+
 def test_media_columns(spark):
     rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 20_000), (5, "héllo"), (None, "n"), (1, "héllo")]
     got = transport_stream.media_columns(clashing(documents(spark, rows)), with_media=True).collect()
@@ -110,6 +140,7 @@ def test_media_columns(spark):
         data = (texts[r.doc_id] or "").encode()
         assert r.n_bytes == len(data) and r.payload_sha256 == sha(transport_stream.payload_of(data))
         assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
+        assert r.timestamps == [k * transport_stream.UNIT * 90_000 // transport_stream.SAMPLE_RATE for k in range(len(r.access_points))] and r.access_points == list(range(0, r.payload_bytes, transport_stream.UNIT))
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (1, 5)}) == 1
     assert transport_stream.media_columns(documents(spark, [])).count() == 0
 
