@@ -4,19 +4,22 @@ A page is read as a stream of tags and text, nested by HTML's closing rules; inl
 folded into an expression: equal neighbours (and short tandem repeats) become repeated groups, text becomes slots. Expressions
 of one host are aligned one after another: what both have is merged, what one lacks becomes optional, text that differs
 becomes a data slot, text that all share stays constant. Every task first merges the pages it reads, so a host sends one expression a
-task, however many pages it has. The wrapper's slots, with counts over all pages of the host, decide what is main text:
-slots of an article region if the page has one, else those outside of menus, notices and the like that are neither constant over
-the host nor mostly links. Constant is what has one text on at least half of the host's distinct pages, three at least; copies of a page
-count once. Distinct pages are counted by the SKETCH least digests, so exactly up to that many, and by their share from there on. Words for
-menus and the like do not count on html, body, the page's article region or what contains it. A page's text is what its slots hold.
+task, however many pages it has. The wrapper's slots, with counts over all pages of the host, decide what is main text: a slot is
+boilerplate if it is mostly links, or one text on at least half of the host's distinct pages, three at least (copies of a page
+count once; distinct pages are counted by the SKETCH least digests, so exactly up to that many, and by their share from there on). Of a page's
+elements that hold blocks of text, the one where the host's pages have most own text, on average, is the region of the main text;
+what is around it joins if it adds headings only or much own text too. Tags of HTML count as part of the stream: an article's weighs more, a menu's
+nothing. Words of class, id and role are a help only: they raise or lower an element's weight and drop asides inside of the region; they
+decide alone where the wrapper shows no region. A page's text is what its slots hold.
 
 Defined cases: null html is empty and gives no text; a null or broken url belongs to the host without a name; a page whose tags never
-close is closed at its end, an unfinished tag there is dropped; repeated rows give repeated rows; other columns are ignored.
+close is closed at its end; a tag without an end drops the rest of the page; what is nested deeper than DEPTH keeps its text beside that depth; repeated rows give repeated rows; other columns are ignored.
 `<br>` is white space inside a block.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm._util import chunks, materialize, shuffle_partitions, small_batches, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S)
 _ROLE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 
@@ -39,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math textarea select object audio video canvas title noframes noembed head".split())
 #: Content of these is only text for the browser, whatever it looks like.
 _OPAQUE = frozenset("script style textarea title iframe noembed noframes".split())
+_END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _OPAQUE}
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -62,57 +65,107 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(words)])
 
 
+#: Nesting that the tree keeps; what is nested deeper stands beside it, with all of its text.
+DEPTH = 100
+#: Characters after which a quoted attribute value without its end counts as not quoted.
+QUOTED = 1 << 16
+_OPENER = re.compile(r"=\s*([\"'])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or null for comments and the like, whether it closes, attributes) of all markup, in time that grows with the page.
+
+    A tag ends at the first `>` outside of quoted values; one without an end drops the rest of the page."""
+    at, n = page.find("<"), len(page)
+    while 0 <= at < n:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = n if end < 0 else end + 1
+            yield at, end, None, False, ""
+        elif name := _NAME.match(page, at + 1):
+            scan = name.end()
+            end = page.find(">", scan)
+            while end >= 0 and (opener := _OPENER.search(page, scan, end)):
+                close = page.find(opener[1], opener.end(), opener.end() + QUOTED)
+                if close < 0:
+                    break
+                scan = close + 1
+                if close > end:
+                    end = page.find(">", scan)
+            if end < 0:
+                yield at, n, None, False, ""
+                return
+            yield at, end + 1, name[2].lower(), name[1] == "/", page[name.end() : end]
+            end += 1
+        elif at + 1 < n and page[at + 1] == "/":
+            end = page.find(">", at)
+            end = n if end < 0 else end + 1
+            yield at, end, None, False, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def parse(page: str) -> list:
     """The page as nested nodes [label, children]; text is ["#", text, characters inside links]."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
     parts: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split()) if "&" in (raw := "".join(parts)) else " ".join(raw.split())
+            raw = "".join(parts)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 stack[-1][1].append(["#", text, min(linked, len(text))])
             parts.clear()
         linked = 0
 
-    def close(names: tuple | str, barrier: tuple) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
-                return
+    def cut(k: int) -> None:
+        """Close what is open from place k of the stack on."""
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
 
-    for found in _TOKEN.finditer(page):
-        if found.start() < at:
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
+    def close(names: tuple[str, ...], barrier: tuple[str, ...]) -> None:
+        k = last(names)
+        if k > last(barrier):
+            flush()
+            cut(k)
+
+    skip = 0
+    for start, stop, tag, closes, attributes in tokens(page):
+        if start < skip:  # inside of what only looks like markup
             continue
-        if found.start() > at:
-            piece = page[at : found.start()]
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        at = found.end()
-        tag = found[2]
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if found[1] else 1
+                in_link = 0 if closes else 1
             continue
-        if found[1]:  # a closing tag
-            if any(name == tag for name, _ in stack[1:]):
+        if closes:
+            if places.get(tag):
                 flush()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                cut(places[tag][-1])
             elif tag in _P_ENDERS:
                 flush()
             continue
@@ -123,21 +176,22 @@ def parse(page: str) -> list:
             names, barrier = _ENDS[tag]
             close(tuple(names.split()), barrier)
         if tag in _OPAQUE:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = _END_OF[tag].search(page, at)
+            at = skip = end.end() if end else n
             continue
-        if tag == "body":  # whatever the head left open
-            for k, (name, _) in enumerate(stack):
-                if name == "head":
-                    del stack[k:]
-                    break
+        if tag == "body" and places.get("head"):  # whatever the head left open
+            cut(places["head"][-1])
         if tag in VOID:
             continue
         in_link = 0
-        node = [_label(tag, found[3]), []]
-        stack[-1][1].append(node)
-        if not found[3].endswith("/") or tag not in ("svg", "math"):
-            stack.append((tag, node[1]))
+        inside = stack[-1][1]
+        if len(stack) <= DEPTH:
+            node = [_label(tag, attributes), []]
+            inside.append(node)
+            inside = node[1]
+        if not attributes.endswith("/") or tag not in ("svg", "math"):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, inside))
     if at < n:
         parts.append(page[at:])
     flush()
@@ -168,7 +222,7 @@ def fold(nodes: list, page: int | None = None) -> list:
         if node[0] == "#":
             out.append(["#", 0, 0, None, [1, len(node[1]), node[2], node[1], *own]])
         else:
-            out.append([node[0], 0, 0, fold(node[1], page), None])
+            out.append([node[0], 0, 0, fold(node[1], page), 1])
     return _repeats(out)
 
 
@@ -183,7 +237,7 @@ def _repeats(items: list, longest: int = 3) -> list:
             stop = k + period
             merged = unit
             while len(unit) == period and (period == 1 or "()" not in labels) and [i[0] for i in items[stop : stop + period]] == labels:
-                merged = [_join(a, b) for a, b in zip(merged, items[stop : stop + period], strict=True)]
+                merged = [_join(a, b, False) for a, b in zip(merged, items[stop : stop + period], strict=True)]
                 stop += period
             if stop == k + period:
                 out.append(items[k])
@@ -198,37 +252,71 @@ def _repeats(items: list, longest: int = 3) -> list:
     return items
 
 
-def _join(a: list, b: list) -> list:
-    """Two items with one label."""
+def _join(a: list, b: list, other_pages: bool = True) -> list:
+    """Two items with one label; other_pages: whether they come from different pages, so that these add up."""
     if a[0] == "#":
         x, y = a[4], b[4]
         both = [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None]
         if both[3] is not None and len(x) > 4:  # where texts differ, pages do not matter
             both.append(_pages(x[4], y[4]))
         return ["#", a[1] | b[1], a[2] | b[2], None, both]
-    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3]), None]
-
-
-def align(a: list, b: list) -> list:
+    pages = None if a[0] == "()" else a[4] + b[4] if other_pages else max(a[4], b[4])
+    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3], other_pages), pages]
+
+
+#: Cells of the table by which two lists of items are aligned best; longer lists are aligned in one pass.
+CELLS = 40_000
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels in both, rising: a longest common subsequence, or for long lists one found in a single pass."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < n and lo < m and a[lo] == b[lo]:
+        lo += 1
+    tail = 0
+    while tail < n - lo and tail < m - lo and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    out = [(k, k) for k in range(lo)]
+    n, m = n - tail, m - tail
+    if (n - lo) * (m - lo) <= CELLS:
+        best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
+        for i in range(n - lo - 1, -1, -1):
+            for j in range(m - lo - 1, -1, -1):
+                best[i][j] = 1 + best[i + 1][j + 1] if a[lo + i] == b[lo + j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n - lo and j < m - lo:
+            if a[lo + i] == b[lo + j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        at: dict[str, list[int]] = {}
+        for i in range(lo, n):
+            at.setdefault(a[i], []).append(i)
+        low = lo
+        for j in range(lo, m):
+            own = at.get(b[j], ())
+            k = bisect.bisect_left(own, low)
+            if k < len(own) and own[k] - low <= 64:  # a match far ahead would leave all between without a partner
+                out.append((own[k], j))
+                low = own[k] + 1
+    return out + [(n + k, m + k) for k in range(tail)]
+
+
+def align(a: list, b: list, other_pages: bool = True) -> list:
     """The expression that covers both: common items merged in order, the others optional."""
-    if [i[0] for i in a] == [i[0] for i in b]:
-        return [_join(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    first, second = [i[0] for i in a], [i[0] for i in b]
+    if first == second:
+        return [_join(x, y, other_pages) for x, y in zip(a, b, strict=True)]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_join(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:2], 1, *a[i][3:]])
-            i += 1
-        else:
-            out.append([*b[j][:2], 1, *b[j][3:]])
-            j += 1
+    for p, q in [*_matches(first, second), (len(a), len(b))]:
+        out += [[*x[:2], 1, *x[3:]] for x in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(_join(a[p], b[q], other_pages))
+        i, j = p + 1, q + 1
     return _repeats(out)
 
 
@@ -240,6 +328,17 @@ def slots(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
             yield from slots(item[3], path if item[0] == "()" else (*path, item[0]))
 
 
+def elements(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, int]]:
+    """Paths of elements with the number of pages that have them there (several items of one path: each)."""
+    for item in wrapper:
+        if item[0] == "()":
+            yield from elements(item[3], path)
+        elif item[0] != "#":
+            own = (*path, item[0])
+            yield own, item[4]
+            yield from elements(item[3], own)
+
+
 @lru_cache(100_000)
 def _kind(label: str) -> tuple[bool, bool, bool, int]:
     """Of a label: whether its tag and whether its words are for menus and the like, whether it is main, and its rank as a region (0: none)."""
@@ -274,20 +373,40 @@ def roles(paths: set[tuple]) -> dict[tuple, int]:
     return out
 
 
-def verdicts(wrapper: list, pages: list | None = None) -> dict[tuple, int]:
-    """For each slot's path whether text outside of regions may be main (1) or not (0); pages: digests of the host's distinct pages."""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How much more the text of an article's tag counts, and how much less that of what words of class, id and role call an aside.
+TAGGED, CALLED_ASIDE, CALLED_MAIN = 4.0, 0.25, 1.5
+#: Other text under an element, as a share of the region's, from which on both belong together.
+TOGETHER = 0.25
+
+
+def verdicts(wrapper: list, pages: list | None = None) -> tuple[dict[tuple, int], dict[tuple, float]]:
+    """What a host's wrapper says: of each slot's path whether its text is a page's own (1) or boilerplate (0), and of each element with
+    text blocks right below it how much own text a page has there on average. pages: digests of the host's distinct pages.
+
+    Boilerplate is what is mostly links, and what is the same on many pages; text in tags for menus and the like counts for nothing, and words
+    of class, id and role only raise or lower what the slots show."""
     total: dict[tuple, list] = {}
     for path, (_, chars, linked, constant, *own) in slots(wrapper):
         x = total.setdefault(path, [0, 0, constant, []])
         x[0], x[1] = x[0] + chars, x[1] + linked
         x[2] = x[2] if x[2] == constant else None
         x[3] = _pages(x[3], own[0]) if own else x[3]
-    of = set(pages or ())
-    out = {}
+    of, seen = set(pages or ()), {}
+    for path, n in elements(wrapper):
+        seen[path] = max(seen.get(path, 1), n)
+    seen[()] = max(seen.values(), default=1)
+    own_text, density = {}, {}
     for path, (chars, linked, constant, own) in total.items():
         common = len(of.intersection(own))
-        out[path] = 0 if 2 * linked > chars or constant is not None and common > 2 and 2 * common >= len(of) else 1
-    return out
+        own_text[path] = 0 if 2 * linked > chars or constant is not None and common > 2 and 2 * common >= len(of) else 1
+        kinds = [_kind(label) for label in path]
+        if own_text[path] and not any(tag for tag, _, _, _ in kinds):
+            prior = 1.0
+            for _, words, _, rank in kinds:
+                prior *= TAGGED if rank == 3 else CALLED_MAIN if rank == 2 else CALLED_ASIDE if words and not rank else 1.0
+            density[path[:-1]] = density.get(path[:-1], 0.0) + prior * (chars - linked) / seen.get(path[:-1], 1)
+    return own_text, density
 
 
 def leaves(nodes: list, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
@@ -298,13 +417,47 @@ def leaves(nodes: list, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
             yield from leaves(node[1], (*path, node[0]))
 
 
-def extract(page: str, judged: dict[tuple, int]) -> str:
-    """The blocks of a page that it and its host's wrapper show to be main text."""
+def region_of(paths: set[tuple], judged: tuple[dict[tuple, int], dict[tuple, float]]) -> tuple | None:
+    """The path of the element that holds a page's main text: of those with blocks of text, the one where the host's pages have most own text;
+    then what is around it, as long as that adds headings only or another large share of own text."""
+    own_text, density = judged
+    whole = lambda path: not path or path[-1].split(".")[0] in ("html", "body")
+    best = max((x for x in {path[:-1] for path in paths} if density.get(x)), key=lambda x: (density[x], -len(x), x), default=None)
+    while best is not None and not whole(best) and _kind(best[-1])[3] != 3:
+        around = best[:-1]
+        if whole(around) and any(_kind(label)[3] == 3 for label in best):
+            break
+        inside = sum(v for x, v in density.items() if x[: len(best)] == best)
+        beside = [path for path in paths if path[: len(around)] == around and path[: len(best)] != best and own_text.get(path, 0) and not any(_kind(label)[0] or _kind(label)[1] for label in path[len(around) :])]
+        if not beside:
+            if whole(around):
+                break
+        elif not all(path and path[-1].split(".")[0] in HEADINGS for path in beside) and sum(v for x, v in density.items() if x[: len(around)] == around and x[: len(best)] != best) < TOGETHER * inside:
+            break
+        best = around
+    return best
+
+
+def extract(page: str, judged: tuple[dict[tuple, int], dict[tuple, float]]) -> str:
+    """The blocks of a page that it and its host's wrapper show to be main text.
+
+    These are the own texts below the region, without what tags or words there call an aside. Where slots show no region, tags and words decide."""
     found = list(leaves(parse(page)))
-    role = roles({path for path, _ in found})
-    levels = [judged.get(path, 0) if role[path] == 1 else role[path] for path, _ in found]
-    most = 2 if 2 in levels else 1
-    return "\n".join(text for (_, text), level in zip(found, levels, strict=True) if level >= most)
+    paths = {path for path, _ in found}
+    region = region_of(paths, judged)
+    if region is None:
+        role = roles(paths)
+        levels = [role[path] if role[path] != 1 else judged[0].get(path, 0) for path, _ in found]
+        most = 2 if 2 in levels else 1
+        return "\n".join(text for (_, text), level in zip(found, levels, strict=True) if level >= most)
+    depth, kept = len(region), {}
+    for path in paths:
+        kinds = [_kind(label) for label in path[depth:]]
+        outer = any(_kind(label)[0] for label in path[:depth])
+        # what is the same on all pages may still stand in an article's own tag
+        own = judged[0].get(path, 1) or any(_kind(label)[3] == 3 for label in region)
+        kept[path] = path[:depth] == region and not outer and bool(own) and not any(tag or words for tag, words, _, _ in kinds)
+    return "\n".join(text for path, text in found if kept[path])
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
@@ -316,6 +469,10 @@ def _host_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
 
 
+#: Places where the tasks' expressions of one host are merged, before these are.
+SALTS = 32
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): an expression for each host and the least digests of its distinct pages, as JSON."""
 
@@ -349,9 +506,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if found:
             yield rows(found)
 
-    shape = "host string, wrapper string"
+    shape, n = "host string, wrapper string", shuffle_partitions(pages.sparkSession)
     dealt = _host_rows(pages).mapInArrow(per_task, shape)
-    return dealt.repartition(shuffle_partitions(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper").mapInArrow(per_host, shape)
+    # tasks' expressions of a host meet in SALTS places first, so that no task merges those of all other tasks
+    some = dealt.repartition(n, "host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInArrow(per_host, shape)
+    return some.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(per_host, shape)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -366,7 +525,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if wrapper not in judged:
                     if len(judged) > 1000:
                         judged.clear()
-                    judged[wrapper] = verdicts(*json.loads(wrapper)) if wrapper else {}
+                    judged[wrapper] = verdicts(*json.loads(wrapper)) if wrapper else ({}, {})
                 out.append(extract(page, judged[wrapper]))
             yield pa.RecordBatch.from_arrays([chunk["page_id"].combine_chunks(), chunk["url"].combine_chunks(), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

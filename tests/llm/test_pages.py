@@ -1,10 +1,14 @@
 import hashlib
 import html
+import json
 import random
+import time
 import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quarry.llm import html_wrappers, transport_stream, warc
 from tests.llm.plain import clashing, documents, sha
@@ -79,6 +83,56 @@ def test_deep_and_long_pages():
     assert html_wrappers.extract(long, judged).count("\n") == 19_999
 
 
+def test_slots_decide_where_names_mean_nothing(spark):
+    """Pages of one host without any telling tag or word: own text, its amount and its place in the wrapper tell the article."""
+    r, rows, want = random.Random(12), [], {}
+    words = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet consetetur sadipscing elitr".split()) for _ in range(n))
+    for k in range(30):
+        blocks = [words(r.randint(4, 8)), *[words(r.randint(20, 60)) for _ in range(r.randint(1, 6))]]
+        links = "".join(f"<li><a href=/{i}>{words(2)}</a>" for i in range(6))
+        rows.append((k, f"http://plain.example/{k}", f"<div class=qa><ul>{links}</ul></div><div class=qb>Our house, since 1999</div><div class=qc>{words(6)}</div><div class=qd><h2>{blocks[0]}</h2>" + "".join(f"<p>{b}" for b in blocks[1:]) + f"<div class=qe>Tell it to your friends</div></div><div class=qf>{words(7)}</div>"))
+        want[k] = "\n".join(blocks)
+    got = {x.page_id: x.text for x in html_wrappers.main_text(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+    assert got == want
+    alone = html_wrappers.extract(rows[0][2], ({}, {}))
+    assert alone != want[0]  # without the wrapper there is nothing to go by
+
+
+def test_hostile_pages():
+    """Time and memory that grow with the page: deep nesting, quotes without an end, tags without an end, long unlike lists."""
+    text = lambda page: "\n".join(t for _, t in html_wrappers.leaves(html_wrappers.parse(page)))
+    start = time.perf_counter()
+    deep = "<div>" * 100_000 + "deep" + "</div>" * 50_000 + "half" + "</div>" * 50_000 + "out"
+    assert text(deep) == "deep\nhalf\nout"
+    assert html_wrappers.extract(deep, html_wrappers.verdicts(html_wrappers.fold(html_wrappers.parse(deep)))) == "deep\nhalf\nout"
+    json.loads(json.dumps(html_wrappers.fold(html_wrappers.parse(deep))))
+    assert text("<center>" * 50_000 + "<p>" * 3 + "x" + "<center>" * 50_000 + "y") == "x\ny"
+    assert text("a" + '<a "' * 100_000 + "z") == "a"
+    assert text("a" + '<a href="' * 50_001 + "z > b") == "a b"
+    assert text("b <i title='" + "x" * 200_000 + "> c") == "b c"
+    assert text("a < b <1 && c <") == "a < b <1 && c <"
+    assert text('<p title="a > b" data-x=\'<q>\' class=c>in</p>out<!-- <p>no --><br/>side') == "in\nout side"
+    r = random.Random(1)
+    long = [html_wrappers.fold(html_wrappers.parse("".join(f"<x{r.randint(0, 30)}>t" for _ in range(0)) + "".join(f"<{t}>t</{t}>" for t in (r.choice("abcdefgh") + r.choice("klmnop") + "x" for _ in range(3000))))) for _ in range(2)]
+    both = html_wrappers.align(*long)
+    assert sum(slot[1] for _, slot in html_wrappers.slots(both)) == 6000
+    assert time.perf_counter() - start < 30
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["div", "p", "h2", "ul", "x"]), max_size=12), st.lists(st.sampled_from(["div", "p", "h2", "ul", "x"]), max_size=12), st.sampled_from([0, 40_000]))
+def test_alignment_loses_nothing(one, two, cells):
+    """All text of both pages is in the expression that covers them, and matches rise, by either way of aligning."""
+    known, html_wrappers.CELLS = html_wrappers.CELLS, cells
+    try:
+        pairs = html_wrappers._matches(one, two)
+        assert all(one[i] == two[j] for i, j in pairs) and all(a < b and c < d for (a, c), (b, d) in zip(pairs, pairs[1:]))
+        a, b = (html_wrappers.fold(html_wrappers.parse("".join(f"<{t}>{t}{k}</{t}>" for k, t in enumerate(x)))) for x in (one, two))
+        assert sum(s[0] for _, s in html_wrappers.slots(html_wrappers.align(a, b))) == len(one) + len(two)
+    finally:
+        html_wrappers.CELLS = known
+
+
 # --- media --------------------------------------------------------------------------------------------------------------------
 
 
