@@ -88,3 +88,14 @@ def asset_references(page: Column) -> Column:
 def json_keys(document: Column) -> Column:
     """Top-level keys of a JSON object, sorted; null for anything else."""
     return F.array_sort(F.json_object_keys(document))
+
+
+def utc_stamp(moment: Column) -> Column:
+    """ISO 8601 in UTC, to the second, whatever zone the session has."""
+    seconds = F.to_utc_timestamp(moment.cast("timestamp"), F.current_timezone())
+    return F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def read_stamp(text: Column) -> Column:
+    """The moment that an ISO 8601 text names; null for what is none."""
+    return F.try_to_timestamp(text)

@@ -72,11 +72,11 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def mode(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The most frequent value of each group; the least of equally frequent ones."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("votes"))
-    best = counts.groupBy(group).agg(F.max("votes").alias("votes"))
-    return counts.join(best, [group, "votes"]).groupBy(group, "votes").agg(F.min(value).alias("mode"))
+def mode(df: DataFrame, group: str, value: str, order: Column | None = None) -> DataFrame:
+    """The most frequent value of each group; of equally frequent ones the first seen in `order`, or without an order the least."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("votes"), *([F.min(order).alias("seen")] if order is not None else []))
+    best = F.min(F.struct(-F.col("votes"), *(["seen"] if order is not None else []), F.col(value).alias("value")))
+    return counts.groupBy(group).agg(best.alias("b"), F.max("votes").alias("votes")).select(group, "votes", F.col("b.value").alias("mode"))
 
 
 # --- histograms: (value, n) tables --------------------------------------------------------------------------------------------

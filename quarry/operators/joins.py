@@ -87,6 +87,35 @@ def shared_node_pairs(edges: DataFrame, edge: str, u: str, v: str) -> DataFrame:
     return ends.join(other, "node").filter(F.col("edge") < F.col("other")).select(F.col("edge").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def shared_node_components(edges: DataFrame, edge: str, u: str, v: str) -> DataFrame:
+    """(edge, component) of edges that shared ends connect, component being the smallest edge; by links of edges with nodes, so a node with very many
+    edges costs one link for each and no pairs. Edges and nodes are whole numbers."""
+    from quarry.operators.graph import connected_components
+
+    ends = edges.select((2 * F.col(edge)).alias("e"), F.explode(F.array(F.col(u), F.col(v))).alias("n"))
+    found = connected_components(ends.select("e", (2 * F.col("n") + 1).alias("n")), "e", "n")
+    own = found.filter(F.col("id") % 2 == 0).select((F.col("id") / 2).cast("long").alias(edge), F.col("component").alias("c"))
+    least = own.groupBy("c").agg(F.min(edge).alias("component"))
+    return own.join(least, "c").select(edge, "component")
+
+
+def shared_node_pair_count(edges: DataFrame, edge: str, u: str, v: str) -> DataFrame:
+    """One row: how many pairs of edges share an end, without listing them: over nodes, less those counted at both ends."""
+    ends = edges.select(F.col(edge), F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+    two = lambda n: n * (n - 1) / 2
+    at = ends.select(F.explode(F.array_distinct(F.array("u", "v"))).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(two(F.col("k"))), F.lit(0)).alias("once"))
+    both = ends.filter("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(two(F.col("k"))), F.lit(0)).alias("twice"))
+    return at.crossJoin(both).select((F.col("once") - F.col("twice")).cast("long").alias("pairs"))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Columns of both tables side by side, by an explicit key that each has once; a key of one table alone is an error."""
+    left, right = a.withColumn("__l", F.lit(True)), b.withColumn("__r", F.lit(True))
+    both = left.join(right, key, "full")
+    alone = F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean")
+    return both.filter(F.when(F.col("__l").isNull() | F.col("__r").isNull(), alone).otherwise(True)).drop("__l", "__r")
+
+
 def distance(a: str, b: str, axes: Sequence[str]) -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{a}{c}") - F.col(f"{b}{c}"), 2) for c in axes), F.lit(0.0)))
 

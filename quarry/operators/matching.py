@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,24 +42,46 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def match_controls(df: DataFrame, stratum: str, key: str, positive: str, x: list[str], per_positive: int = 2) -> DataFrame:
-    """(stratum, positive, control, slot, cost): each positive's controls within its stratum, at the least total squared distance.
+#: The cost of a pair that must not be.
+BANNED = 1e9
+#: Weight of a difference in quality against a squared distance, and of the two ties: by place, and by a digest of the pair.
+QUALITY, BY_PLACE, BY_PAIR = 0.1, 1e-9, 1e-12
+
+
+def pair_fraction(positive: int, control: int) -> float:
+    """A number in [0, 1) that depends on the pair alone."""
+    return int.from_bytes(hashlib.sha256(f"{positive}:{control}".encode()).digest()[:8], "big") / float(1 << 64)
+
+
+def match_controls(df: DataFrame, stratum: str, key: str, positive: str, x: list[str], per_positive: int = 2, quality: str | None = None, nodes: str | None = None) -> DataFrame:
+    """(stratum, positive, control, slot, cost): each positive's controls within its stratum, at the least total cost.
 
-    A stratum is one task: its cost matrix is positives x controls, so strata should be fine. Where controls run short, positives go
-    without in order of key; ties fall to the smaller key by a tiny addition to the cost."""
+    Cost: squared distance, QUALITY times the difference in quality (if named), and two ties too small to matter otherwise. nodes: an array
+    column; a control that shares a node with a positive is never its control. Slots number a positive's controls by key. A stratum is one
+    task: its cost matrix is positives x controls, so strata should be fine. Where controls run short, positives go without in order of key."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
         yes, no = rows[rows[positive]], rows[~rows[positive].astype(bool)]
-        slots = [(k, s) for s in range(per_positive) for k in range(len(yes))][: len(no)]
-        if not slots:
-            return pd.DataFrame({"stratum": [], "positive": [], "control": [], "slot": [], "cost": []})
-        a, b = yes[x].to_numpy(float), no[x].to_numpy(float)
-        cost = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
-        tie = 1e-9 * np.arange(len(no)) / max(1, len(no))
-        chosen = assignment(cost[[k for k, _ in slots]] + tie)
-        made = [(rows[stratum].iloc[0], yes[key].iloc[k], no[key].iloc[c], s, cost[k, c]) for (k, s), c in zip(slots, chosen, strict=True)]
+        places = [(k, s) for s in range(per_positive) for k in range(len(yes))][: len(no)]
+        made = []
+        if places:
+            cost = ((yes[x].to_numpy(float)[:, None, :] - no[x].to_numpy(float)[None, :, :]) ** 2).sum(2)
+            if quality:
+                cost = cost + QUALITY * np.abs(yes[quality].to_numpy(float)[:, None] - no[quality].to_numpy(float)[None, :])
+            tie = BY_PLACE * (np.arange(len(no)) + 1) / (len(no) + 1) + BY_PAIR * np.array([[pair_fraction(p, c) for c in no[key]] for p in yes[key]])
+            banned = np.zeros(cost.shape, bool)
+            if nodes:
+                held = [set(n) for n in no[nodes]]
+                banned = np.array([[not h.isdisjoint(own) for h in held] for own in yes[nodes]])
+            chosen = assignment(np.where(banned, BANNED, cost + tie)[[k for k, _ in places]])
+            found = sorted((int(yes[key].iloc[k]), int(no[key].iloc[c]), float(cost[k, c])) for (k, _), c in zip(places, chosen, strict=True) if not banned[k, c])
+            slot: dict[int, int] = {}
+            for p, c, value in found:
+                made.append((rows[stratum].iloc[0], p, c, slot.setdefault(p, 0), value))
+                slot[p] += 1
         return pd.DataFrame(made, columns=["stratum", "positive", "control", "slot", "cost"])
 
     kind = df.schema[stratum].dataType.simpleString()
-    return df.select(stratum, key, positive, *x).groupBy(stratum).applyInPandas(solve, f"stratum {kind}, positive long, control long, slot int, cost double")
+    columns = [stratum, key, positive, *x, *[c for c in (quality, nodes) if c]]
+    return df.select(*columns).groupBy(stratum).applyInPandas(solve, f"stratum {kind}, positive long, control long, slot int, cost double")

@@ -116,6 +116,28 @@ def null_draws(df: DataFrame, key: str, n_drawn: int, replicates: int, strata: S
     return each.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n_drawn).select("replicate", key, *strata)
 
 
+def uniform_points(spark, n: int, bounds: Sequence[tuple[float, float]], replicates: int, seed: int = 9) -> DataFrame:
+    """(replicate, id, c0, c1, ...): n points for each replicate, spread over a box by digests of seed, replicate, number and axis."""
+    rows = spark.range(n * replicates).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("id"))
+    text = lambda axis: F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("id").cast("string"), F.lit(str(axis)))
+    share = lambda axis: F.conv(F.substring(F.md5(text(axis).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return rows.select("replicate", "id", *[(lo + (hi - lo) * share(k)).alias(f"c{k}") for k, (lo, hi) in enumerate(bounds)])
+
+
+def uniform_null(spark, n: int, bounds: Sequence[tuple[float, float]], radius: float, replicates: int, seed: int = 9) -> DataFrame:
+    """(replicate, pairs, clustered_share) of points spread evenly over a box: pairs within the radius, and the share of points in any."""
+    from quarry.operators.joins import radius_pairs
+
+    points = uniform_points(spark, n, bounds, replicates, seed)
+    # replicates lie apart on an axis of their own, so one search serves all of them
+    apart = points.withColumn("apart", F.col("replicate") * (4.0 * radius)).withColumn("point", F.col("replicate") * n + F.col("id"))
+    found = radius_pairs(apart, "point", [*[f"c{k}" for k in range(len(bounds))], "apart"], radius)
+    counts = found.groupBy(F.floor(F.col("a") / n).alias("replicate")).agg(F.count(F.lit(1)).alias("pairs"))
+    touched = found.select(F.explode(F.array("a", "b")).alias("p")).distinct().groupBy(F.floor(F.col("p") / n).alias("replicate")).agg(F.count(F.lit(1)).alias("touched"))
+    every = spark.range(replicates).withColumnRenamed("id", "replicate").join(counts, "replicate", "left").join(touched, "replicate", "left")
+    return every.select("replicate", F.coalesce("pairs", F.lit(0)).alias("pairs"), (F.coalesce("touched", F.lit(0)) / F.lit(n)).alias("clustered_share"))
+
+
 def null_summary(draws: DataFrame, metric: str, observed: float, lower_is_clustered: bool = False) -> DataFrame:
     """null mean, deviation, 95 % interval, effect (null where nothing varies) and p = (1 + hits) / (n + 1); draws that are not finite are dropped."""
     v = F.col(metric).cast("double")

@@ -108,7 +108,9 @@ def measure(volume: np.ndarray, start: Sequence[float], stop: Sequence[float], t
 
 
 def measure_struts(chunks: DataFrame, struts: DataFrame, threshold: float) -> DataFrame:
-    """strut_id with its measurements. struts: strut_id, vol, and both ends as z, y, x; each is measured in a chunk that holds both ends."""
+    """strut_id with its measurements. struts: strut_id, vol, and both ends as z, y, x; each is measured in a chunk that holds both ends.
+
+    A strut that no chunk holds at both ends comes back without measurements and with coarse_state `not covered`."""
     ends = [f"{e}_{c}" for e in ("start", "stop") for c in "zyx"]
     holds = F.lit(True)
     for c in "zyx":
@@ -131,7 +133,10 @@ def measure_struts(chunks: DataFrame, struts: DataFrame, threshold: float) -> Da
         return pd.DataFrame(rows, columns=[x.split()[0] for x in shape.split(", ")])
 
     keys = ["vol", "z0", "y0", "x0"]
-    return named.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(run, shape)
+    found = named.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(run, shape)
+    lost = struts.join(best.select("strut_id"), "strut_id", "left_anti").select("strut_id")
+    empty = [F.lit("not covered" if name == "coarse_state" else None).cast(kind).alias(name) for name, kind in (x.split() for x in shape.split(", ")[1:])]
+    return found.unionByName(lost.select("strut_id", *empty))
 
 
 def label_26(mask: np.ndarray) -> tuple[np.ndarray, int]:
@@ -192,7 +197,8 @@ def skeleton_degrees(points: DataFrame) -> DataFrame:
 
 
 def closest_on_triangles(p: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n triangles (n, 3, 3) its point closest to p, and the distance: inside the plane, else on the nearest edge."""
+    """For each of n triangles (n, 3, 3) its point closest to p (one point, or one for each triangle), and the distance: inside the plane, else on
+    the nearest edge."""
     a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
     normal = np.cross(b - a, c - a)
     size = (normal * normal).sum(1)
@@ -225,7 +231,7 @@ def nearest_triangles(points: DataFrame, triangles: DataFrame, radius: float) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f"{v}{c}" for v in "abc" for c in "xyz"]
         for rows in batches:
-            d = [closest_on_triangles(p, t[None])[1][0] for p, t in zip(rows[["x", "y", "z"]].to_numpy(float), rows[names].to_numpy(float).reshape(-1, 3, 3), strict=True)]
+            d = closest_on_triangles(rows[["x", "y", "z"]].to_numpy(float), rows[names].to_numpy(float).reshape(-1, 3, 3))[1]
             yield pd.DataFrame({"point": rows["point"], "triangle": rows["triangle"], "distance": d})
 
     pairs = at.join(boxes, ["cell_x", "cell_y", "cell_z"]).select("point", "x", "y", "z", "triangle", *[f"{v}{c}" for v in "abc" for c in "xyz"])

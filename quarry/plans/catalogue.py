@@ -311,19 +311,9 @@ def semi_join(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").join(rich, "c_custkey", "left_semi")
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY p, s) AS edge, p, s FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09))
-SELECT DISTINCT a.p AS p1, a.s AS s1, b.p AS p2, b.s AS s2 FROM e a JOIN e b ON a.edge < b.edge AND (a.p = b.p OR a.s = b.s)""")
-def shared_node_pairs(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    e = e.select((F.col("p") * (1 << 20) + F.col("s")).alias("edge"), F.concat(F.lit("p"), "p").alias("u"), F.concat(F.lit("s"), "s").alias("v"))
-    pairs = joins.shared_node_pairs(e, "edge", "u", "v")
-    part = lambda c: (F.floor(F.col(c) / (1 << 20)), F.col(c) % (1 << 20))
-    return pairs.select(part("a")[0].alias("p1"), part("a")[1].alias("s1"), part("b")[0].alias("p2"), part("b")[1].alias("s2"))
-
-
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT a.o AS o1, a.p AS p1, b.o AS o2, b.p AS p2 FROM e a JOIN e b ON a.o = b.o AND a.p < b.p
 UNION ALL SELECT a.o, a.p, b.o, b.p FROM e a JOIN e b ON a.p = b.p AND a.o < b.o""")
-def shared_node_pairs_whole(spark, sf_dir):
+def shared_node_pairs(spark, sf_dir):
     """Orders and parts of all lines: an order has few lines and a part few orders, however large the table is."""
     e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     e = e.select(F.struct("o", "p").alias("edge"), F.concat(F.lit("o"), "o").alias("u"), F.concat(F.lit("p"), "p").alias("v"))
@@ -354,16 +344,10 @@ def weld(spark, sf_dir):
     return rounded(spatial.weld(_points(spark, sf_dir), "id", ["x", "y"], 4.0), "x", "y")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey + 100000000 AS s FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09), n AS (SELECT p AS u, s AS v FROM e UNION SELECT s, p FROM e),
-c(id, l) AS (SELECT u, u FROM n UNION SELECT n.v, c.l FROM c JOIN n ON n.u = c.id) SELECT id, min(l) AS component FROM c GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey + 100000000 AS s FROM lineitem), n AS (SELECT p AS u, s AS v FROM e UNION ALL SELECT s, p FROM e),
+c(id, l) USING KEY (id) AS (SELECT DISTINCT u, u FROM n UNION SELECT n.v, min(c.l) FROM c JOIN n ON n.u = c.id JOIN recurring.c AS r ON r.id = n.v WHERE c.l < r.l GROUP BY n.v) SELECT id, l AS component FROM c""")
 def connected_components(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst"))
-    return graph.connected_components(e)
-
-
-@query()
-def connected_components_whole(spark, sf_dir):
-    """Parts and suppliers of all lines; no SQL, as a recursion would list every pair of a component: tests hold it against a plain search."""
+    """Parts and suppliers of all lines."""
     e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst"))
     return graph.connected_components(e)
 
@@ -374,7 +358,7 @@ def degree_distribution(spark, sf_dir):
     return graph.degree_distribution(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000000).alias("dst")))
 
 
-_KNN = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 50), d AS (SELECT q.vec_id AS source, p.vec_id AS neighbour, round(list_distance(q.e, p.embedding::DOUBLE[]), 6) AS distance
+_KNN = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE SOURCES), d AS (SELECT q.vec_id AS source, p.vec_id AS neighbour, round(list_distance(q.e, p.embedding::DOUBLE[]), 6) AS distance
  FROM q JOIN embeddings p ON p.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, neighbour) AS rank FROM d QUALIFY rank <= 5)"""
 
 
@@ -382,18 +366,13 @@ _KNN = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHE
 _HUNDREDS, _LABELLED = "vec_id % 100 = 0", "label IS NOT NULL"
 
 
-def _neighbours(spark, sf_dir, sources="vec_id < 50"):
+def _neighbours(spark, sf_dir, sources):
     e = read(spark, sf_dir, "embeddings")
     return joins.nearest(e.filter(sources), e, "vec_id", "embedding", 5)
 
 
-@query(_KNN + " SELECT source, neighbour, distance, rank FROM k")
+@query(_KNN.replace("SOURCES", _HUNDREDS) + " SELECT source, neighbour, distance, rank FROM k")
 def knn_topk(spark, sf_dir):
-    return _neighbours(spark, sf_dir)
-
-
-@query(_KNN.replace("vec_id < 50", _HUNDREDS) + " SELECT source, neighbour, distance, rank FROM k")
-def knn_topk_whole(spark, sf_dir):
     return _neighbours(spark, sf_dir, _HUNDREDS)
 
 
@@ -402,14 +381,8 @@ n AS (SELECT source_class, count(DISTINCT source) AS sources FROM l GROUP BY 1)
 SELECT source_class, target_class, sources, round(count(*) / (sources * 5), 6) AS mean_share, round(count(DISTINCT source) / sources, 6) AS any_share FROM l JOIN n USING (source_class) GROUP BY source_class, target_class, sources"""
 
 
-@query(_KNN + _COMPOSITION)
+@query(_KNN.replace("SOURCES", _LABELLED) + _COMPOSITION)
 def knn_composition(spark, sf_dir):
-    classes = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return rounded(spatial.composition(_neighbours(spark, sf_dir), classes, "vec_id", "label", 5), "mean_share", "any_share")
-
-
-@query(_KNN.replace("vec_id < 50", _LABELLED) + _COMPOSITION)
-def knn_composition_whole(spark, sf_dir):
     classes = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     return rounded(spatial.composition(_neighbours(spark, sf_dir, _LABELLED), classes, "vec_id", "label", 5), "mean_share", "any_share")
 
@@ -423,13 +396,8 @@ def rank_audit(spark, sf_dir):
     return sequences.rank_problems(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT range AS o_orderkey FROM range(0, 5000) WHERE range NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
-def id_gap(spark, sf_dir):
-    return sequences.id_gaps(read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'"), "o_orderkey", 0, 5000)
-
-
 @query("SELECT o_orderkey FROM (SELECT unnest(range(min(o_orderkey), max(o_orderkey) + 1)) AS o_orderkey FROM orders) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
-def id_gap_whole(spark, sf_dir):
+def id_gap(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     return sequences.id_gaps_of(orders.filter("o_orderstatus <> 'P'"), orders, "o_orderkey")
 
@@ -529,7 +497,7 @@ def powered_gate(spark, sf_dir):
     return rounded(statistics.powered_gate(g, "pos", "hits"), "sensitivity", places=9)
 
 
-_NULL = """WITH r AS (SELECT range AS replicate FROM range(200)), d AS (SELECT replicate, n_nationkey % 5 AS k, c_acctbal, row_number() OVER (PARTITION BY replicate ORDER BY md5('9:' || replicate || ':' || c_custkey), c_custkey) AS rk FROM customer JOIN nation ON c_nationkey = n_nationkey, r WHERE c_custkey < 300 QUALIFY rk <= 40),
+_NULL = """WITH r AS (SELECT range AS replicate FROM range(200)), d AS (SELECT replicate, n_nationkey % 5 AS k, c_acctbal, row_number() OVER (PARTITION BY replicate ORDER BY md5('9:' || replicate || ':' || c_custkey), c_custkey) AS rk FROM customer JOIN nation ON c_nationkey = n_nationkey, r QUALIFY rk <= 40),
 m AS (SELECT replicate, avg(c_acctbal) AS m FROM d GROUP BY 1)
 SELECT count(*) AS n, round(avg(m), 4) AS null_mean, round(stddev_pop(m), 4) AS null_std, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round((5000 - avg(m)) / stddev_pop(m), 4) AS effect, round((1 + count(*) FILTER (WHERE m >= 5000)) / (count(*) + 1), 6) AS p FROM m"""
 
@@ -541,11 +509,6 @@ def _null(rows):
 
 @query(_NULL)
 def permutation_null(spark, sf_dir):
-    return _null(read(spark, sf_dir, "customer").filter("c_custkey < 300").select("c_custkey", "c_acctbal"))
-
-
-@query(_NULL.replace(" WHERE c_custkey < 300", ""))
-def permutation_null_whole(spark, sf_dir):
     return _null(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
 
 
@@ -571,7 +534,7 @@ def tertiles_regions(spark, sf_dir):
     return at.select("p_partkey", geometry.third(F.col("p_size"), lo[0], hi[0]).alias("size_third"), geometry.third(F.col("p_retailprice"), lo[1], hi[1]).alias("price_third"), geometry.boundary_region([F.col("p_size"), F.col("p_retailprice")], lo, hi, 5.0).alias("region"))
 
 
-_ORIENTATION = """WITH d AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25)::DOUBLE AS x, (l_discount * 100 - 5)::DOUBLE AS y, (l_tax * 100 - 4)::DOUBLE AS z FROM lineitem WHERE l_orderkey < 500), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM d),
+_ORIENTATION = """WITH d AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25)::DOUBLE AS x, (l_discount * 100 - 5)::DOUBLE AS y, (l_tax * 100 - 4)::DOUBLE AS z FROM lineitem), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM d),
 s AS (SELECT *, coalesce(CASE WHEN abs(x / n) > 1e-6 THEN sign(x) END, CASE WHEN abs(y / n) > 1e-6 THEN sign(y) END, CASE WHEN abs(z / n) > 1e-6 THEN sign(z) END, 1) AS g FROM u)
 SELECT l_orderkey, l_linenumber, CASE WHEN n > 0 THEN concat_ws(':', round_even(2 * x / n * g, 0)::INT, round_even(2 * y / n * g, 0)::INT, round_even(2 * z / n * g, 0)::INT) END AS orientation FROM s"""
 
@@ -583,15 +546,10 @@ def _orientations(rows):
 
 @query(_ORIENTATION)
 def orientation_bins(spark, sf_dir):
-    return _orientations(read(spark, sf_dir, "lineitem").filter("l_orderkey < 500"))
-
-
-@query(_ORIENTATION.replace(" WHERE l_orderkey < 500", ""))
-def orientation_bins_whole(spark, sf_dir):
     return _orientations(read(spark, sf_dir, "lineitem"))
 
 
-_RASTER = """WITH l AS (SELECT p_partkey AS id, p_partkey % 23 AS x0, p_partkey % 17 AS y0, p_size % 29 AS x1, p_size % 13 AS y1 FROM part WHERE p_partkey < 400), t AS (SELECT *, unnest(range(0, 21)) AS t FROM l),
+_RASTER = """WITH l AS (SELECT p_partkey AS id, p_partkey % 23 AS x0, p_partkey % 17 AS y0, p_size % 29 AS x1, p_size % 13 AS y1 FROM part), t AS (SELECT *, unnest(range(0, 21)) AS t FROM l),
 v AS (SELECT DISTINCT id, round_even(x0 + (x1 - x0) * t / 20, 0)::BIGINT AS x, round_even(y0 + (y1 - y0) * t / 20, 0)::BIGINT AS y FROM t) SELECT x, y, CASE WHEN min(id) = max(id) THEN min(id) ELSE -1 END AS owner FROM v GROUP BY 1, 2"""
 
 
@@ -603,11 +561,6 @@ def _raster(parts):
 
 @query(_RASTER)
 def raster_ownership(spark, sf_dir):
-    return _raster(read(spark, sf_dir, "part").filter("p_partkey < 400"))
-
-
-@query(_RASTER.replace(" WHERE p_partkey < 400", ""))
-def raster_ownership_whole(spark, sf_dir):
     return _raster(read(spark, sf_dir, "part"))
 
 

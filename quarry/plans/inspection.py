@@ -110,10 +110,8 @@ def classified_edges(labels: DataFrame, struts: DataFrame, human: DataFrame | No
 def clusters(edges: DataFrame, radii: Sequence[float], group: str = "main") -> dict[str, DataFrame]:
     """Of one group's edges: components that share junctions, and density clusters at each radius, with one row of metrics for each."""
     own = edges.filter(F.col("group") == group).select(F.col("source_strut_id").alias("id"), "junction0", "junction1", F.col("mid_x").alias("x"), F.col("mid_y").alias("y"), F.col("mid_z").alias("z"))
-    pairs = joins.shared_node_pairs(own, "id", "junction0", "junction1")
-    found = graph.connected_components(pairs, "a", "b")
-    shared = own.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    out = {"shared": shared, "shared_metrics": graph.component_sizes(shared).crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs")))}
+    shared = joins.shared_node_components(own, "id", "junction0", "junction1")
+    out = {"shared": shared, "shared_metrics": graph.component_sizes(shared).crossJoin(joins.shared_node_pair_count(own, "id", "junction0", "junction1"))}
     for r in radii:
         out[f"radius_{r:g}"] = spatial.dbscan(own, "id", AXES, r)
         out[f"radius_{r:g}_metrics"] = spatial.cluster_metrics(own, "id", AXES, r)

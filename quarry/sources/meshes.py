@@ -53,6 +53,26 @@ def parse_ply_points(data: bytes) -> pd.DataFrame:
     return pd.DataFrame(np.frombuffer(data, np.dtype(fields), n, end))
 
 
+def write_ply(vertices: np.ndarray, faces: np.ndarray | None = None) -> bytes:
+    """A binary little-endian PLY of points (n, 3) and, if given, triangles as places of points (m, 3)."""
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(vertices)}\nproperty float x\nproperty float y\nproperty float z\n"
+    body = np.ascontiguousarray(vertices, "<f4").tobytes()
+    if faces is not None:
+        head += f"element face {len(faces)}\nproperty list uchar int vertex_indices\n"
+        rows = np.zeros(len(faces), np.dtype([("n", "u1"), ("at", "<i4", 3)]))
+        rows["n"], rows["at"] = 3, faces
+        body += rows.tobytes()
+    return (head + "end_header\n").encode("ascii") + body
+
+
+def ply_header(data: bytes) -> dict[str, int]:
+    """How many of each element a PLY holds, in the order of the file."""
+    end = data.index(b"end_header")
+    if not data.startswith(b"ply"):
+        raise ValueError("not a PLY file")
+    return {w[1]: int(w[2]) for w in (x.split() for x in data[:end].decode("ascii").split("\n")) if w[:1] == ["element"]}
+
+
 def read_triangles(spark: SparkSession, path: str, batch: int = 50_000) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f"{v}{x}" for v in "abc" for x in "xyz"]

@@ -75,6 +75,24 @@ def write_once(path: str, data: bytes) -> bool:
     return True
 
 
+def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
+    """CSV with a header: of exactly `fields`, in their order, or as the columns come. A missing or further column, and text that CSV
+    could not give back (null beside empty text), are errors; an existing table is not replaced."""
+    names = list(fields) if fields is not None else df.columns
+    if set(names) != set(df.columns) or len(set(names)) != len(names):
+        raise ValueError(f"columns are {df.columns}, not {names}")
+    df.select(*names).write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "\u0000").mode("error").csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, keys sorted, nulls written out; numbers that are not finite are an error."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    wrong = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    for c in numbers:
+        df = df.withColumn(c, F.when(wrong(F.col(c)), F.raise_error(F.lit(f"{c}: not a finite number")).cast("double")).otherwise(F.col(c)))
+    df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).mode("error").json(path)
+
+
 def append_rows(df: DataFrame, path: str, key: str) -> None:
     """Appends rows to a Parquet table; a key that is there already, or twice among the new rows, is an error."""
     if not df.groupBy(key).count().filter("count > 1").isEmpty():

@@ -7,7 +7,7 @@ from __future__ import annotations
 import io
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,60 @@ def parse_npy(data: bytes) -> np.ndarray:
     return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
 
 
+def write_npy(volume: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array(out, np.ascontiguousarray(volume), allow_pickle=False)
+    return out.getvalue()
+
+
+def parse_npz(data: bytes, names: Sequence[str] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of a bundle; names: exactly these must be there. Objects are refused."""
+    with np.load(io.BytesIO(data), allow_pickle=False) as bundle:
+        if names is not None and sorted(names) != sorted(bundle.files):
+            raise ValueError(f"arrays are {sorted(bundle.files)}, not {sorted(names)}")
+        return {name: bundle[name] for name in sorted(bundle.files)}
+
+
+def read_bundles(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
+    """(path, name, shape, dtype, data) of every array of NPZ files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for where, content in zip(rows["path"], rows["content"], strict=True):
+                made = [(where, name, list(a.shape), a.dtype.newbyteorder("<").str, a.astype(a.dtype.newbyteorder("<")).tobytes()) for name, a in parse_npz(content, names).items()]
+                yield pd.DataFrame(made, columns=["path", "name", "shape", "dtype", "data"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, shape array<long>, dtype string, data binary")
+
+
+def cropped(cells: DataFrame, low: Sequence[int], high: Sequence[int]) -> DataFrame:
+    """Voxels (z, y, x, ...) of the half-open box, with coordinates from its corner."""
+    inside = F.lit(True)
+    for c, lo, hi in zip("zyx", low, high, strict=True):
+        inside = inside & (F.col(c) >= lo) & (F.col(c) < hi)
+    out = cells.filter(inside)
+    for c, lo in zip("zyx", low, strict=True):
+        out = out.withColumn(c, F.col(c) - lo)
+    return out
+
+
+def plane(cells: DataFrame, axis: str, at: int) -> DataFrame:
+    """The voxels of one slice, without its axis."""
+    return cells.filter(F.col(axis) == at).drop(axis)
+
+
+def merged_channels(cells: DataFrame, channel: str, names: Sequence[str], value: str = "v") -> DataFrame:
+    """One row for each voxel with a column for each channel 0, 1, ...; null where a channel has no value. The other way round: `split_channels`."""
+    return cells.groupBy(*[c for c in cells.columns if c not in (channel, value)]).agg(*[F.max(F.when(F.col(channel) == k, F.col(value))).alias(n) for k, n in enumerate(names)])
+
+
+def split_channels(cells: DataFrame, names: Sequence[str], channel: str = "c", value: str = "v") -> DataFrame:
+    """A row for each voxel and channel that has a value."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).alias("v")) for k, n in enumerate(names)])).alias("__x")
+    rest = [c for c in cells.columns if c not in names]
+    return cells.select(*rest, each).filter("__x.v is not null").select(*rest, F.col("__x.c").alias(channel), F.col("__x.v").alias(value))
+
+
 def npy_header(data: bytes) -> tuple[tuple[int, ...], str]:
     f = io.BytesIO(data)
     version = np.lib.format.read_magic(f)

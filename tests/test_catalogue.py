@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from quarry.plans import catalogue
+from quarry.plans import catalogue, lattice_queries  # noqa: F401  the second registers its own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
