@@ -14,6 +14,44 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+#: Slots that a range of values is cut into, once and then again within a slot, before values are ordered.
+SLOTS = 512
+
+
+def quantiles(df: DataFrame, column: str | Column, shares: Sequence[float]) -> DataFrame:
+    """One row (q): exact percentiles of the whole table by linear interpolation, in the order of `shares`; null and NaN do not count.
+
+    No buffer holds all values: they are counted and cut into SLOTS slots by range, each slot that holds a wanted rank is cut into as many again,
+    and only values of such slots are ordered. Every side of a join here has a row for each slot or wanted rank at most."""
+    levels = df.select(number(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    edges = levels.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(x).alias("rank"), (x - F.floor(x)).alias("part")) for i, x in enumerate(place)])
+    asked = edges.filter("n > 0").select(F.explode(wanted).alias("w")).select("w.*").withColumn("next", F.col("rank") + (F.col("part") > 0).cast("long"))
+    ranks = asked.select(F.explode(F.array("rank", "next")).alias("rank")).distinct()
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS)
+        return rows.withColumn(name, F.when(F.col("hi") > F.col("lo"), F.least(F.coalesce(at, F.lit(0)), F.lit(SLOTS - 1))).otherwise(0).cast("int")).drop("lo", "hi")
+
+    def before(rows: DataFrame, start: Column, by: list[str], order: str) -> DataFrame:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("base", start + F.coalesce(F.sum("k").over(upto), F.lit(0)))
+
+    holds = (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("k"))
+    first = cut(levels.crossJoin(F.broadcast(edges.select("lo", "hi"))), "one")
+    sums = before(first.groupBy("one").agg(F.sum("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")), F.lit(0), [], "one")
+    hit = sums.crossJoin(F.broadcast(ranks)).filter(holds).select("one", "lo", "hi", "base", "rank")
+    second = cut(first.join(F.broadcast(hit.select("one", "lo", "hi", F.col("base").alias("start")).distinct()), "one"), "two")
+    sums = before(second.groupBy("one", "two").agg(F.sum("k").alias("k"), F.min("start").alias("start")), F.col("start"), ["one"], "two")
+    hit = sums.join(F.broadcast(hit.select("one", "rank")), "one").filter(holds).select("one", "two", "base", "rank")
+    few = second.drop("start").join(F.broadcast(hit.select("one", "two", F.col("base").alias("start")).distinct()), ["one", "two"])
+    found = before(few, F.col("start"), ["one", "two"], "v").join(F.broadcast(hit.select("one", "two", "rank")), ["one", "two"]).filter(holds).select("rank", "v")
+    both = asked.join(found.withColumnRenamed("v", "below"), "rank").join(found.select(F.col("rank").alias("next"), F.col("v").alias("above")), "next")
+    value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
+    return both.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("q")))), lambda x: x["q"]).alias("q"))
+
+
 def group_compare(df: DataFrame, group: str, metric: str) -> DataFrame:
     """count, fraction, mean, exact median, min and max of each group; null is a group."""
     total = Window.partitionBy()
@@ -43,9 +81,9 @@ PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 def profile(df: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """One row: rows, missing values, range, mean, population deviation and exact percentiles by linear interpolation."""
     v = number(column)
-    quantiles = F.percentile(v, [float(p) for p in percentiles])
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), quantiles.alias("q"))
-    return one.select("n", "missing", "min", "max", "mean", "std", *[F.col("q")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(percentiles)])
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    both = one.crossJoin(F.broadcast(quantiles(df, column, percentiles)))
+    return both.select("n", "missing", "min", "max", "mean", "std", *[F.get("q", F.lit(k)).alias(f"p{round(100 * p):02d}") for k, p in enumerate(percentiles)])
 
 
 def robust_outliers(df: DataFrame, group: str, column: str, peers: int = 3, limit: float = 2.5) -> DataFrame:
@@ -64,7 +102,7 @@ def robust_outliers(df: DataFrame, group: str, column: str, peers: int = 3, limi
 
 def lower_tail(df: DataFrame, column: str, design: float, share: float = 0.1) -> DataFrame:
     """Rows with the cutoff min(design, quantile) and whether they lie at or under it and under the design value."""
-    cut = df.agg(F.least(F.lit(float(design)), F.percentile(number(column), share)).alias("cutoff"))
+    cut = quantiles(df, column, [share]).select(F.least(F.lit(float(design)), F.get("q", F.lit(0))).alias("cutoff"))
     return df.crossJoin(F.broadcast(cut)).withColumn("thin", F.coalesce((number(column) <= F.col("cutoff")) & (number(column) < design), F.lit(False)))
 
 
@@ -159,7 +197,7 @@ def enrichment_counts(df: DataFrame, dimensions: Sequence[str], label: str, clas
 def clipped_otsu(df: DataFrame, column: str, bins: int = 128, low: float = 0.01, high: float = 0.99, least: int = 16) -> DataFrame:
     """Otsu over equal bins between two percentiles, values outside held to the ends; the threshold is the upper edge of its bin. Null for fewer values."""
     v = number(column)
-    ends = df.agg(F.percentile(v, low).alias("lo"), F.percentile(v, high).alias("hi"), F.count(v).alias("total"))
+    ends = df.agg(F.count(v).alias("total")).crossJoin(F.broadcast(quantiles(df, column, [low, high]))).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "total")
     at = df.filter(v.isNotNull()).crossJoin(F.broadcast(ends))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / width)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.aggregates import number
+from quarry.operators.aggregates import number, quantiles
 
 # Limits of the junction states and their confidences.
 PEERS, OUTLIER, LEAST_SCALE = 3, 2.5, 1e-6
@@ -39,7 +39,8 @@ def junction_states(df: DataFrame, expected: str, supported: str, metrics: Seque
 def alignment_gate(stations: DataFrame, distance: str) -> DataFrame:
     """One row: stations, share of them that found material (a finite distance), median and 90th percentile of those, and reliable."""
     d = F.when(F.abs(number(distance)) < float("inf"), number(distance))
-    one = stations.agg(F.count(F.lit(1)).alias("stations"), F.coalesce(F.avg(d.isNotNull().cast("double")), F.lit(0.0)).alias("found"), F.percentile(d, 0.5).alias("median"), F.percentile(d, 0.9).alias("p90"))
+    one = stations.agg(F.count(F.lit(1)).alias("stations"), F.coalesce(F.avg(d.isNotNull().cast("double")), F.lit(0.0)).alias("found"))
+    one = one.crossJoin(F.broadcast(quantiles(stations, d, [0.5, 0.9]))).select("stations", "found", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p90"))
     return one.withColumn("reliable", F.coalesce((F.col("found") >= FOUND) & (F.col("median") <= MEDIAN) & (F.col("p90") <= NINETIETH), F.lit(False)))
 
 

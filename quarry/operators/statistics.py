@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -116,6 +116,23 @@ def null_draws(df: DataFrame, key: str, n_drawn: int, replicates: int, strata: S
     return each.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n_drawn).select("replicate", key, *strata)
 
 
+def powered_gates(controls: DataFrame, dimensions: Mapping[str, Column], success: Column, least: int = 10, sensitivity: float = 0.75) -> DataFrame:
+    """(dimension, stratum, positives, successes, sensitivity, powered, passed) of positive controls; a null success counts as a miss.
+
+    All dimensions are counted in one pass: a row is copied to each of them before it is grouped."""
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), c.cast("string").alias("stratum")) for name, c in dimensions.items()]))
+    counts = controls.select(rows.alias("d"), F.coalesce(success, F.lit(False)).alias("s")).groupBy("d.dimension", "d.stratum").agg(F.count(F.lit(1)).alias("positives"), F.count_if("s").alias("successes"))
+    out = counts.withColumn("sensitivity", F.col("successes") / F.col("positives")).withColumn("powered", F.col("positives") >= least)
+    return out.withColumn("passed", ~F.col("powered") | (F.col("sensitivity") >= sensitivity))
+
+
+def association_tests(tests: DataFrame, p_columns: Sequence[str], model: str) -> DataFrame:
+    """Adds q_<p> for each column of p values: each model and direction is a family of its own."""
+    for p in p_columns:
+        tests = benjamini_hochberg(tests, p, (model,)).withColumnRenamed("q", f"q_{p}")
+    return tests
+
+
 def uniform_points(spark, n: int, bounds: Sequence[tuple[float, float]], replicates: int, seed: int = 9) -> DataFrame:
     """(replicate, id, c0, c1, ...): n points for each replicate, spread over a box by digests of seed, replicate, number and axis."""
     rows = spark.range(n * replicates).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("id"))

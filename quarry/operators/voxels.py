@@ -4,14 +4,16 @@ A strut is measured on the chunk that holds it with enough halo, so one task nee
 
 from __future__ import annotations
 
-from collections import deque
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import connected_components
+from quarry.sources.shared import materialize
 from quarry.sources.volumes import array_of
 
 
@@ -140,23 +142,94 @@ def measure_struts(chunks: DataFrame, struts: DataFrame, threshold: float) -> Da
 
 
 def label_26(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Components of a mask under 26 neighbours, numbered in scan order."""
-    out, n = np.zeros(mask.shape, int), 0
-    steps = [s for s in np.ndindex(3, 3, 3) if s != (1, 1, 1)]
-    for seed in zip(*np.nonzero(mask), strict=True):
-        if out[seed]:
-            continue
-        n += 1
-        out[seed] = n
-        todo = deque([seed])
-        while todo:
-            z, y, x = todo.popleft()
-            for dz, dy, dx in steps:
-                at = (z + dz - 1, y + dy - 1, x + dx - 1)
-                if all(0 <= v < s for v, s in zip(at, mask.shape, strict=True)) and mask[at] and not out[at]:
-                    out[at] = n
-                    todo.append(at)
-    return out, n
+    """Components of a mask under 26 neighbours, numbered in scan order.
+
+    Runs along x are united with runs of the lines before that they touch, so Python looks at runs and not at voxels."""
+    nz, ny, nx = mask.shape
+    flat = np.zeros((nz * ny, nx + 2), np.int8)
+    flat[:, 1:-1] = mask.reshape(nz * ny, nx)
+    line, start = np.nonzero(np.diff(flat, axis=1) == 1)
+    _, stop = np.nonzero(np.diff(flat, axis=1) == -1)
+    parent = list(range(len(line)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    first = np.searchsorted(line, np.arange(nz * ny + 1)).tolist()
+    for z in range(nz):
+        for y in range(ny):
+            here = z * ny + y
+            for dz, dy in ((0, -1), (-1, -1), (-1, 0), (-1, 1)):
+                if z + dz < 0 or not 0 <= y + dy < ny:
+                    continue
+                i, j = first[here], first[here + dz * ny + dy]
+                end, last = first[here + 1], first[here + dz * ny + dy + 1]
+                while i < end and j < last:
+                    if start[i] <= stop[j] and start[j] <= stop[i]:  # also corner to corner
+                        p, q = root(i), root(j)
+                        parent[max(p, q)] = min(p, q)
+                    if stop[i] < stop[j]:
+                        i += 1
+                    else:
+                        j += 1
+    roots = np.array([root(k) for k in range(len(line))], int)
+    number = np.zeros(len(line) + 1, int)
+    kept = np.unique(roots)
+    number[kept] = np.arange(1, len(kept) + 1)
+    out = np.zeros(mask.shape, int).reshape(nz * ny, nx)
+    for k, (at, lo, hi) in enumerate(zip(line.tolist(), start.tolist(), stop.tolist(), strict=True)):
+        out[at, lo:hi] = number[roots[k]]
+    return out.reshape(mask.shape), len(kept)
+
+
+def mask_components(cells: DataFrame, least: int = 1) -> DataFrame:
+    """(z, y, x, component, size) of sparse voxels (z, y, x) under 26 neighbours, whatever chunks they came from; components of fewer than `least`
+    voxels are left out. A component is named by the least key of its voxels.
+
+    Runs along x are found by rank first; only they are linked, with runs of the 4 neighbouring lines that come before, by slices of x."""
+    voxels = cells.select(*[F.col(c).cast("long").alias(c) for c in "zyx"]).distinct()
+    rank = F.row_number().over(Window.partitionBy("z", "y").orderBy("x"))
+    of_run = voxels.withColumn("run", F.col("x") - rank)
+    runs = of_run.groupBy("z", "y", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    runs = materialize(runs.withColumn("id", F.monotonically_increasing_id()), "runs")
+    # a run meets others in slices of 64 along x, widened by one voxel on the side that looks
+    slices = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 64), F.floor(hi / 64)))
+    there = runs.select("z", "y", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"), slices(F.col("lo"), F.col("hi")).alias("s"))
+    step = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in ((0, -1), (-1, -1), (-1, 0), (-1, 1))]))
+    looks = runs.select("z", "y", "lo", "hi", F.col("id").alias("a"), step.alias("d")).select((F.col("z") + F.col("d.dz")).alias("z"), (F.col("y") + F.col("d.dy")).alias("y"), "lo", "hi", "a", slices(F.col("lo") - 1, F.col("hi") + 1).alias("s"))
+    links = looks.join(there, ["z", "y", "s"]).filter("lo <= hi2 + 1 and lo2 <= hi + 1").select("a", "b").distinct()
+    found = connected_components(links, "a", "b").withColumnRenamed("component", "root")
+    named = materialize(runs.join(found, "id", "left").select("z", "y", "run", "lo", "hi", F.coalesce("root", "id").alias("root")), "named")
+    sizes = named.groupBy("root").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.min(F.struct("z", "y", F.col("lo").alias("x"))).alias("component")).filter(F.col("size") >= least)
+    return of_run.join(named.join(sizes, "root").select("z", "y", "run", "component", "size"), ["z", "y", "run"]).select("z", "y", "x", "component", "size")
+
+
+def component_shapes(components: DataFrame, *key: str) -> DataFrame:
+    """Of each component (key; voxels z, y, x): volume, diameter of the ball of that volume, compactness (share of its box that it fills), and radial
+    asymmetry (deviation of the distances to the centroid, over their mean)."""
+    axes = "zyx"
+    centre = components.groupBy(*key).agg(*[F.avg(c).alias(f"c{c}") for c in axes], *[(F.max(c) - F.min(c) + 1).alias(f"w{c}") for c in axes])
+    distance = F.sqrt(sum((F.pow(F.col(c) - F.col(f"c{c}"), 2) for c in axes), F.lit(0.0)))
+    one = components.join(centre, list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("volume"), F.first(F.col("wz") * F.col("wy") * F.col("wx")).alias("box"), F.avg(distance).alias("mean"), F.stddev_pop(distance).alias("std"))
+    return one.select(*key, "volume", (2 * F.pow(3 * F.col("volume") / (4 * math.pi), 1 / 3)).alias("equivalent_diameter"), (F.col("volume") / F.col("box")).alias("compactness"), (F.col("std") / F.greatest("mean", F.lit(1e-6))).alias("radial_asymmetry"))
+
+
+def surface_samples(triangles: DataFrame, key: str, density: float, seed: int = 9) -> DataFrame:
+    """(key, n, x, y, z): points spread evenly over triangles (ax .. cz), `density` for each unit of area: its whole part, and one more by the rest as a
+    digest of the key says. Within a triangle the digest of key and number gives the place."""
+    a, b, c = ([F.col(f"{v}{x}") for x in "xyz"] for v in "abc")
+    u, v = [q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)]
+    cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    many = density * 0.5 * F.sqrt(sum((x * x for x in cross), F.lit(0.0)))
+    chance = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    own = F.col(key).cast("string")
+    n = (F.floor(many) + (chance(own, F.lit("more")) < many - F.floor(many)).cast("long")).cast("int")
+    each = triangles.withColumn("__n", n).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    r, t = F.sqrt(chance(own, F.col("__k").cast("string"), F.lit("r"))), chance(own, F.col("__k").cast("string"), F.lit("t"))
+    return each.select(F.col(key), F.col("__k").alias("n"), *[((1 - r) * p + r * (1 - t) * q + r * t * w).alias(x) for p, q, w, x in zip(a, b, c, "xyz", strict=True)])
 
 
 def bridged(mask: np.ndarray, a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
@@ -169,10 +242,16 @@ def distance_to_background(mask: np.ndarray) -> np.ndarray:
     big = float(sum(s * s for s in mask.shape) + 1)
     squared = np.where(mask, big, 0.0)
     for axis in range(3):
-        rows = np.moveaxis(squared, axis, -1)
-        at = np.arange(rows.shape[-1])
-        cost = (at[:, None] - at[None, :]) ** 2
-        squared = np.moveaxis((rows[..., None, :] + cost).min(-1), -1, axis)
+        rows = np.ascontiguousarray(np.moveaxis(squared, axis, -1))
+        lines, size = rows.reshape(-1, rows.shape[-1]), rows.shape[-1]
+        best = lines.copy()
+        # a voxel d steps away adds d * d; no step reaches further than the largest distance so far
+        d = 1
+        while d < size and d * d < best.max():
+            np.minimum(best[:, d:], lines[:, :-d] + d * d, out=best[:, d:])
+            np.minimum(best[:, :-d], lines[:, d:] + d * d, out=best[:, :-d])
+            d += 1
+        squared = np.moveaxis(best.reshape(rows.shape), -1, axis)
     return np.sqrt(squared)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import aggregates as ag
-from quarry.operators import audit, filters, geometry, graph, integrity, joins, rules, sequences, spatial, statistics
+from quarry.operators import audit, filters, geometry, graph, integrity, joins, rules, sequences, spatial, statistics, voxels
 from quarry.plans import inspection
 from quarry.plans.catalogue import _CLUSTERS, _points, query, read, rounded
 from quarry.sources import lattice, tables, volumes
@@ -381,3 +381,63 @@ def channel_merge(spark, sf_dir):
     cells = _cells(spark, sf_dir).select("z", "y", F.floor(F.col("x") / 2).alias("x"), (F.col("x") % 2).alias("c"), "v")
     merged = volumes.merged_channels(cells, "c", ["red", "green"])
     return volumes.merged_channels(volumes.split_channels(merged, ["red", "green"]), "c", ["red", "green"])
+
+
+_MASK = _VOXELS + """, m AS (SELECT z, y, x, z * 1000000000 + y * 10000 + x AS k FROM v WHERE v > 20), n AS (SELECT a.k AS u, b.k AS w FROM m a JOIN m b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.k <> b.k),
+c(id, l) USING KEY (id) AS (SELECT k, k FROM m UNION SELECT n.w, min(c.l) FROM c JOIN n ON n.u = c.id JOIN recurring.c AS r ON r.id = n.w WHERE c.l < r.l GROUP BY n.w),
+o AS (SELECT z, y, x, l, count(*) OVER (PARTITION BY l) AS size FROM c JOIN m ON m.k = c.id)"""
+
+
+def _masked(spark, sf_dir) -> DataFrame:
+    return voxels.mask_components(_cells(spark, sf_dir).filter("v > 20"), least=3)
+
+
+@query(f"WITH RECURSIVE {_MASK} SELECT z, y, x, l AS component, size FROM o WHERE size >= 3")
+def mask_components(spark, sf_dir):
+    """Components of a mask over all its voxels, small ones left out."""
+    k = F.col("component")
+    return _masked(spark, sf_dir).select("z", "y", "x", (k["z"] * 1000000000 + k["y"] * 10000 + k["x"]).alias("component"), "size")
+
+
+@query(f"""WITH RECURSIVE {_MASK}, t AS (SELECT l, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, (max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1) AS box FROM o WHERE size >= 3 GROUP BY l), r AS (SELECT l, box, sqrt((z - cz) ** 2 + (y - cy) ** 2 + (x - cx) ** 2) AS d FROM o JOIN t USING (l))
+SELECT l AS component, count(*) AS volume, round(2 * (3 * count(*) / (4 * pi())) ** (1.0 / 3), 6) AS equivalent_diameter, round(count(*) / any_value(box), 9) AS compactness, round(stddev_pop(d) / greatest(avg(d), 1e-6), 6) AS radial_asymmetry FROM r GROUP BY 1""")
+def component_shapes(spark, sf_dir):
+    k = F.col("component")
+    named = _masked(spark, sf_dir).select("z", "y", "x", (k["z"] * 1000000000 + k["y"] * 10000 + k["x"]).alias("component"))
+    return rounded(rounded(voxels.component_shapes(named, "component"), "equivalent_diameter", "radial_asymmetry"), "compactness", places=9)
+
+
+_DIMENSIONS = ("l_returnflag", "l_linestatus", "l_linenumber % 3", "l_partkey % 3", "l_suppkey % 3")
+
+
+@query("WITH d AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, ({d})::VARCHAR AS stratum, CASE WHEN l_tax > 0.01 THEN l_quantity > 12 END AS s FROM lineitem" for d in _DIMENSIONS) + """), g AS (SELECT dimension, stratum, count(*) AS positives, count(*) FILTER (WHERE s) AS successes FROM d GROUP BY 1, 2)
+SELECT *, round(successes / positives, 9) AS sensitivity, positives >= 10 AS powered, NOT positives >= 10 OR successes / positives >= 0.6 AS passed FROM g""")
+def powered_gates(spark, sf_dir):
+    """Five dimensions at once; an unknown success is a miss."""
+    success = F.when(F.col("l_tax") > 0.01, F.col("l_quantity") > 12)
+    return rounded(statistics.powered_gates(read(spark, sf_dir, "lineitem"), {d: F.expr(d) for d in _DIMENSIONS}, success, sensitivity=0.6), "sensitivity", places=9)
+
+
+@query("""WITH g AS (SELECT l_suppkey, l_suppkey % 3 AS model, count(*) FILTER (WHERE l_returnflag = 'R') AS k, count(*) FILTER (WHERE l_returnflag = 'A') AS a FROM lineitem GROUP BY 1),
+p AS (SELECT *, round(exp(-k::DOUBLE / 10), 9) AS attraction, CASE WHEN l_suppkey % 7 <> 0 THEN round(exp(-a::DOUBLE / 10), 9) END AS avoidance FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY attraction) AS ra, count(*) OVER (PARTITION BY model) AS na, row_number() OVER (PARTITION BY model, avoidance IS NULL ORDER BY avoidance) AS rv, count(avoidance) OVER (PARTITION BY model) AS nv FROM p)
+SELECT l_suppkey, round(least(1.0, min(attraction * na / ra) OVER (PARTITION BY model ORDER BY ra DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_attraction,
+ CASE WHEN avoidance IS NOT NULL THEN round(least(1.0, min(avoidance * nv / rv) OVER (PARTITION BY model, avoidance IS NULL ORDER BY rv DESC ROWS UNBOUNDED PRECEDING)), 6) END AS q_avoidance FROM r""")
+def association_tests(spark, sf_dir):
+    """Corrected p values, each model and direction a family of its own."""
+    g = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
+    p = g.select("l_suppkey", (F.col("l_suppkey") % 3).alias("model"), F.round(F.exp(-F.col("k") / 10), 9).alias("attraction"), F.when(F.col("l_suppkey") % 7 != 0, F.round(F.exp(-F.col("a") / 10), 9)).alias("avoidance"))
+    return rounded(statistics.association_tests(p, ["attraction", "avoidance"], "model").select("l_suppkey", "q_attraction", "q_avoidance"), "q_attraction", "q_avoidance")
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, 0.5 * (1 + p_size) * (1 + p_partkey % 4) AS area FROM part), n AS (SELECT id, 0.3 * area AS many, ('0x' || substr(md5('9:' || id || ':more'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM t), c AS (SELECT id, floor(many) + CASE WHEN u < many - floor(many) THEN 1 ELSE 0 END AS n FROM n)
+SELECT id, n::BIGINT AS points, n::BIGINT AS inside FROM c WHERE n > 0""")
+def surface_samples(spark, sf_dir):
+    """How many points fall on each triangle, by its area, and that all of them lie within it."""
+    k, w, h = F.col("p_partkey"), (1 + F.col("p_size")).cast("double"), (1 + F.col("p_partkey") % 4).cast("double")
+    zero = F.lit(0.0)
+    corners = {"ax": zero, "ay": zero, "az": zero, "bx": w, "by": zero, "bz": zero, "cx": zero, "cy": h, "cz": zero}
+    triangles = read(spark, sf_dir, "part").select(k.alias("id"), *[c.alias(n) for n, c in corners.items()])
+    points = voxels.surface_samples(triangles, "id", 0.3).join(triangles.select("id", F.col("bx").alias("w"), F.col("cy").alias("h")), "id")
+    within = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") / F.col("w") + F.col("y") / F.col("h") <= 1 + 1e-9) & (F.col("z") == 0)
+    return points.groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.count_if(within).alias("inside"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -91,13 +92,34 @@ def parse_raw(data: bytes, name: str) -> np.ndarray:
     return np.frombuffer(data, np.dtype(found[4]).newbyteorder("<")).reshape(z, y, x)
 
 
-def tiff_pages(data: bytes) -> Iterator[np.ndarray]:
-    """Pages of a grey TIFF without compression."""
+def _packed_bits(data: bytes) -> bytes:
+    """PackBits: a count below 128 and so many bytes and one, or a count above and one byte to repeat."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packed_bits}
+
+
+def tiff_pages(data: bytes, only: int | None = None) -> Iterator[np.ndarray]:
+    """Pages of a grey TIFF, uncompressed, deflated or packed (codes 1, 8, 32946, 32773), with or without differences along lines (predictor 2).
+
+    only: that page alone; the others are passed over without being read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a classic TIFF")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    at, number = struct.unpack(order + "I", data[4:8])[0], -1
     while at:
+        number += 1
         n = struct.unpack(order + "H", data[at : at + 2])[0]
         tags = {}
         for k in range(n):
@@ -106,12 +128,18 @@ def tiff_pages(data: bytes) -> Iterator[np.ndarray]:
             if code:
                 where = at + 10 + 12 * k if width * count <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
                 tags[tag] = struct.unpack(order + code * count, data[where : where + width * count])
-        if tags.get(259, (1,))[0] != 1:
-            raise ValueError("compressed TIFF pages are not supported")
+        following = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        if only is not None and number != only:
+            at = following
+            continue
+        unpack = _UNPACK.get(tags.get(259, (1,))[0])
+        if unpack is None or 273 not in tags:
+            raise ValueError("this kind of TIFF page is not supported")
         bits, kind = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
         dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}")
-        strips = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-        yield np.frombuffer(strips, dtype).reshape(tags[257][0], tags[256][0])
+        strips = b"".join(unpack(data[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True))
+        page = np.frombuffer(strips, dtype).reshape(tags[257][0], tags[256][0])
+        yield np.cumsum(page, axis=1, dtype=dtype) if tags.get(317, (1,))[0] == 2 else page
         at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
 
 

@@ -160,3 +160,90 @@ def test_channels(spark):
     assert sorted(map(tuple, volumes.split_channels(merged, ["r", "g"]).select("z", "y", "x", "c", "v").collect())) == sorted(map(tuple, cells.collect()))
     assert volumes.cropped(cells, (0, 0, 1), (1, 1, 2)).select("x", "v").collect() == [(0, 4.0)]
     assert volumes.plane(cells, "x", 1).select(F.sum("v")).first()[0] == 4.0
+
+
+def test_quantiles_by_ranks(spark):
+    from quarry.operators import aggregates
+
+    r = random.Random(9)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for values in ([5.0], [1.0, 2.0], [3.0] * 50, [r.gauss(0, 1) for _ in range(3000)], [float(r.randint(0, 5)) for _ in range(400)], [1e9, *[r.random() for _ in range(500)]], [-math.inf, 0.0, 1.0]):
+        rows = [(v,) for v in values] + [(None,), (float("nan"),)]
+        [row] = aggregates.quantiles(spark.createDataFrame(rows, "x double").repartition(3), "x", shares).collect()
+        if values[0] > -math.inf:
+            assert np.allclose(row.q, np.quantile(values, shares), rtol=1e-12, atol=1e-12)
+    [row] = aggregates.quantiles(spark.createDataFrame([(None,)], "x double"), "x", shares).collect()
+    assert row.q == []
+    [row] = aggregates.profile(spark.createDataFrame([(None,)], "x double"), "x").collect()
+    assert (row.n, row.missing, row.p50) == (1, 1, None)
+
+
+def test_labels_by_runs():
+    r = np.random.default_rng(4)
+    for shape, share in (((1, 1, 1), 1.0), ((3, 4, 5), 0.4), ((6, 7, 8), 0.25), ((5, 5, 5), 0.0), ((2, 9, 9), 0.6)):
+        mask = r.random(shape) < share
+        labels, n = voxels.label_26(mask)
+        cells = {tuple(c) for c in np.argwhere(mask)}
+        seen, count = set(), 0
+        for seed in sorted(cells):
+            if seed in seen:
+                continue
+            count += 1
+            todo, own = [seed], {seed}
+            while todo:
+                c = todo.pop()
+                for d in itertools.product((-1, 0, 1), repeat=3):
+                    at = tuple(a + b for a, b in zip(c, d, strict=True))
+                    if at in cells and at not in own:
+                        own.add(at)
+                        todo.append(at)
+            assert {labels[c] for c in own} == {count}
+            seen |= own
+        assert n == count and (labels[~mask] == 0).all()
+        far = voxels.distance_to_background(mask)
+        outside = np.argwhere(~mask)
+        if len(outside):
+            assert all(math.isclose(far[c], np.linalg.norm(outside - np.array(c), axis=1).min()) for c in cells)
+
+
+def test_mask_components_across_chunks(spark):
+    r = np.random.default_rng(6)
+    mask = r.random((6, 9, 150)) < 0.12
+    mask[2, 3, 10:140] = True  # a run over several slices
+    labels, _ = voxels.label_26(mask)
+    cells = spark.createDataFrame([tuple(map(int, c)) for c in np.argwhere(mask)], "z long, y long, x long")
+    want = {tuple(map(int, c)): int((labels == labels[tuple(c)]).sum()) for c in np.argwhere(mask)}
+    names = {tuple(map(int, c)): tuple(map(int, np.argwhere(labels == labels[tuple(c)])[0])) for c in np.argwhere(mask)}
+    for least in (1, 4):
+        got = voxels.mask_components(cells, least).collect()
+        assert {(c.z, c.y, c.x): (c["size"], tuple(c.component)) for c in got} == {c: (n, names[c]) for c, n in want.items() if n >= least}
+
+
+def test_compressed_pages():
+    """A deflated page with differences, a packed one and a plain one; one page alone can be read."""
+    import struct
+    import zlib
+
+    pages = [np.arange(12, dtype="<u2").reshape(3, 4) * 7, np.full((2, 5), 9, "u1"), np.arange(6, dtype="<u2").reshape(2, 3)]
+    body, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for page, code in zip(pages, (8, 32773, 1), strict=True):
+        raw = np.diff(page, axis=1, prepend=page.dtype.type(0)).astype(page.dtype) if code == 8 else page
+        data = {8: zlib.compress(raw.tobytes()), 32773: b"".join(bytes([257 - page.shape[1], 9]) for _ in range(page.shape[0])), 1: raw.tobytes()}[code]
+        offset = len(body)
+        body += data + b"\0" * (len(data) % 2)
+        tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, page.dtype.itemsize * 8), (259, 3, code), (273, 4, offset), (279, 4, len(data)), (317, 3, 2 if code == 8 else 1), (339, 3, 1)]
+        body[link : link + 4] = struct.pack("<I", len(body))
+        body += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+        link = len(body)
+        body += b"\0\0\0\0"
+    read = list(volumes.tiff_pages(bytes(body)))
+    assert len(read) == 3 and all(np.array_equal(a, b) for a, b in zip(read, pages, strict=True))
+    [one] = volumes.tiff_pages(bytes(body), only=1)
+    assert np.array_equal(one, pages[1])
+
+
+def test_radii_of_reports():
+    from quarry.operators import spatial
+
+    assert spatial.primary_radius([2.28, 4.56, 6.84], 4.5) == 4.56 and spatial.primary_radius([4.0, 5.0], 4.5) == 4.0
+    assert spatial.null_radius([2.28, 4.56, 6.84]) == 4.56 and spatial.null_radius([3.0]) == 3.0
