@@ -18,46 +18,54 @@ def number(c: Column | str) -> Column:
 SLOTS = 512
 
 
-def quantiles(df: DataFrame, column: str | Column, shares: Sequence[float]) -> DataFrame:
-    """One row (q): exact percentiles of the whole table by linear interpolation, in the order of `shares`; null and NaN do not count.
+def quantiles(df: DataFrame, column: str | Column, shares: Sequence[float], group: str | None = None) -> DataFrame:
+    """One row (q), or one for each group (group, q): exact percentiles by linear interpolation, in the order of `shares`; null and NaN do not count.
 
     No buffer holds all values: they are counted and cut into SLOTS slots by range, each slot that holds a wanted rank is cut into as many again,
-    and only values of such slots are ordered. Every side of a join here has a row for each slot or wanted rank at most."""
-    levels = df.select(number(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    edges = levels.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    and only values of such slots are ordered. Every side of a join here has a row for each group and slot or wanted rank at most. Null is a group;
+    one without values is left out."""
+    by = ["g"] if group is not None else []
+    # a struct around the group, as null fields of structs are equal to one another
+    own = [F.struct(F.col(group).alias("key")).alias("g")] if by else []
+    meet = lambda a, b, *more: a.join(b if by else F.broadcast(b), [*by, *more]) if by or more else a.crossJoin(F.broadcast(b))
+    levels = df.select(*own, number(column).alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
+    edges = levels.groupBy(*by).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(x).alias("rank"), (x - F.floor(x)).alias("part")) for i, x in enumerate(place)])
-    asked = edges.filter("n > 0").select(F.explode(wanted).alias("w")).select("w.*").withColumn("next", F.col("rank") + (F.col("part") > 0).cast("long"))
-    ranks = asked.select(F.explode(F.array("rank", "next")).alias("rank")).distinct()
+    asked = edges.filter("n > 0").select(*by, F.explode(wanted).alias("w")).select(*by, "w.*").withColumn("next", F.col("rank") + (F.col("part") > 0).cast("long"))
+    ranks = asked.select(*by, F.explode(F.array("rank", "next")).alias("rank")).distinct()
 
     def cut(rows: DataFrame, name: str) -> DataFrame:
         at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS)
         return rows.withColumn(name, F.when(F.col("hi") > F.col("lo"), F.least(F.coalesce(at, F.lit(0)), F.lit(SLOTS - 1))).otherwise(0).cast("int")).drop("lo", "hi")
 
-    def before(rows: DataFrame, start: Column, by: list[str], order: str) -> DataFrame:
-        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    def before(rows: DataFrame, start: Column, parts: list[str], order: str) -> DataFrame:
+        upto = Window.partitionBy(*by, *parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("base", start + F.coalesce(F.sum("k").over(upto), F.lit(0)))
 
     holds = (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("k"))
-    first = cut(levels.crossJoin(F.broadcast(edges.select("lo", "hi"))), "one")
-    sums = before(first.groupBy("one").agg(F.sum("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")), F.lit(0), [], "one")
-    hit = sums.crossJoin(F.broadcast(ranks)).filter(holds).select("one", "lo", "hi", "base", "rank")
-    second = cut(first.join(F.broadcast(hit.select("one", "lo", "hi", F.col("base").alias("start")).distinct()), "one"), "two")
-    sums = before(second.groupBy("one", "two").agg(F.sum("k").alias("k"), F.min("start").alias("start")), F.col("start"), ["one"], "two")
-    hit = sums.join(F.broadcast(hit.select("one", "rank")), "one").filter(holds).select("one", "two", "base", "rank")
-    few = second.drop("start").join(F.broadcast(hit.select("one", "two", F.col("base").alias("start")).distinct()), ["one", "two"])
-    found = before(few, F.col("start"), ["one", "two"], "v").join(F.broadcast(hit.select("one", "two", "rank")), ["one", "two"]).filter(holds).select("rank", "v")
-    both = asked.join(found.withColumnRenamed("v", "below"), "rank").join(found.select(F.col("rank").alias("next"), F.col("v").alias("above")), "next")
+    first = cut(meet(levels, edges.select(*by, "lo", "hi")), "one")
+    sums = before(first.groupBy(*by, "one").agg(F.sum("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")), F.lit(0), [], "one")
+    hit = meet(sums, ranks).filter(holds).select(*by, "one", "lo", "hi", "base", "rank")
+    second = cut(meet(first, hit.select(*by, "one", "lo", "hi", F.col("base").alias("start")).distinct(), "one"), "two")
+    sums = before(second.groupBy(*by, "one", "two").agg(F.sum("k").alias("k"), F.min("start").alias("start")), F.col("start"), ["one"], "two")
+    hit = meet(sums, hit.select(*by, "one", "rank"), "one").filter(holds).select(*by, "one", "two", "base", "rank")
+    few = meet(second.drop("start"), hit.select(*by, "one", "two", F.col("base").alias("start")).distinct(), "one", "two")
+    found = meet(before(few, F.col("start"), ["one", "two"], "v"), hit.select(*by, "one", "two", "rank"), "one", "two").filter(holds).select(*by, "rank", "v")
+    both = asked.join(found.withColumnRenamed("v", "below"), [*by, "rank"]).join(found.select(*by, F.col("rank").alias("next"), F.col("v").alias("above")), [*by, "next"])
     value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
-    return both.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("q")))), lambda x: x["q"]).alias("q"))
+    out = both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("q")))), lambda x: x["q"]).alias("q"))
+    return out.select(F.col("g.key").alias(group), "q") if by else out
 
 
 def group_compare(df: DataFrame, group: str, metric: str) -> DataFrame:
     """count, fraction, mean, exact median, min and max of each group; null is a group."""
     total = Window.partitionBy()
     v = number(metric)
-    grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return grouped.withColumn("fraction", F.col("n") / F.sum("n").over(total))
+    grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = quantiles(df, metric, [0.5], group).select(F.col(group).alias("__g"), F.col("q")[0].alias("median"))
+    joined = grouped.join(middle, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return joined.select(group, "n", "mean", "median", "min", "max", (F.col("n") / F.sum("n").over(total)).alias("fraction"))
 
 
 def value_counts(df: DataFrame, column: str, domain: Sequence[str]) -> DataFrame:

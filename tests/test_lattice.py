@@ -174,6 +174,13 @@ def test_quantiles_by_ranks(spark):
             assert np.allclose(row.q, np.quantile(values, shares), rtol=1e-12, atol=1e-12)
     [row] = aggregates.quantiles(spark.createDataFrame([(None,)], "x double"), "x", shares).collect()
     assert row.q == []
+    rows = [(g, r.gauss(0, 1)) for g in ("a", "b", None) for _ in range(300)] + [("c", 7.0), ("d", None), ("a", float("nan"))]
+    got = {x.g: x.q for x in aggregates.quantiles(spark.createDataFrame(rows, "g string, x double").repartition(3), "x", shares, "g").collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([x for h, x in rows if h == g and x == x], shares), rtol=1e-12, atol=1e-12)
+    compared = {x.g: (x.n, x.median) for x in aggregates.group_compare(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
+    assert compared["d"] == (1, None) and compared["c"] == (1, 7.0) and compared[None] == (300, got[None][3])
     [row] = aggregates.profile(spark.createDataFrame([(None,)], "x double"), "x").collect()
     assert (row.n, row.missing, row.p50) == (1, 1, None)
 
@@ -247,3 +254,27 @@ def test_radii_of_reports():
 
     assert spatial.primary_radius([2.28, 4.56, 6.84], 4.5) == 4.56 and spatial.primary_radius([4.0, 5.0], 4.5) == 4.0
     assert spatial.null_radius([2.28, 4.56, 6.84]) == 4.56 and spatial.null_radius([3.0]) == 3.0
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3])
+def test_near_components_against_all_pairs(spark, monkeypatch, axes):
+    """Sparse points, dense heaps, points at the very distance, with and without the look at what is known already."""
+    from quarry.operators import spatial
+
+    r = random.Random(axes)
+    points = [tuple(r.uniform(0, 6) for _ in range(axes)) for _ in range(40 if axes < 3 else 80)]
+    points += [tuple(c + r.uniform(0, 0.3) for c in heap) for heap in ((1.0,) * axes, (4.0,) * axes) for _ in range(25)]
+    points += [(10.0,) + (0.0,) * (axes - 1), (10.5,) + (0.0,) * (axes - 1), (11.0 + 1e-9,) + (0.0,) * (axes - 1)]
+    rows = [(k, *p) for k, p in enumerate(points)] + [(900, *[None] * axes), (901, *[float("nan")] * axes)]
+    names = [f"x{k}" for k in range(axes)]
+    component = {k: k for k in range(len(points))}
+    near = [(i, j) for i in component for j in component if i < j and math.dist(points[i], points[j]) <= 0.5]
+    for _ in range(30):
+        for i, j in near:
+            component[i] = component[j] = min(component[i], component[j])
+    want = {i: component[i] for pair in near for i in pair}
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    for most in (5_000_000, 0):
+        monkeypatch.setattr(spatial, "OPEN_PAIRS", most)
+        assert {x.id: x.component for x in spatial.near_components(df, "id", names, 0.5).collect()} == want
+    assert {x.id for x in spatial.dbscan(df, "id", names, 0.5).filter("cluster = -1").collect()} == {r[0] for r in rows} - set(want)
