@@ -16,14 +16,24 @@ def number(c: Column | str) -> Column:
 
 #: Slots that a range of values is cut into, once and then again within a slot, before values are ordered.
 SLOTS = 512
+#: Bytes of a table, as Spark estimates them, up to which one aggregation buffer may hold its values.
+BUFFER_BYTES = 256 << 20
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table is surely small enough for its values to be held in one buffer."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BUFFER_BYTES
 
 
 def quantiles(df: DataFrame, column: str | Column, shares: Sequence[float], group: str | None = None) -> DataFrame:
     """One row (q), or one for each group (group, q): exact percentiles by linear interpolation, in the order of `shares`; null and NaN do not count.
 
-    No buffer holds all values: they are counted and cut into SLOTS slots by range, each slot that holds a wanted rank is cut into as many again,
+    Unless the table is small (`fits`), no buffer holds all values: they are counted and cut into SLOTS slots by range, each slot that holds a wanted rank is cut into as many again,
     and only values of such slots are ordered. Every side of a join here has a row for each group and slot or wanted rank at most. Null is a group;
     one without values is left out."""
+    if fits(df):
+        q = F.percentile(number(column), [float(p) for p in shares])
+        return df.groupBy(group).agg(q.alias("q")).filter("q is not null") if group is not None else df.agg(F.coalesce(q, F.array().cast("array<double>")).alias("q"))
     by = ["g"] if group is not None else []
     # a struct around the group, as null fields of structs are equal to one another
     own = [F.struct(F.col(group).alias("key")).alias("g")] if by else []
@@ -62,7 +72,10 @@ def group_compare(df: DataFrame, group: str, metric: str) -> DataFrame:
     """count, fraction, mean, exact median, min and max of each group; null is a group."""
     total = Window.partitionBy()
     v = number(metric)
-    grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    small = fits(df)
+    grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *([F.percentile(v, 0.5).alias("median")] if small else []))
+    if small:
+        return grouped.select(group, "n", "mean", "median", "min", "max", (F.col("n") / F.sum("n").over(total)).alias("fraction"))
     middle = quantiles(df, metric, [0.5], group).select(F.col(group).alias("__g"), F.col("q")[0].alias("median"))
     joined = grouped.join(middle, F.col(group).eqNullSafe(F.col("__g")), "left")
     return joined.select(group, "n", "mean", "median", "min", "max", (F.col("n") / F.sum("n").over(total)).alias("fraction"))
@@ -89,8 +102,11 @@ PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 def profile(df: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """One row: rows, missing values, range, mean, population deviation and exact percentiles by linear interpolation."""
     v = number(column)
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    both = one.crossJoin(F.broadcast(quantiles(df, column, percentiles)))
+    one = [F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    if fits(df):
+        both = df.agg(*one, F.percentile(v, [float(p) for p in percentiles]).alias("q"))
+    else:
+        both = df.agg(*one).crossJoin(F.broadcast(quantiles(df, column, percentiles)))
     return both.select("n", "missing", "min", "max", "mean", "std", *[F.get("q", F.lit(k)).alias(f"p{round(100 * p):02d}") for k, p in enumerate(percentiles)])
 
 

@@ -162,9 +162,12 @@ def test_channels(spark):
     assert volumes.plane(cells, "x", 1).select(F.sum("v")).first()[0] == 4.0
 
 
-def test_quantiles_by_ranks(spark):
+@pytest.mark.parametrize("most", [-1, 1 << 62])
+def test_quantiles_by_ranks(spark, monkeypatch, most):
     from quarry.operators import aggregates
 
+    monkeypatch.setattr(aggregates, "BUFFER_BYTES", most)
+
     r = random.Random(9)
     shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
     for values in ([5.0], [1.0, 2.0], [3.0] * 50, [r.gauss(0, 1) for _ in range(3000)], [float(r.randint(0, 5)) for _ in range(400)], [1e9, *[r.random() for _ in range(500)]], [-math.inf, 0.0, 1.0]):
