@@ -36,7 +36,7 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     The table goes when the driver's JVM ends, or earlier by `release`."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(compression="snappy", **options).parquet(at)
+    df.write.options(**{"compression": "snappy", **options}).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     stored = spark.read.schema(df.schema).parquet(at)
