@@ -438,26 +438,34 @@ def region_of(paths: set[tuple], judged: tuple[dict[tuple, int], dict[tuple, flo
     return best
 
 
-def extract(page: str, judged: tuple[dict[tuple, int], dict[tuple, float]]) -> str:
-    """The blocks of a page that it and its host's wrapper show to be main text.
+def kept_paths(paths: frozenset[tuple], judged: tuple[dict[tuple, int], dict[tuple, float]]) -> frozenset[tuple]:
+    """Those of a page's paths whose text is main text; pages with the same paths share them.
 
     These are the own texts below the region, without what tags or words there call an aside. Where slots show no region, tags and words decide."""
-    found = list(leaves(parse(page)))
-    paths = {path for path, _ in found}
-    region = region_of(paths, judged)
+    region = region_of(set(paths), judged)
     if region is None:
-        role = roles(paths)
-        levels = [role[path] if role[path] != 1 else judged[0].get(path, 0) for path, _ in found]
-        most = 2 if 2 in levels else 1
-        return "\n".join(text for (_, text), level in zip(found, levels, strict=True) if level >= most)
-    depth, kept = len(region), {}
-    for path in paths:
-        kinds = [_kind(label) for label in path[depth:]]
-        outer = any(_kind(label)[0] for label in path[:depth])
-        # what is the same on all pages may still stand in an article's own tag
-        own = judged[0].get(path, 1) or any(_kind(label)[3] == 3 for label in region)
-        kept[path] = path[:depth] == region and not outer and bool(own) and not any(tag or words for tag, words, _, _ in kinds)
-    return "\n".join(text for path, text in found if kept[path])
+        role = roles(set(paths))
+        levels = {path: role[path] if role[path] != 1 else judged[0].get(path, 0) for path in paths}
+        most = 2 if 2 in levels.values() else 1
+        return frozenset(path for path, level in levels.items() if level >= most)
+    depth = len(region)
+    # what is the same on all pages may still stand in an article's own tag
+    tagged = any(_kind(label)[3] == 3 for label in region)
+    if any(_kind(label)[0] for label in region):
+        return frozenset()
+    return frozenset(path for path in paths if path[:depth] == region and (tagged or judged[0].get(path, 1)) and not any(tag or words for tag, words, _, _ in map(_kind, path[depth:])))
+
+
+def extract(page: str, judged: tuple[dict[tuple, int], dict[tuple, float]], known: dict[frozenset, frozenset] | None = None) -> str:
+    """The blocks of a page that it and its host's wrapper show to be main text. known: of the paths of pages met before what is kept."""
+    found = list(leaves(parse(page)))
+    paths = frozenset(path for path, _ in found)
+    kept = known.get(paths) if known is not None else None
+    if kept is None:
+        kept = kept_paths(paths, judged)
+        if known is not None and len(known) < 1000:
+            known[paths] = kept
+    return "\n".join(text for path, text in found if path in kept)
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
@@ -518,15 +526,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = materialize(wrappers(pages), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[str, dict] = {}
+        judged: dict[str, tuple] = {}
         for chunk in chunks(batches, "html"):
             out = []
             for page, wrapper in zip(chunk["html"].to_pylist(), chunk["wrapper"].to_pylist(), strict=True):
                 if wrapper not in judged:
                     if len(judged) > 1000:
                         judged.clear()
-                    judged[wrapper] = verdicts(*json.loads(wrapper)) if wrapper else ({}, {})
-                out.append(extract(page, judged[wrapper]))
+                    judged[wrapper] = verdicts(*json.loads(wrapper)) if wrapper else ({}, {}), {}
+                out.append(extract(page, *judged[wrapper]))
             yield pa.RecordBatch.from_arrays([chunk["page_id"].combine_chunks(), chunk["url"].combine_chunks(), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = _host_rows(pages).join(known, "host", "left").select("page_id", "url", "html", "wrapper")

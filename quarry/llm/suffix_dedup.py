@@ -378,9 +378,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = ANCHOR) ->
     texts = _named(docs)
     packed = texts.mapInArrow(lambda b: _deal(b, length, gram, n_buckets), "bucket int, body binary")
     occurrences = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "anchor long, context long, doc long, hash long, pos long, low int, high int")
-    occurrences = materialize(occurrences, "occurrences")
+    occurrences = materialize(occurrences, "occurrences", compression="zstd")
     firsts = occurrences.groupBy("anchor", "context").agg(F.min(F.struct("doc", "hash", "pos", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = materialize(firsts.select("anchor", "context", F.col("first.*"), "n"), "firsts")
+    firsts = materialize(firsts.select("anchor", "context", F.col("first.*"), "n"), "firsts", compression="zstd")
     # equal contexts: all but the first repeat it
     heads = firsts.filter("n > 1").select("anchor", "context", F.col("doc").alias("doc1"), F.col("hash").alias("hash1"), F.col("pos").alias("pos1"))
     copies = occurrences.join(heads, ["anchor", "context"]).filter("doc <> doc1 or hash <> hash1 or pos <> pos1").select("doc", "hash", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + F.col("high") + length).alias("stop"))

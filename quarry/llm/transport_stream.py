@@ -109,6 +109,8 @@ def _checked(own: np.ndarray, what: str) -> tuple[np.ndarray, np.ndarray]:
     Legal are packets without a payload, whose counter stands still, and a packet that is sent twice; a flagged discontinuity starts a new count."""
     if (own[:, 1] & 0x80).any():
         raise ValueError(f"{what}: a packet is marked as damaged")
+    if len(own) == 1 and own[0, 3] & 0x10:
+        return own, np.array([own[0, 3] & 0x20 != 0 and own[0, 4] > 0 and own[0, 5] & 0x40 != 0])
     loaded, fielded = own[:, 3] & 0x10 != 0, (own[:, 3] & 0x20 != 0) & (own[:, 4] > 0)
     flags = np.where(fielded, own[:, 5], 0)
     access, restart = flags & 0x40 != 0, flags & 0x80 != 0
