@@ -2,8 +2,8 @@
 
 Each document's ids, with an end id, are cut into whole windows and one shorter tail. The histogram of tail lengths (at most
 as many entries as a window has tokens, whatever the input) goes to the driver, which enumerates combinations of up to three
-lengths that fill a window exactly, solves their repeat counts by non-negative least squares, and rounds them down to what
-the histogram holds. Tails left over are packed greedily, longest first, end to end, and cut where a window ends; the last,
+lengths that fill a window exactly, solves their repeat counts by non-negative least squares, rounds them down to what
+the histogram holds, and fills on with the residuals' exact combinations. Tails left over are packed greedily, longest first, end to end, and cut where a window ends; the last,
 incomplete window becomes sequences whose lengths are powers of two, which need no padding. A tail finds its place from its
 rank among the tails of its length, so no stage gathers documents.
 
@@ -222,11 +222,14 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[dict[int, lis
     columns = combinations(sorted(tails), window)
     counts = repeat_counts(columns, tails)
     left = dict(tails)
-    for p in sorted(range(len(columns)), key=lambda p: (-counts[p], columns[p])):
-        times = {k: columns[p].count(k) for k in sorted(set(columns[p]))}
-        repeats = min(int(counts[p]), *(left[k] // c for k, c in times.items()))
+
+    def fill(column: tuple[int, ...], most: int) -> int:
+        """Place a column up to `most` times, as long as its lengths are there."""
+        nonlocal sequences
+        times = {k: column.count(k) for k in sorted(set(column))}
+        repeats = min(most, *(left[k] // c for k, c in times.items()))
         if repeats <= 0:
-            continue
+            return 0
         offset = 0
         for k, c in times.items():
             placed[k].append((used[k], 0, sequences, c, offset))
@@ -234,6 +237,17 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[dict[int, lis
             left[k] -= repeats * c
             offset += k * c
         sequences += repeats
+        return repeats
+
+    order = sorted(range(len(columns)), key=lambda p: (-counts[p], columns[p]))
+    for p in order:
+        fill(columns[p], int(counts[p]))
+    # what rounding down left: the same columns again, largest solved counts first, then all columns of the lengths that are still there
+    for p in order:
+        fill(columns[p], max(left.values()))
+    while columns := combinations(sorted(k for k, n in left.items() if n), window):
+        if not sum([fill(column, max(left.values())) for column in columns]):
+            break
     position = 0
     for k in sorted(left, reverse=True):
         if left[k]:
