@@ -14,6 +14,7 @@ are ignored; no documents give no pieces.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from array import array
 from collections import defaultdict
@@ -96,6 +97,8 @@ def _tokenizer(data: bytes):
     """The tokenizer, its merges if words may go to them directly, and the words it has met; once for each worker process."""
     key = len(data)
     if key not in _made:
+        # a task has one core; the library's threads would also keep memory of their own each
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_buffer(data)
