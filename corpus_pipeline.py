@@ -2,8 +2,8 @@
 
 language ID (documents without a letter, or without any recognisable language, go), exact deduplication, near-duplicate removal (five words, 0.8), secret
 scan (secrets are masked, no document goes), packing. Each stage's result is stored as Parquet in the folder that spark.checkpoint.dir
-names and read again as the next one's documents. Stages on pairs take doc_id as the name of a document: rows with a null
-doc_id stay as they are.
+names and read again as the next one's documents. Rows with a null doc_id are linked with nothing and stay; their secrets are masked like
+any other's.
 """
 
 from __future__ import annotations
